@@ -273,7 +273,7 @@ def require_choice(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Whether a level must be chosen first, with the levels to choose from."""
     return cells.groupBy(*keys).agg(
         F.count_distinct("level").alias("n_levels"),
-        F.array_join(F.array_sort(F.transform(F.collect_set("level"), lambda v: v)).cast("array<string>"), ", ").alias("choices"),
+        F.array_join(F.array_sort(F.collect_set("level")).cast("array<string>"), ", ").alias("choices"),
     ).withColumn("refused", F.col("n_levels") > 1)
 
 
