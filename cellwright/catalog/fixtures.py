@@ -24,7 +24,7 @@ SELECT 'GRID_DAILY' AS collection, CAST(CAST(l_shipdate AS DATE) AS VARCHAR(10))
   CAST(-120 + (l_suppkey % 100) / CAST(2 AS DOUBLE) AS DOUBLE) AS lon,
   CAST(l_shipdate AS DATE) AS ts,
   CASE WHEN sum(l_orderkey) % 17 = 0 THEN CAST(-999 AS DOUBLE)
-       ELSE max(l_extendedprice) / CAST(1000 AS DOUBLE) END AS raw_value,
+       ELSE max(l_extendedprice) / CAST(997 AS DOUBLE) END AS raw_value,
   CAST(sum(l_linenumber) % 3 AS INT) AS qa_flag,
   max(l_discount) AS cloud_fraction, max(l_tax) * 1000 AS value_uncertainty
 FROM {lineitem}
@@ -36,7 +36,7 @@ SELECT l_linestatus AS collection,
   CAST(l_partkey % 120 AS INT) AS i, CAST(l_suppkey % 100 AS INT) AS j,
   CAST(20 + (l_partkey % 120) / CAST(2 AS DOUBLE) AS DOUBLE) AS lat,
   CAST(-120 + (l_suppkey % 100) / CAST(2 AS DOUBLE) AS DOUBLE) AS lon,
-  CAST(l_shipdate AS DATE) AS ts, max(l_extendedprice) / CAST(1000 AS DOUBLE) AS value
+  CAST(l_shipdate AS DATE) AS ts, max(l_extendedprice) / CAST(997 AS DOUBLE) AS value
 FROM {lineitem}
 GROUP BY l_linestatus, l_returnflag, l_partkey % 120, l_suppkey % 100, CAST(l_shipdate AS DATE)"""),
     # Three levels (0, 1, 2) and a month per granule.
@@ -44,7 +44,7 @@ GROUP BY l_linestatus, l_returnflag, l_partkey % 120, l_suppkey % 100, CAST(l_sh
 SELECT CAST(l_partkey % 120 AS INT) AS i, CAST(l_suppkey % 100 AS INT) AS j,
   CAST(l_linenumber % 3 AS DOUBLE) * 50 AS level,
   make_date(CAST(year(l_shipdate) AS INT), CAST(month(l_shipdate) AS INT), 1) AS ts,
-  max(l_extendedprice) / CAST(1000 AS DOUBLE) AS value
+  max(l_extendedprice) / CAST(997 AS DOUBLE) AS value
 FROM {lineitem}
 GROUP BY l_partkey % 120, l_suppkey % 100, l_linenumber % 3, year(l_shipdate), month(l_shipdate)"""),
     # Hourly cells for January 2024; a user fixes both indexes.

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwright.functions.scalars import finite
+from cellwright.session import settle
 
 RANGES = 64
 SALTS = 8
@@ -45,16 +46,18 @@ def values_at(
     """Values at exact 0-based positions of each group's sorted finite values.
 
     `positions` maps an output name to a function from the group's count `n` to a position.
-    Returns one row per group with its keys, `n` and the picked values.
+    Returns one row per group with its keys, `n` and the picked values, NULL for a group without
+    finite values.
     """
     keys = list(keys)
     group = keys or ["_all"]
-    v = finite(value)
-    rows = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull())
+    rows = df.select(*keys, finite(value).alias("_v"))
     if not keys:
         rows = rows.withColumn("_all", F.lit(0))
-    counts = rows.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    ranged = _with_ranges(counts, group)
+    # Read four times below, so it is written once. Equal values of a group are one row.
+    counts = settle(rows.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c")), "counts")
+    n = F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_c"))), F.lit(0)).alias("n")
+    ranged = _with_ranges(counts.where(F.col("_v").isNotNull()), group)
 
     # At most RANGES rows per group from here on.
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,8 +70,7 @@ def values_at(
     )
     names = list(positions)
     sizes = sizes.select(
-        *group, "_b", "_start", "_size", "n",
-        *[positions[name](F.col("n")).cast("long").alias(f"_p_{name}") for name in names],
+        *group, "_b", "_start", "_size", *[positions[name](F.col("n")).cast("long").alias(f"_p_{name}") for name in names]
     )
     wanted = F.lit(False)
     for name in names:
@@ -79,16 +81,16 @@ def values_at(
     hits = hits.withColumn("_end", F.col("_start") + F.sum("_c").over(upto)).withColumn(
         "_from", F.col("_end") - F.col("_c")
     )
-    picked = hits.groupBy(*group).agg(
-        F.first("n").alias("n"),
-        *[
-            F.max(
-                F.when((F.col(f"_p_{name}") >= F.col("_from")) & (F.col(f"_p_{name}") < F.col("_end")), F.col("_v"))
-            ).alias(name)
-            for name in names
-        ],
-    )
-    return picked.drop("_all")
+    picks = [
+        F.max(
+            F.when((F.col(f"_p_{name}") >= F.col("_from")) & (F.col(f"_p_{name}") < F.col("_end")), F.col("_v"))
+        ).alias(name)
+        for name in names
+    ]
+    if not keys:
+        one = hits.groupBy().agg(F.struct(*picks)).scalar()
+        return counts.groupBy().agg(n).withColumn("_p", one).select("n", "_p.*")
+    return counts.groupBy(*keys).agg(n).join(hits.groupBy(*keys).agg(*picks), keys, "left")
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: Column | str, probs: dict[str, float]) -> DataFrame:

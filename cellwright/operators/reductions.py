@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwright.functions.aggregates import values_stat, weighted_mean
 from cellwright.functions.scalars import cos_weight, finite, is_finite, round6, sig7
 from cellwright.operators import order_stats
 from cellwright.operators.masking import passes_qa
+from cellwright.session import settle
 
 CELL = ("i", "j", "lat", "lon")
 CADENCE_UNIT = {"hourly": "hour", "daily": "day", "monthly": "month"}
@@ -28,14 +29,14 @@ def valid_timesteps(cells: DataFrame, keys: Sequence[str] = (), value: str = "va
 def cadence_weights(valid: DataFrame, cadence: str, keys: Sequence[str] = ()) -> DataFrame:
     """Weight of each valid timestep: one over the valid timesteps in its hour, day or month.
 
-    Works on the timestep table only. Without a known cadence every timestep weighs the same.
+    Works on the timestep table, one short row per granule, so a window per bucket is small even
+    when one bucket holds most granules. Without a known cadence every timestep weighs the same.
     """
     unit = CADENCE_UNIT.get(cadence)
     if unit is None:
         return valid.withColumn("weight", F.lit(1.0))
-    bucketed = valid.withColumn("_bucket", F.date_trunc(unit, "ts"))
-    sizes = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    return bucketed.join(sizes, [*keys, "_bucket"]).select(*keys, "ts", (F.lit(1.0) / F.col("_n")).alias("weight"))
+    bucket = Window.partitionBy(*keys, F.date_trunc(unit, "ts"))
+    return valid.withColumn("weight", F.lit(1.0) / F.count(F.lit(1)).over(bucket))
 
 
 def temporal_fields(
@@ -100,7 +101,7 @@ def regional_statistics(cells: DataFrame, cadence: str, keys: Sequence[str] = ()
     Mean is area-weighted over the temporal-mean field; max and min run over every valid
     observation; median and std describe the temporal-mean field.
     """
-    fields = temporal_fields(cells, cadence, keys, ["mean", "max", "min"])
+    fields = settle(temporal_fields(cells, cadence, keys, ["mean", "max", "min"]), "fields")
     stats = fields.groupBy(*keys).agg(
         weighted_mean("mean").alias("mean"),
         F.max(finite("max")).alias("max"),

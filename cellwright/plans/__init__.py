@@ -1 +1 @@
-"""Whole analyses composed from the operators."""
+"""Whole analyses composed from the operators, each one lazy plan."""
