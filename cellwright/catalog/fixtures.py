@@ -160,6 +160,17 @@ SELECT v.file_id, v.name AS science, c.quality_flag_var AS pinned,
   CASE WHEN v.file_id % 3 = 1 THEN concat('absent_flag product/main_data_quality_flag support_data/main_data_quality_flag') END AS ancillary
 FROM {fx_inventory} v LEFT JOIN (SELECT * FROM {fx_collections} WHERE key_no % 3 = 0) c ON c.key_no = v.file_id
 WHERE v.ordinal = 0"""),
+    # Coordinate candidates of each file: names, attributes and shape follow from the part.
+    "fx_axes": (("part",), """
+SELECT CAST(floor(p_partkey / CAST(10 AS DOUBLE)) AS BIGINT) AS file_id, CAST(p_partkey % 10 AS INT) AS ordinal,
+  split_part('lat,latitude,lon,longitude,time,lat_bnds,lon_edges,valid_time,y,Time', ',', CAST(p_partkey % 10 + 1 AS INT)) AS name,
+  CASE WHEN p_size % 3 = 0 THEN split_part('latitude,latitude,longitude,longitude,time,latitude,longitude,time,latitude,time', ',', CAST(p_partkey % 10 + 1 AS INT)) END AS standard_name,
+  CASE WHEN p_size % 4 = 0 THEN split_part('degrees_north,degree_N,degrees_east,degreesE,hours,degrees_north,degrees_east,hours,m,hours', ',', CAST(p_partkey % 10 + 1 AS INT)) END AS units,
+  CASE WHEN p_size % 7 = 0 AND p_partkey % 10 IN (4, 7, 9) THEN 't' END AS axis,
+  CASE WHEN p_size % 5 = 0 AND p_partkey % 10 IN (4, 7, 9) THEN 'datetime64[ns]' ELSE 'float64' END AS dtype,
+  CASE WHEN p_partkey % 10 IN (5, 6) THEN 2 ELSE CAST(p_size % 2 + 1 AS INT) END AS n_dims,
+  p_size % 2 = 0 AS is_dim, p_size % 9 = 0 AS is_ref
+FROM {part}"""),
     # Requested variables of each part, bare or group-qualified.
     "fx_requests": (("part",), """
 SELECT p_partkey AS request_id, concat(CASE WHEN p_size % 2 = 0 THEN 'product/' WHEN p_size % 3 = 0 THEN 'support_data/' ELSE '' END,
