@@ -61,6 +61,16 @@ _BANDS = [
     {"name": "value_uncertainty", "role": "quality", "units": "1"},
 ]
 
+def _summary(s, d):
+    """Charts of both regions and a third one, over region A, for which no companion was read."""
+    cells = _regioned(s, d)
+    charts = cells.groupBy("region_id").agg(F.count_distinct("ts").alias("n_granules"))
+    charts = charts.unionByName(charts.where("region_id = 'A'").withColumn("region_id", F.lit("C"))).withColumn("status", F.lit("verified"))
+    out = D.evidence_summary(charts, D.evidence_facts(cells, _BANDS, "monthly", KEY), KEY)
+    texts = F.transform("evidence", lambda e: F.concat(e["name"], F.lit("="), e["value"].cast("string")))
+    return out.withColumn("evidence", F.coalesce(F.array_join(texts, ";"), F.lit("")))
+
+
 QUERIES = {
     "valid_timesteps": (
         lambda s, d: as_text(D.valid_timesteps(_regioned(s, d), KEY), "ts"),
@@ -147,6 +157,14 @@ QUERIES = {
         _sql("""SELECT region_id, variable, round(v, 6) AS valid_fraction FROM (SELECT region_id, unnest(['checked', 'value', 'cloud_fraction']) AS variable,
         unnest([count(checked) / count(*), count(value) / count(*), count(cloud_fraction) / count(*)]) AS v FROM regioned GROUP BY region_id)"""),
     ),
+    "evidence_summary": (
+        _summary,
+        _sql(f"""SELECT region_id, status, n_granules, has_evidence, evidence FROM (SELECT region_id, count(DISTINCT ts) AS n_granules, 'verified' AS status FROM regioned GROUP BY region_id UNION ALL
+          SELECT 'C', (SELECT count(DISTINCT ts) FROM regioned WHERE region_id = 'A'), 'verified') c LEFT JOIN
+          (SELECT region_id, true AS he, concat('cloud_fraction=', round(sum(c * {W}) / sum({W}) FILTER (c IS NOT NULL), 6), ';value_uncertainty=', round(sum(u * {W}) / sum({W}) FILTER (u IS NOT NULL), 6)) AS ev FROM bands GROUP BY region_id) e USING (region_id),
+          LATERAL (SELECT coalesce(he, false) AS has_evidence, coalesce(ev, '') AS evidence)""",
+             bands="""SELECT region_id, i, j, lat, avg(CASE WHEN cloud_fraction <> 0 AND cloud_fraction BETWEEN 0 AND 0.09 THEN cloud_fraction END) AS c, avg(value_uncertainty) AS u FROM regioned GROUP BY region_id, i, j, lat"""),
+    ),
     "evidence_facts": (
         lambda s, d: D.evidence_facts(_regioned(s, d), _BANDS, "monthly", KEY),
         _sql(f"""SELECT e.region_id, e.name, e.role, 'mean' AS stat, round(e.m, 6) AS value, '1' AS units, round(e.n / e.cells, 4) AS coverage,

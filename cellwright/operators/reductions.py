@@ -153,7 +153,8 @@ def field_statistics(field: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 # --- Quality pass rate ----------------------------------------------------------------------------
 
-def _qa_counters(good, bad) -> dict[str, Column]:
+def qa_counters(good, bad) -> dict[str, Column]:
+    """Counter expressions over `checked`, `qa_flag` and `lat`, for batch and streaming groups."""
     checked = F.col("checked").isNotNull()
     passing = checked & passes_qa("qa_flag", good, bad)
     w = cos_weight("lat")
@@ -171,8 +172,8 @@ def qa_pass_rate(cells: DataFrame, keys: Sequence[str] = (), good=None, bad=None
     Without a rule the mask did not run and there is no row; with nothing to check the rate is NULL.
     """
     if good is None and bad is None:
-        return cells.groupBy(*keys).agg(*[c.alias(n) for n, c in _qa_counters([], None).items()]).where(F.lit(False))
-    return cells.groupBy(*keys).agg(*[c.alias(n) for n, c in _qa_counters(good, bad).items()])
+        return cells.groupBy(*keys).agg(*[c.alias(n) for n, c in qa_counters([], None).items()]).where(F.lit(False))
+    return cells.groupBy(*keys).agg(*[c.alias(n) for n, c in qa_counters(good, bad).items()])
 
 
 def qa_pass_rate_by_time(cells: DataFrame, keys: Sequence[str] = (), good=None, bad=None) -> DataFrame:
@@ -264,3 +265,15 @@ def evidence_facts(
         F.round(F.col("f.s.n") / F.col("_cells"), 4).alias("coverage"),
         F.when(F.col("f.uncertain") & (F.col("_science") != 0), F.round(F.abs(F.col("f.s.mean") / F.col("_science")), 4)).alias("pct_of_science"),
     )
+
+
+def evidence_summary(charts: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The evidence each chart can be judged by, with a flag whether there is any.
+
+    `charts` holds one row per chart with `keys`; `facts` come from `evidence_facts` over the same keys.
+    """
+    listed = facts.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.array_sort(F.array_agg(F.struct("name", "role", "value", "units", "coverage", "pct_of_science"))).alias("evidence")
+    )
+    joined = charts.join(listed, list(keys), "left")
+    return joined.withColumn("has_evidence", F.coalesce(F.col("_n") > 0, F.lit(False))).drop("_n")

@@ -1 +1 @@
-"""Structured Streaming jobs."""
+"""Structured Streaming jobs over arriving granule files and ground samples."""
