@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwright.functions.aggregates import weighted_mean
 from cellwright.functions.scalars import finite, is_finite
 from cellwright.operators import order_stats
+from cellwright.session import settle
 
 # --- Fixed values ---------------------------------------------------------------------------------
 PERCENT_CHANGE_FLOOR = 0.05
@@ -35,44 +36,32 @@ def split_sources(cells: DataFrame, label_a: str | None = None, label_b: str | N
     return marked.withColumn("side", F.when(F.coalesce("_f.labelled", F.lit(False)), by_label).otherwise(by_place)).drop("_f")
 
 
-def nearest_on_axis(points: DataFrame, axis: DataFrame, point: str, center: str, keys: Sequence[str] = ()) -> DataFrame:
+def nearest_on_axis(points: DataFrame, axis: DataFrame, point: str, center: str) -> DataFrame:
     """Nearest axis center of each point; the larger center on ties, the edge center when outside.
 
-    Every center owns the stretch of the line nearest to it. Stretches and points meet in equal bins
-    about one step wide, so no point is compared with more than a few centers. Axes are the distinct
-    coordinates of a grid: short enough to be windowed per key.
+    The axis of a grid, at most some ten thousand sorted numbers, goes to every task as one array,
+    and each point halves it until its two neighbours are found.
     """
-    keys = list(keys)
-    order = Window.partitionBy(*keys).orderBy(center)
-    whole = Window.partitionBy(*keys)
-    owned = axis.select(*keys, center).distinct().withColumns({
-        "_prev": F.lag(center).over(order), "_next": F.lead(center).over(order),
-        "_min": F.min(center).over(whole), "_max": F.max(center).over(whole), "_n": F.count(F.lit(1)).over(whole),
-    })
-    owned = owned.withColumns({
-        "_lo": F.coalesce((F.col("_prev") + F.col(center)) / 2, F.col("_min")),
-        "_hi": F.coalesce((F.col("_next") + F.col(center)) / 2, F.col("_max")),
-        "_w": F.when(F.col("_n") > 1, (F.col("_max") - F.col("_min")) / (F.col("_n") - 1)).otherwise(F.lit(1.0)),
-    })
-    frame = owned.groupBy(*keys).agg(F.first("_min").alias("_min"), F.first("_max").alias("_max"), F.first("_w").alias("_w"))
-    binned = owned.withColumn(
-        "_bin",
-        F.explode(F.sequence(
-            F.floor((F.col("_lo") - F.col("_min")) / F.col("_w")), F.floor((F.col("_hi") - F.col("_min")) / F.col("_w"))
-        )),
-    ).select(*keys, center, "_lo", "_hi", "_next", "_bin")
-    if keys:
-        located = points.join(frame, keys)
-    else:
-        one = frame.select(F.struct("_min", "_max", "_w").alias("f")).scalar()
-        located = points.withColumn("_f", one).withColumns(
-            {"_min": F.col("_f._min"), "_max": F.col("_f._max"), "_w": F.col("_f._w")}
-        ).drop("_f")
-    located = located.withColumn(
-        "_x", F.least(F.greatest(F.col(point), F.col("_min")), F.col("_max"))
-    ).withColumn("_bin", F.floor((F.col("_x") - F.col("_min")) / F.col("_w"))).drop("_min", "_max", "_w")
-    mine = (F.col("_x") >= F.col("_lo")) & ((F.col("_x") < F.col("_hi")) | F.col("_next").isNull())
-    return located.join(binned, [*keys, "_bin"]).where(mine).drop("_bin", "_x", "_lo", "_hi", "_next")
+    centers = axis.groupBy().agg(F.array_sort(F.collect_set(center))).scalar()
+    x, c = F.col(point), F.col("_centers")
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        right = F.coalesce(F.get(c, mid) <= x, F.lit(False))
+        searching = s["lo"] < s["hi"]
+        return F.struct(
+            F.when(searching & right, mid + 1).otherwise(s["lo"]).alias("lo"),
+            F.when(searching & ~right, mid).otherwise(s["hi"]).alias("hi"),
+        )
+
+    def pick(s: Column) -> Column:
+        left, right = F.get(c, s["lo"] - 1), F.get(c, s["lo"])
+        left_nearer = right.isNull() | (x - left < right - x)
+        return F.when(left.isNotNull() & left_nearer, left).otherwise(right)
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(c).alias("hi"))
+    nearest = F.aggregate(F.sequence(F.lit(1), F.lit(24)), start, halve, pick)
+    return points.withColumn("_centers", centers).withColumn(center, nearest).drop("_centers")
 
 
 def align_grids(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -82,12 +71,15 @@ def align_grids(a: DataFrame, b: DataFrame) -> DataFrame:
     match. A cell of A further than one step of B from any cell of B has no partner. Only the axes
     are matched by distance; cells then meet on equal keys.
     """
+    grid_a = settle(a.select("lat", "lon").distinct(), "axes")
+    grid_b = settle(b.select("lat", "lon").distinct(), "axes")
+
     def mapped(axis: str) -> DataFrame:
-        theirs = b.select(F.col(axis).alias("_b")).distinct()
+        theirs = grid_b.select(F.col(axis).alias("_b")).distinct()
         step = theirs.groupBy().agg(
             F.coalesce(F.try_divide(F.max("_b") - F.min("_b"), F.count(F.lit(1)) - 1), F.lit(1.0)).alias("s")
         ).scalar()
-        near = nearest_on_axis(a.select(axis).distinct(), theirs, axis, "_b")
+        near = settle(nearest_on_axis(grid_a.select(axis).distinct(), theirs, axis, "_b"), "axes")
         return near.where(F.abs(F.col(axis) - F.col("_b")) <= step).select(axis, F.col("_b").alias(f"_{axis}"))
 
     left = a.select("i", "j", "lat", "lon", F.col("value").alias("a")).join(mapped("lat"), "lat").join(mapped("lon"), "lon")

@@ -252,6 +252,30 @@ def located(monitors: DataFrame) -> DataFrame:
     return monitors.withColumns({"_lat": float_or_none("latitude"), "_lon": float_or_none("longitude")})
 
 
+def first_step(south: Column, north: Column, west: Column, east: Column) -> Column:
+    """First step of the ladder whose box holds the place (`_lat`, `_lon`); NULL when none does."""
+    step = F.lit(None).cast("int")
+    for n in reversed(range(len(BOX_LADDER))):
+        d = BOX_LADDER[n]
+        held = F.col("_lat").between(south - d, north + d) & F.col("_lon").between(west - d, east + d)
+        step = F.when(held, F.lit(n)).otherwise(step)
+    return step
+
+
+def step_counts(n: Column) -> list[Column]:
+    """Monitors held by each step's box, from `_step` and the monitors a row stands for."""
+    return [F.sum(F.when(F.col("_step") <= s, n).otherwise(0)).alias(f"_s{s}") for s in range(len(BOX_LADDER))]
+
+
+def chosen_step(k: int) -> Column:
+    """The first step with at least `k` monitors, else the first that holds as many as the widest."""
+    steps = range(len(BOX_LADDER))
+    return F.coalesce(
+        *[F.when(F.col(f"_s{s}") >= k, F.lit(s)) for s in steps],
+        *[F.when(F.col(f"_s{s}") == F.col(f"_s{len(BOX_LADDER) - 1}"), F.lit(s)) for s in steps],
+    )
+
+
 def monitor_search(boxes: DataFrame, monitors: DataFrame, k: int = 1) -> DataFrame:
     """Monitors of the first ladder box that holds at least `k`; the fullest box when none does.
 
@@ -268,21 +292,9 @@ def monitor_search(boxes: DataFrame, monitors: DataFrame, k: int = 1) -> DataFra
     spots = spots.withColumns({
         "_ty": F.floor(F.col("_lat") / TILE_DEGREES).cast("int"), "_tx": F.floor(F.col("_lon") / TILE_DEGREES).cast("int"),
     })
-    first_step = F.lit(None).cast("int")
-    for step in reversed(range(len(BOX_LADDER))):
-        d = BOX_LADDER[step]
-        held = F.col("_lat").between(F.col("south") - d, F.col("north") + d) & F.col("_lon").between(F.col("west") - d, F.col("east") + d)
-        first_step = F.when(held, F.lit(step)).otherwise(first_step)
-    pairs = tiled.join(spots, ["_ty", "_tx"]).withColumn("_step", first_step).where(F.col("_step").isNotNull())
-    counts = pairs.groupBy(*edges).agg(
-        *[F.sum(F.when(F.col("_step") <= s, F.col("_n")).otherwise(0)).alias(f"_s{s}") for s in range(len(BOX_LADDER))]
-    )
-    full = F.col(f"_s{len(BOX_LADDER) - 1}")
-    chosen = F.coalesce(
-        *[F.when(F.col(f"_s{s}") >= k, F.lit(s)) for s in range(len(BOX_LADDER))],
-        *[F.when(F.col(f"_s{s}") == full, F.lit(s)) for s in range(len(BOX_LADDER))],
-    )
-    steps = counts.select(*edges, chosen.alias("step"))
+    step = first_step(F.col("south"), F.col("north"), F.col("west"), F.col("east"))
+    pairs = tiled.join(spots, ["_ty", "_tx"]).withColumn("_step", step).where(F.col("_step").isNotNull())
+    steps = pairs.groupBy(*edges).agg(*step_counts(F.col("_n"))).select(*edges, chosen_step(k).alias("step"))
     found = pairs.join(steps, edges).where(F.col("_step") <= F.col("step")).select(*edges, "step", "_lat", "_lon")
     return (
         boxes.select("query_id", *edges).join(found, edges)

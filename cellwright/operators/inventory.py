@@ -260,7 +260,7 @@ def excluded_empty(inventory: DataFrame) -> DataFrame:
 
 
 def _rank_key() -> list[Column]:
-    return [(-F.col("decile")).alias("d"), (-F.col("score")).alias("s"), "sensor_rank", "algorithm_rank", "name"]
+    return [(-F.col("decile")).alias("d"), (-F.col("score")).alias("s"), F.col("sensor_rank"), F.col("algorithm_rank"), F.col("name")]
 
 
 def rank_variables(inventory: DataFrame) -> DataFrame:
@@ -286,18 +286,21 @@ def resolve_variable(inventory: DataFrame) -> DataFrame:
         F.min(F.when(candidate & F.col("requested_here"), key)).alias("_asked"),
         F.min(F.when(pickable, key)).alias("_top"), F.count_if(pickable).alias("_n"),
         F.count_if(serious).alias("_serious"),
-        # The distinct products of one coverage decile of one file.
-        F.array_agg(F.when(serious, F.struct(*_rank_key(), "label"))).alias("_rivals"),
         F.count_if(eligible & (F.col("valid_fraction") <= 0) & ~F.col("requested_here")).alias("_empty"),
     )
     files = per_decile.groupBy("file_id").agg(
         F.min("_asked").alias("_asked"), F.min("_top").alias("_top"), F.sum("_n").alias("_n"), F.sum("_empty").alias("excluded_empty"),
-        F.max(F.when(F.col("_n") > 0, F.struct("decile", "_serious", "_rivals"))).alias("_best"),
+        F.max(F.when(F.col("_n") > 0, F.struct("decile", "_serious"))).alias("_best"),
     )
+    # The first few distinct products of a file: every task keeps only its own first ones.
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy(*_rank_key()))
+    rivals = scored.where(serious).withColumn("_place", place).where(F.col("_place") <= MAX_ALTERNATIVES + 1)
+    rivals = rivals.groupBy("file_id").agg(F.array_sort(F.array_agg(F.struct("_place", "decile", "name", "label"))).alias("_rivals"))
+    files = files.join(rivals, "file_id", "left")
     asked, strong_top = F.col("_asked").isNotNull(), F.coalesce("_top.strong", F.lit(False))
     ambiguous = strong_top & (F.col("_best._serious") >= 2) & ~asked
     single = (F.col("_n") == 1) & ~strong_top & ~asked
-    others = F.filter(F.array_sort("_best._rivals"), lambda r: r["name"] != F.col("_top.name"))
+    others = F.filter("_rivals", lambda r: (r["name"] != F.col("_top.name")) & (r["decile"] == F.col("_best.decile")))
     labels = F.filter(F.transform(F.slice(others, 1, MAX_ALTERNATIVES), lambda r: r["label"]), lambda t: t != F.col("_top.label"))
     start = F.lit("showing ")
     note = F.when(

@@ -14,12 +14,14 @@ from cellwright.session import settle
 
 
 def region_monitors(monitors: DataFrame, box: Box, k: int) -> DataFrame:
-    """Monitors of the first search box around the region that holds at least `k`."""
-    one = monitors.sparkSession.createDataFrame(
-        [("region", float(box[1]), float(box[3]), float(box[0]), float(box[2]))],
-        "query_id string, south double, north double, west double, east double",
-    )
-    return G.monitor_search(one, monitors, k).drop("query_id", "step", "_lat", "_lon")
+    """Monitors of the first search box around the region that holds at least `k`.
+
+    One box needs no join: a single aggregate counts every step, and its choice filters the rows.
+    """
+    placed = G.located(monitors).withColumn("_step", G.first_step(*[F.lit(float(box[n])) for n in (1, 3, 0, 2)]))
+    near = placed.where(F.col("_step").isNotNull())
+    chosen = near.groupBy().agg(*G.step_counts(F.lit(1))).select(G.chosen_step(k)).scalar()
+    return near.where(F.col("_step") <= chosen).drop("_step", "_lat", "_lon")
 
 
 def daily_means(records: DataFrame) -> DataFrame:
