@@ -53,14 +53,11 @@ def sample_points(field: DataFrame, keys: Sequence[str] = (), max_points: int =
     else:
         ranked = ranked.withColumn("_n", sizes.select("_n").scalar())
     step = (F.col("_n") - 1).cast("double") / (max_points - 1)
-    # The even spacing visits floor(k * step); p is visited when some k lands in [p, p + 1).
-    k = F.ceil(F.col("_pos") / step)
-    visited = (
-        (F.floor(k * step) == F.col("_pos"))
-        | (F.floor((k - 1) * step) == F.col("_pos"))
-        | (F.floor((k + 1) * step) == F.col("_pos"))
-        | (F.col("_pos") == F.col("_n") - 1)
-    )
+    # The even spacing takes floor(k * step) for every k but the last, which is the last cell.
+    near = F.ceil(F.col("_pos") / step)
+    visited = F.col("_pos") == F.col("_n") - 1
+    for k in (near - 1, near, near + 1):
+        visited = visited | ((k <= max_points - 2) & (F.floor(k * step) == F.col("_pos")))
     kept = ranked.where(F.when(F.col("_n") <= max_points, F.lit(True)).otherwise(visited))
     return kept.select(*keys, "i", "j", "lat", "lon", sig7("value").alias("value"))
 
