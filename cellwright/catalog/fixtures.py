@@ -19,40 +19,40 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     # 120 x 100 grid of half-degree cells, one granule a day. Fill -999; flag 0 normal, 1 suspicious, 2 bad.
     "fx_cells": (("lineitem",), """
 SELECT 'GRID_DAILY' AS collection, CAST(CAST(l_shipdate AS DATE) AS VARCHAR(10)) AS granule_id,
-  CAST(l_partkey % 120 AS INT) AS i, CAST(l_suppkey % 100 AS INT) AS j,
+  CAST(l_partkey % 120 AS INT) AS i, CAST((l_partkey * 3 + l_suppkey * 7) % 100 AS INT) AS j,
   CAST(20 + (l_partkey % 120) / CAST(2 AS DOUBLE) AS DOUBLE) AS lat,
-  CAST(-120 + (l_suppkey % 100) / CAST(2 AS DOUBLE) AS DOUBLE) AS lon,
+  CAST(-120 + ((l_partkey * 3 + l_suppkey * 7) % 100) / CAST(2 AS DOUBLE) AS DOUBLE) AS lon,
   CAST(l_shipdate AS DATE) AS ts,
   CASE WHEN sum(l_orderkey) % 17 = 0 THEN CAST(-999 AS DOUBLE)
        ELSE max(l_extendedprice) / CAST(997 AS DOUBLE) END AS raw_value,
   CAST(sum(l_linenumber) % 3 AS INT) AS qa_flag,
   max(l_discount) AS cloud_fraction, max(l_tax) * 1000 AS value_uncertainty
 FROM {lineitem}
-GROUP BY l_partkey % 120, l_suppkey % 100, CAST(l_shipdate AS DATE)"""),
+GROUP BY l_partkey % 120, (l_partkey * 3 + l_suppkey * 7) % 100, CAST(l_shipdate AS DATE)"""),
     # The same grid with three granules a day that share a timestamp, and two collections.
     "fx_granule_cells": (("lineitem",), """
 SELECT l_linestatus AS collection,
   concat(l_returnflag, '_', CAST(CAST(l_shipdate AS DATE) AS VARCHAR(10))) AS granule_id,
-  CAST(l_partkey % 120 AS INT) AS i, CAST(l_suppkey % 100 AS INT) AS j,
+  CAST(l_partkey % 120 AS INT) AS i, CAST((l_partkey * 3 + l_suppkey * 7) % 100 AS INT) AS j,
   CAST(20 + (l_partkey % 120) / CAST(2 AS DOUBLE) AS DOUBLE) AS lat,
-  CAST(-120 + (l_suppkey % 100) / CAST(2 AS DOUBLE) AS DOUBLE) AS lon,
+  CAST(-120 + ((l_partkey * 3 + l_suppkey * 7) % 100) / CAST(2 AS DOUBLE) AS DOUBLE) AS lon,
   CAST(l_shipdate AS DATE) AS ts, max(l_extendedprice) / CAST(997 AS DOUBLE) AS value
 FROM {lineitem}
-GROUP BY l_linestatus, l_returnflag, l_partkey % 120, l_suppkey % 100, CAST(l_shipdate AS DATE)"""),
+GROUP BY l_linestatus, l_returnflag, l_partkey % 120, (l_partkey * 3 + l_suppkey * 7) % 100, CAST(l_shipdate AS DATE)"""),
     # Three levels (0, 1, 2) and a month per granule.
     "fx_level_cells": (("lineitem",), """
-SELECT CAST(l_partkey % 120 AS INT) AS i, CAST(l_suppkey % 100 AS INT) AS j,
+SELECT CAST(l_partkey % 120 AS INT) AS i, CAST((l_partkey * 3 + l_suppkey * 7) % 100 AS INT) AS j,
   CAST(l_linenumber % 3 AS DOUBLE) * 50 AS level,
   make_date(CAST(year(l_shipdate) AS INT), CAST(month(l_shipdate) AS INT), 1) AS ts,
   max(l_extendedprice) / CAST(997 AS DOUBLE) AS value
 FROM {lineitem}
-GROUP BY l_partkey % 120, l_suppkey % 100, l_linenumber % 3, year(l_shipdate), month(l_shipdate)"""),
+GROUP BY l_partkey % 120, (l_partkey * 3 + l_suppkey * 7) % 100, l_linenumber % 3, year(l_shipdate), month(l_shipdate)"""),
     # Hourly cells for January 2024; a user fixes both indexes.
     "fx_hourly": (("events",), """
 SELECT CAST(user_id % 30 AS INT) AS i, CAST(user_id % 20 AS INT) AS j,
   CAST(25 + user_id % 30 AS DOUBLE) AS lat,
   CAST(-110 + (user_id % 20) * CAST(1.5 AS DOUBLE) AS DOUBLE) AS lon,
-  date_trunc('hour', ts) AS ts, max(value) AS raw_value, CAST(sum(event_id) % 3 AS INT) AS qa_flag
+  date_trunc('hour', ts) AS ts, max(value) / CAST(0.997 AS DOUBLE) AS raw_value, CAST(sum(event_id) % 3 AS INT) AS qa_flag
 FROM {events}
 GROUP BY user_id % 30, user_id % 20, date_trunc('hour', ts)"""),
     # One site per supplier, coordinates as text as in the real feed.
@@ -78,7 +78,7 @@ SELECT m.state_code, m.county_code, m.site_number, m.local_site_name, d.date_loc
   'ppb' AS units_of_measure, '1 HOUR' AS sample_duration, d.arithmetic_mean, d.first_max_value,
   d.first_max_hour, d.observation_count, d.observation_percent, m.latitude, m.longitude
 FROM (SELECT user_id % 100 AS site_key, CAST(CAST(ts AS DATE) AS VARCHAR(10)) AS date_local,
-        event_type AS pollutant_standard, round(avg(value), 6) AS arithmetic_mean, max(value) AS first_max_value,
+        event_type AS pollutant_standard, avg(value) / CAST(0.997 AS DOUBLE) AS arithmetic_mean, max(value) AS first_max_value,
         CAST(max(hour(ts)) AS INT) AS first_max_hour, count(*) AS observation_count,
         count(DISTINCT hour(ts)) * CAST(100 AS DOUBLE) / 24 AS observation_percent
       FROM {events} GROUP BY user_id % 100, CAST(ts AS DATE), event_type) d
@@ -92,7 +92,7 @@ SELECT lpad(CAST(c.c_nationkey AS VARCHAR(2)), 2, '0') AS state_code,
   o.arithmetic_mean, o.minimum_value, o.maximum_value, o.observation_count,
   o.valid_day_count, CAST(90 AS BIGINT) AS required_day_count
 FROM (SELECT o_custkey, CAST(year(o_orderdate) AS INT) AS year, CAST(quarter(o_orderdate) AS INT) AS quarter,
-        o_orderpriority AS pollutant_standard, round(avg(o_totalprice) / 1000, 6) AS arithmetic_mean,
+        o_orderpriority AS pollutant_standard, avg(o_totalprice) / 997 AS arithmetic_mean,
         min(o_totalprice) / 1000 AS minimum_value,
         CASE WHEN max(o_custkey) % 3 = 0 THEN NULL ELSE max(o_totalprice) / 1000 END AS maximum_value,
         count(*) AS observation_count, count(DISTINCT CAST(o_orderdate AS DATE)) AS valid_day_count
