@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cellwright.functions.aggregates import weighted_mean
 from cellwright.functions.scalars import finite, is_finite
 from cellwright.operators import order_stats
+from cellwright.operators.regions import coordinates
 from cellwright.session import settle
 
 # --- Fixed values ---------------------------------------------------------------------------------
@@ -71,8 +72,7 @@ def align_grids(a: DataFrame, b: DataFrame) -> DataFrame:
     match. A cell of A further than one step of B from any cell of B has no partner. Only the axes
     are matched by distance; cells then meet on equal keys.
     """
-    grid_a = settle(a.select("lat", "lon").distinct(), "axes")
-    grid_b = settle(b.select("lat", "lon").distinct(), "axes")
+    grid_a, grid_b = coordinates(a), coordinates(b)
 
     def mapped(axis: str) -> DataFrame:
         theirs = grid_b.select(F.col(axis).alias("_b")).distinct()

@@ -11,7 +11,7 @@ from cellwright.functions.aggregates import pearson
 from cellwright.functions.scalars import is_finite, site_id
 from cellwright.operators.comparison import nearest_on_axis
 from cellwright.operators.ground import located
-from cellwright.session import settle
+from cellwright.operators.regions import coordinates
 
 
 def join_flag(science: DataFrame, flags: DataFrame, on: Sequence[str] = ("ts", "i", "j")) -> DataFrame:
@@ -25,7 +25,7 @@ def nearest_cell(monitors: DataFrame, cells: DataFrame, axes: DataFrame | None =
     `axes` may hold the grid's coordinates as (lat, lon) rows from a written catalog; else they are
     the distinct coordinates of the cells, found in one pass.
     """
-    grid = settle(cells.select("lat", "lon").distinct(), "axes") if axes is None else axes
+    grid = coordinates(cells) if axes is None else axes
     placed = located(monitors)
     placed = nearest_on_axis(placed, grid.select(F.col("lat").alias("cell_lat")), "_lat", "cell_lat")
     placed = nearest_on_axis(placed, grid.select(F.col("lon").alias("cell_lon")), "_lon", "cell_lon")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwright.functions.scalars import half_cell
+from cellwright.session import settle
 
 BAND_DEGREES = 1.0
 STEP_TOLERANCE = 1e-3
@@ -66,6 +67,11 @@ def grid_axes(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def coordinates(cells: DataFrame) -> DataFrame:
+    """Distinct coordinates of a grid, written once: later steps never scan the cells for them."""
+    return settle(cells.select("lat", "lon").distinct(), "axes")
+
+
 def pixel_edges(axes: DataFrame) -> DataFrame:
     """Pixel-edge bounds from pixel-center extents."""
     hx, hy = half_cell("lon_min", "lon_max", "n_lon"), half_cell("lat_min", "lat_max", "n_lat")
@@ -96,6 +102,8 @@ def grid_kind(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     A grid is curvilinear when one array position carries several coordinates on an axis.
     """
     keys = list(keys)
+    # The grid without its timesteps: the one pass over the cells.
+    cells = settle(cells.select(*keys, "i", "j", "lat", "lon").distinct(), "grid")
     spread = (
         cells.groupBy(*keys, "i").agg(F.min("lat").alias("lo"), F.max("lat").alias("hi"))
         .groupBy(*keys).agg(F.bool_or(F.col("lo") != F.col("hi")).alias("_lat2d"), F.bool_or(F.col("lo").isNull()).alias("_nolat"))
@@ -185,7 +193,7 @@ def region_mask_boundary(cells: DataFrame, edges: DataFrame, axes: DataFrame | N
     inside = region_mask_polygon(cells, edges).withColumn("region_type", F.lit("polygon"))
     hit = inside.select("region_id").distinct()
     small = edges.join(hit, "region_id", "left_anti")
-    axes = grid_axes(cells) if axes is None else axes
+    axes = grid_axes(coordinates(cells)) if axes is None else axes
     half = axes.select(
         F.struct(half_cell("lon_min", "lon_max", "n_lon").alias("hx"), half_cell("lat_min", "lat_max", "n_lat").alias("hy"))
     ).scalar()
@@ -206,24 +214,23 @@ def region_mask_boundary(cells: DataFrame, edges: DataFrame, axes: DataFrame | N
     return inside.unionByName(rescued.select(inside.columns))
 
 
-def region_mask_box(cells: DataFrame, box: Box, region_id: str) -> DataFrame:
-    """Cells of a box; a box that holds no cell center keeps every cell it overlaps."""
-    axes = grid_axes(cells).select(
-        F.struct(half_cell("lon_min", "lon_max", "n_lon").alias("hx"), half_cell("lat_min", "lat_max", "n_lat").alias("hy"))
-    ).scalar()
-    any_inside = (
-        cells.where(in_box(box)).groupBy().agg((F.count(F.lit(1)) > 0).alias("any")).select("any").scalar()
-    )
-    near = (
-        (F.col("lon") + F.col("_h.hx") >= box[0]) & (F.col("lon") - F.col("_h.hx") <= box[2])
-        & (F.col("lat") + F.col("_h.hy") >= box[1]) & (F.col("lat") - F.col("_h.hy") <= box[3])
-    )
-    rows = cells.withColumns({"_h": axes, "_any": any_inside})
-    kept = rows.where(F.when(F.col("_any"), in_box(box)).otherwise(near))
-    return kept.withColumns({
-        "region_id": F.lit(region_id),
-        "region_type": F.when(F.col("_any"), "bounding_box").otherwise("boundary_cells"),
-    }).drop("_h", "_any")
+def region_mask_box(cells: DataFrame, box: Box, region_id: str, grid: DataFrame | None = None) -> DataFrame:
+    """Cells of a box; a box that holds no cell center keeps every cell it overlaps.
+
+    Which rule applies follows from one row of facts about the grid's coordinates, so the filter on
+    the cells is made of literals and reaches the Parquet scan. `grid` holds those coordinates as
+    (lat, lon) rows, from a written catalog or found here in one pass.
+    """
+    grid = coordinates(cells) if grid is None else grid
+    facts = grid_axes(grid).select(
+        half_cell("lon_min", "lon_max", "n_lon").alias("hx"), half_cell("lat_min", "lat_max", "n_lat").alias("hy")
+    ).first()
+    if not grid.where(in_box(box)).isEmpty():
+        kept, kind = cells.where(in_box(box)), "bounding_box"
+    else:
+        touched = (box[0] - facts["hx"], box[1] - facts["hy"], box[2] + facts["hx"], box[3] + facts["hy"])
+        kept, kind = cells.where(in_box(touched)), "boundary_cells"
+    return kept.withColumns({"region_id": F.lit(region_id), "region_type": F.lit(kind)})
 
 
 def with_regions(cells: DataFrame, boxes: dict[str, Box]) -> DataFrame:
