@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellwright.catalog._common import BOXES, IN_A, IN_B, MASKED, REGIONED, TEMPORAL_MEAN, W, as_text, masked_cells, r6
+from cellwright.catalog._common import BOXES, FILL, GOOD, TRIANGLE, VMAX, VMIN, IN_A, IN_B, MASKED, REGIONED, TEMPORAL_MEAN, W, as_text, masked_cells, r6
 from cellwright.catalog.fixtures import ctes, fixture
 from cellwright.operators import comparison as C
 from cellwright.operators import display as P
+from cellwright.operators import masking as M
 from cellwright.operators import reductions as D
 from cellwright.operators import regions as R
 from cellwright.plans import maps
@@ -189,6 +190,17 @@ QUERIES = {
         lambda s, d: maps.heatmap(R.with_regions(masked_cells(s, d), BOXES), "monthly", KEY, 500),
         _rsql(_HEAT, allcells=_ALLCELLS, shape=_shape(500)),
     ),
+    "heatmap_polygon": (
+        lambda s, d: maps.heatmap(M.mask_cells(R.polygon_panels(fixture(s, d, "fx_cells"), TRIANGLE), fill=FILL, vmin=VMIN, vmax=VMAX, good=GOOD), "monthly", KEY, 1000),
+        ctes("fx_cells", masked=MASKED,
+             edges="SELECT * FROM (VALUES (-119.0::DOUBLE, 21.0::DOUBLE, -76.0::DOUBLE, 21.0::DOUBLE), (-76.0, 21.0, -98.0, 57.0), (-98.0, 57.0, -119.0, 21.0)) e(x1, y1, x2, y2)",
+             tri="""SELECT g.lat, g.lon FROM (SELECT DISTINCT lat, lon FROM fx_cells) g JOIN edges e ON g.lat BETWEEN least(y1, y2) AND greatest(y1, y2) GROUP BY g.lat, g.lon
+               HAVING sum(CASE WHEN (y1 <= lat) <> (y2 <= lat) AND x1 + (lat - y1) * ((x2 - x1) / (y2 - y1)) > lon THEN 1 ELSE 0 END) % 2 = 1
+               OR bool_or(CASE WHEN y1 = y2 THEN lon BETWEEN least(x1, x2) AND greatest(x1, x2) ELSE lon = x1 + (lat - y1) * ((x2 - x1) / (y2 - y1)) END)""",
+             regioned="""SELECT m.* EXCLUDE (value), CASE WHEN t.lat IS NOT NULL THEN m.value END AS value, 'T' AS region_id FROM masked m LEFT JOIN tri t ON t.lat = m.lat AND t.lon = m.lon
+               WHERE m.lon BETWEEN -119 AND -76 AND m.lat BETWEEN 21 AND 57""",
+             field=TEMPORAL_MEAN, allcells=_ALLCELLS, shape=_shape(1000)) + _HEAT,
+    ),
     "color_index": (
         lambda s, d: P.colorize(_field(s, d), C.percentile_bounds(_field(s, d), KEY), KEY).select("region_id", "i", "j", F.col("color").cast("double")),
         _rsql("""SELECT region_id, i, j, CASE WHEN value IS NOT NULL THEN CAST(round_even(least(greatest((value - vmin) / (vmax - vmin), 0), 1) * 255, 0) AS DOUBLE) END AS color FROM allcells

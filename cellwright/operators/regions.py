@@ -19,6 +19,7 @@ STEP_TOLERANCE = 1e-3
 
 # --- Fixed values ---------------------------------------------------------------------------------
 MIN_BOX_HALF = 0.25
+POINT_HALF = 0.1
 BOX_LADDER = [0.0, 0.5, 1.5, 3.0, 5.0]
 # --------------------------------------------------------------------------------------------------
 
@@ -36,6 +37,11 @@ def crop_bounds(cells: DataFrame, box: Box) -> DataFrame:
     return cells.where(in_box(box))
 
 
+def point_buffer(lon: float, lat: float) -> Box:
+    """The small box that stands for a place known only as a point."""
+    return (lon - POINT_HALF, lat - POINT_HALF, lon + POINT_HALF, lat + POINT_HALF)
+
+
 def normalize_longitude(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Bring 0..360 longitudes to -180..180 and renumber `j` by the new order.
 
@@ -146,14 +152,9 @@ def _banded(edges: DataFrame) -> DataFrame:
     return edges.withColumn("_band", F.explode(F.sequence(band(low), band(high))))
 
 
-def region_mask_polygon(cells: DataFrame, edges: DataFrame) -> DataFrame:
-    """Cells whose centers lie in a polygon, with its `region_id`.
-
-    One scan line per latitude of the grid: latitudes meet edges by latitude band, each line keeps
-    the longitudes where it crosses an edge, and a cell is inside when an odd number of crossings
-    lies east of it. The cells themselves are never paired with edges.
-    """
-    lines = cells.select("lat").distinct().withColumn("_band", F.floor(F.col("lat") / BAND_DEGREES))
+def _scan_lines(lats: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per polygon and latitude, the longitudes where the scan line crosses or runs along an edge."""
+    lines = lats.select("lat").distinct().withColumn("_band", F.floor(F.col("lat") / BAND_DEGREES))
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     met = lines.join(_banded(edges), "_band").where(F.col("lat").between(low, high))
     level = F.col("y1") == F.col("y2")
@@ -163,12 +164,42 @@ def region_mask_polygon(cells: DataFrame, edges: DataFrame) -> DataFrame:
         F.struct(x.alias("a"), x.alias("b"))
     )
     # Bounded by the edges of one polygon at one latitude.
-    scan = met.groupBy("region_id", "lat").agg(
+    return met.groupBy("region_id", "lat").agg(
         F.array_agg(F.when(crosses, x)).alias("_crossings"), F.array_agg(on_edge).alias("_edges")
     )
+
+
+def _on_scan_line() -> Column:
     east = F.size(F.filter("_crossings", lambda c: c > F.col("lon")))
     touching = F.exists("_edges", lambda e: F.col("lon").between(e["a"], e["b"]))
-    return cells.join(scan, "lat").where((east % 2 == 1) | touching).drop("_crossings", "_edges")
+    return F.coalesce((east % 2 == 1) | touching, F.lit(False))
+
+
+def region_mask_polygon(cells: DataFrame, edges: DataFrame) -> DataFrame:
+    """Cells whose centers lie in a polygon, with its `region_id`.
+
+    One scan line per latitude of the grid: latitudes meet edges by latitude band, each line keeps
+    the longitudes where it crosses an edge, and a cell is inside when an odd number of crossings
+    lies east of it. The cells themselves are never paired with edges.
+    """
+    return cells.join(_scan_lines(cells, edges), "lat").where(_on_scan_line()).drop("_crossings", "_edges")
+
+
+def polygon_panels(
+    cells: DataFrame, polygons: dict[str, Sequence[Sequence[tuple[float, float]]]], value: str = "raw_value"
+) -> DataFrame:
+    """One panel per polygon: the grid of its bounding box, with values outside the polygon missing.
+
+    For maps, whose shape and valid share refer to the whole rectangle. The boxes are literals and
+    prune the scan; every polygon keeps its own rows.
+    """
+    boxes = {}
+    for region_id, rings in polygons.items():
+        xs, ys = [x for ring in rings for x, _ in ring], [y for ring in rings for _, y in ring]
+        boxes[region_id] = (min(xs), min(ys), max(xs), max(ys))
+    scan = _scan_lines(cells, polygon_edges(cells.sparkSession, polygons))
+    rows = with_regions(cells, boxes).join(scan, ["region_id", "lat"], "left")
+    return rows.withColumn(value, F.when(_on_scan_line(), F.col(value))).drop("_crossings", "_edges")
 
 
 def _segment_meets_cell(hx: Column, hy: Column) -> Column:
