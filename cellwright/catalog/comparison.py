@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellwright.catalog._common import BOXES, FILL, GOOD, TRIANGLE, VMAX, VMIN, IN_A, IN_B, MASKED, REGIONED, TEMPORAL_MEAN, W, as_text, masked_cells, r6
+from cellwright.catalog._common import BOXES, FILL, GOOD, TRIANGLE, VMAX, VMIN, IN_A, MASKED, REGIONED, TEMPORAL_MEAN, W, as_text, masked_cells, r6
 from cellwright.catalog.fixtures import ctes, fixture
 from cellwright.operators import comparison as C
 from cellwright.operators import display as P

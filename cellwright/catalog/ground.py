@@ -126,6 +126,20 @@ def _overlay(s, d):
     return as_text(V.exceedance_overlay(fixture(s, d, "fx_hourly"), fixture(s, d, "fx_monitors"), records, _mask, BOX, 3, hard=100.0, percentile=95.0), "ts")
 
 
+def _reports(s, d):
+    """Three parameters, each under its own standard; the third with a limit of its own."""
+    named = {"click": "Ozone 8-hour 2015", "view": "PM25 24-hour 2024", "error": "CO 8-hour 1971"}
+    standard = F.col("pollutant_standard")
+    for mine, theirs in named.items():
+        standard = F.when(F.col("pollutant_standard") == mine, theirs).otherwise(standard)
+    records = fixture(s, d, "fx_daily").withColumn("pollutant_standard", standard)
+    out = None
+    for code, limit in (("44201", None), ("88101", None), ("42101", 50.0)):
+        one = G.exceedance_report(records, code, limit).withColumn("param_code", F.lit(code))
+        out = one if out is None else out.unionByName(one)
+    return r6(out, "value").withColumn("triggered", F.array_join("triggered", ","))
+
+
 _CUT = """SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY first_max_value) - 1 AS pos, count(*) OVER (PARTITION BY site_id) AS n FROM rec"""
 
 QUERIES = {
@@ -186,6 +200,12 @@ QUERIES = {
         CASE WHEN first_max_value > 150 AND first_max_value >= cutoff THEN 'hard,percentile' WHEN first_max_value > 150 THEN 'hard' ELSE 'percentile' END AS triggered
         FROM rec, cut WHERE first_max_value > 150 OR first_max_value >= cutoff""",
     ),
+    "exceedance_report": (
+        _reports,
+        ctes("fx_daily") + f"""SELECT date_local AS date, {SID} AS site_id, CASE pollutant_standard WHEN 'view' THEN round(arithmetic_mean, 6) ELSE round(first_max_value, 6) END AS value, 'hard' AS triggered, local_site_name,
+        CASE pollutant_standard WHEN 'click' THEN '44201' WHEN 'view' THEN '88101' ELSE '42101' END AS param_code FROM fx_daily
+        WHERE (pollutant_standard = 'click' AND first_max_value > 70) OR (pollutant_standard = 'view' AND arithmetic_mean > 35) OR (pollutant_standard = 'error' AND first_max_value > 50)""",
+    ),
     "exceedance_dates": (
         lambda s, d: G.exceedance_dates(fixture(s, d, "fx_daily"), hard=250.0, percentile=95.0),
         ctes("fx_daily", rec=f"SELECT *, {SID} AS site_id FROM fx_daily", c=_CUT,

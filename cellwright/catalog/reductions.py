@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cellwright.catalog._common import (
     BOXES, GOOD, MASKED, MASKED_HOURLY, REGIONED, TEMPORAL_MEAN, W, as_text, masked_cells, masked_hourly, r6,
 )
-from cellwright.catalog.fixtures import ctes, fixture
+from cellwright.catalog.fixtures import ctes
 from cellwright.operators import reductions as D
 from cellwright.operators import regions as R
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cellwright.functions.scalars import float_or_none, haversine_miles, period_key, site_id
 from cellwright.operators import order_stats
-from cellwright.operators.regions import BOX_LADDER
+from cellwright.operators.regions import BOX_LADDER, MIN_BOX_HALF
 
 # --- Fixed values ---------------------------------------------------------------------------------
 PLACEHOLDERS = [
@@ -228,6 +228,24 @@ def exceedance_days(
     ).orderBy("date", "site_id")
 
 
+def regulatory_rule(param_code: str, hard: float | None = None, percentile: float | None = None) -> dict:
+    """Standard, measured field and limit of a parameter; an explicit limit wins over the regulatory one."""
+    standard, field, limit, _ = REGULATORY_LIMITS.get(param_code, (None, "first_max_value", None, None))
+    hard = hard if hard is not None else limit
+    if hard is None and percentile is None:
+        raise ValueError(f"No regulatory threshold known for '{param_code}'. Give a limit or a percentile.")
+    return {"standard": standard, "field": field, "hard": hard}
+
+
+def exceedance_report(
+    records: DataFrame, param_code: str, hard: float | None = None, percentile: float | None = None,
+    start: str | None = None, end: str | None = None,
+) -> DataFrame:
+    """Exceedance days of one parameter under its own standard, field and limit."""
+    rule = regulatory_rule(param_code, hard, percentile)
+    return exceedance_days(filter_standard(records, rule["standard"]), rule["field"], rule["hard"], percentile, start, end)
+
+
 def exceedance_dates(
     records: DataFrame, field: str = "first_max_value", hard: float | None = None, percentile: float | None = None
 ) -> DataFrame:
@@ -308,8 +326,6 @@ def nearest_monitors(points: DataFrame, monitors: DataFrame, k: int) -> DataFram
 
     The rank filter lets Spark keep the best `k` per point in every task before the shuffle.
     """
-    from cellwright.operators.regions import MIN_BOX_HALF
-
     half = F.lit(MIN_BOX_HALF)
     boxes = points.select(
         "query_id", (F.col("lat") - half).alias("south"), (F.col("lat") + half).alias("north"),

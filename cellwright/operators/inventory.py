@@ -6,7 +6,6 @@ here is a row expression or one grouped aggregation per file.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cellwright.functions.aggregates import values_stat, weighted_mean
 from cellwright.functions.scalars import cos_weight, finite, is_finite, round6, sig7
 from cellwright.operators import order_stats
-from cellwright.operators.masking import passes_qa
+from cellwright.operators.masking import in_range, is_fill, passes_qa
 from cellwright.session import settle
 
 CELL = ("i", "j", "lat", "lon")
@@ -230,8 +230,6 @@ def evidence_facts(
     A band is `{name, role, units, fill, vmin, vmax}`. Its own fill and range are masked first, then
     its plain time mean is taken per cell, so it describes the same kind of field as the science map.
     """
-    from cellwright.operators.masking import in_range, is_fill
-
     weights = cadence_weights(valid_timesteps(cells, keys), cadence, keys)
     masked = cells
     for b in bands:

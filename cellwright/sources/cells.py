@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,15 +64,24 @@ def write_cube(cells: DataFrame, path: str, tile: int = TILE, extra_keys: Sequen
     axes.write.parquet(f"{path}/axes")
 
 
-def scan_cube(spark: SparkSession, path: str, box: Box | None = None) -> DataFrame:
-    """Cells of a written cube. A box reads only the tiles it touches.
+def scan_cube(
+    spark: SparkSession, path: str, box: Box | None = None, *,
+    start: str | None = None, end: str | None = None, collections: Sequence[str] | None = None,
+) -> DataFrame:
+    """Cells of a written cube. A box reads only the tiles it touches, a collection only its folders.
 
     The tile bounds are looked up in the cube's axes when the query runs and prune its folders.
     """
-    cells = spark.read.parquet(f"{path}/cells")
+    cells, axes = spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/axes")
+    if collections is not None:
+        cells = cells.where(F.col("collection").isin(list(collections)))
+        axes = axes.where(F.col("collection").isin(list(collections)))
+    if start is not None:
+        cells = cells.where(F.col("ts") >= F.to_timestamp(F.lit(start)))
+    if end is not None:
+        cells = cells.where(F.col("ts") < F.to_timestamp(F.lit(end)))
     if box is None:
         return cells.drop("tile_i", "tile_j")
-    axes = spark.read.parquet(f"{path}/axes")
     for axis, column, lo, hi in (("lat", "tile_i", box[1], box[3]), ("lon", "tile_j", box[0], box[2])):
         held = axes.where((F.col("axis") == axis) & F.col("coordinate").between(float(lo), float(hi)))
         cells = cells.where(

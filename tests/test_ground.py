@@ -151,3 +151,11 @@ def test_overlay_keeps_only_monitors_that_exceeded(spark, grid):
     rows = [(0, "01", "001", "0000", "M", "2024-01-01", "1", "50", "0", "", "", "", "", ""), (1, "01", "001", "0001", "M", "2024-01-01", "1", "150", "0", "", "", "", "", "")]
     got = V.exceedance_overlay(cells, monitors, spark.createDataFrame(rows, DAILY), lambda c: c, (-75.0, 39.0, -72.0, 42.0), 1, hard=100.0).orderBy("ts").collect()
     assert [(r["site_id"], r["value"], r["exceeded"]) for r in got] == [("01-001-0001", None, True), ("01-001-0001", 7.0, False)]
+
+
+def test_a_parameter_without_a_limit_needs_one(spark):
+    df = _daily(spark, [("0007", "2024-01-01", "1", "9", "0")])
+    with pytest.raises(ValueError):
+        G.exceedance_report(df, "99999")
+    assert G.exceedance_report(df, "99999", hard=5.0).count() == 1
+    assert G.exceedance_report(df, "42602", hard=5.0).count() == 0  # another standard

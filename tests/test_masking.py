@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from cellwright.operators import masking as M
 from cellwright.operators import reductions as D

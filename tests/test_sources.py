@@ -29,6 +29,8 @@ def test_a_box_reads_only_the_tiles_it_touches(spark, wide_grid):
     assert cropped.select(F.input_file_name().alias("f")).where(~F.contains("f", F.lit("tile_i=0/tile_j=0"))).count() == 0
     files = lambda df: df.select(F.input_file_name()).distinct().count()
     assert files(cropped) < files(S.scan_cube(spark, path))
+    assert S.scan_cube(spark, path, box, start="2024-01-01 01:00:00", collections=["C"]).count() == 21 * 21
+    assert S.scan_cube(spark, path, collections=["D"]).count() == 0
 
 
 def test_decoded_nan_becomes_null(spark, wide_grid):
