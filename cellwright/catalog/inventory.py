@@ -120,8 +120,10 @@ def _flagless(s, d):
 QUERIES = {
     "identify_axes": (lambda s, d: I.identify_axes(fixture(s, d, "fx_axes")), _axes_sql()),
     "merge_group_variables": (
-        lambda s, d: I.merge_group_variables(fixture(s, d, "fx_inventory")).select("file_id", "ordinal", "merged_name"),
-        ctes("fx_inventory") + f"SELECT file_id, ordinal, CASE WHEN count(*) OVER (PARTITION BY file_id, {_LEAF}) > 1 THEN name ELSE {_LEAF} END AS merged_name FROM fx_inventory",
+        lambda s, d: I.merge_group_variables(fixture(s, d, "fx_inventory")).select("file_id", "ordinal", "merged_name", "shadowed"),
+        ctes("fx_inventory", g=f"""SELECT file_id, ordinal, name, {_LEAF} AS leaf, contains(name, '/') AS grouped FROM fx_inventory""",
+             w="SELECT *, count(*) FILTER (grouped) OVER (PARTITION BY file_id, leaf) AS n, count(*) FILTER (NOT grouped) OVER (PARTITION BY file_id, leaf) AS roots FROM g")
+        + "SELECT file_id, ordinal, CASE WHEN grouped AND n > 1 THEN name ELSE leaf END AS merged_name, grouped AND n = 1 AND roots > 0 AS shadowed FROM w",
     ),
     "classify_variables": (
         lambda s, d: _classified(s, d).select("file_id", "ordinal", "leaf", "group", "role", "confidence"),

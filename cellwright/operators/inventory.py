@@ -6,7 +6,6 @@ here is a row expression or one grouped aggregation per file.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,14 +78,19 @@ BOUNDS_SUFFIXES = ["_bnds", "_bounds", "_vertices", "_edges"]
 
 
 def merge_group_variables(inventory: DataFrame) -> DataFrame:
-    """Name after merging groups: the bare leaf, or the qualified name when several groups hold it.
+    """Names after merging groups: the bare leaf, or the qualified name when several groups hold it.
 
-    `name` is group-qualified; root variables have no group and keep their bare name.
+    `name` is group-qualified; root variables have no group and keep their bare name. A group's
+    variable whose merged name a root variable already has is `shadowed` by it.
     """
-    holders = F.count(F.lit(1)).over(Window.partitionBy("file_id", leaf("name")))
-    return inventory.withColumn("_n", holders).withColumn(
-        "merged_name", F.when(F.col("_n") > 1, F.col("name")).otherwise(leaf("name"))
-    ).drop("_n")
+    same = Window.partitionBy("file_id", leaf("name"))
+    grouped = F.instr("name", "/") > 0
+    marked = inventory.withColumns({"_n": F.count_if(grouped).over(same), "_root": F.bool_or(~grouped).over(same)})
+    keeps = grouped & (F.col("_n") > 1)
+    return marked.withColumns({
+        "merged_name": F.when(keeps, F.col("name")).otherwise(leaf("name")),
+        "shadowed": grouped & ~keeps & F.col("_root"),
+    }).drop("_n", "_root")
 
 
 def _axis_choice(kind: str) -> Column:

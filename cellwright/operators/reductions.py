@@ -39,6 +39,11 @@ def cadence_weights(valid: DataFrame, cadence: str, keys: Sequence[str] = ()) ->
     return valid.withColumn("weight", F.lit(1.0) / F.count(F.lit(1)).over(bucket))
 
 
+def _dated(cells: DataFrame) -> DataFrame:
+    """Cells without any time are one timestep of their own, so that they can be reduced like others."""
+    return cells.withColumn("ts", F.coalesce("ts", F.lit("1970-01-01").cast(cells.schema["ts"].dataType)))
+
+
 def temporal_fields(
     cells: DataFrame, cadence: str, keys: Sequence[str] = (), stats: Sequence[str] = ("mean",), cell: Sequence[str] = CELL
 ) -> DataFrame:
@@ -49,6 +54,7 @@ def temporal_fields(
     valid value stays, with NULLs. A cell's group is bounded by its number of timesteps, which is
     why the built-in median is safe here.
     """
+    cells = _dated(cells)
     weights = cadence_weights(valid_timesteps(cells, keys), cadence, keys)
     v = F.when(F.col("weight").isNotNull(), F.col("value"))
     aggs = {
@@ -230,6 +236,7 @@ def evidence_facts(
     A band is `{name, role, units, fill, vmin, vmax}`. Its own fill and range are masked first, then
     its plain time mean is taken per cell, so it describes the same kind of field as the science map.
     """
+    cells = _dated(cells)
     weights = cadence_weights(valid_timesteps(cells, keys), cadence, keys)
     masked = cells
     for b in bands:

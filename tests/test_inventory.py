@@ -57,3 +57,9 @@ def test_exact_uncertainty_spelling_wins(spark):
     plotted = spark.createDataFrame([(1, "product/col", "product/flag")], "file_id int, plotted string, quality_flag_var string")
     got = I.related_variables(plotted, inventory).collect()[0]
     assert (got["variable"], got["qa_sibling"], got["uncertainty_sibling"], got["context_siblings"]) == ("col", "flag", "col_uncertainty", ["cloud_pressure"])
+
+
+def test_merged_names(spark):
+    rows = [("product/a",), ("support/a",), ("product/b",), ("b",), ("product/c",), ("lat",)]
+    got = [(r["merged_name"], r["shadowed"]) for r in I.merge_group_variables(_inventory(spark, rows)).orderBy("ordinal").collect()]
+    assert got == [("product/a", False), ("support/a", False), ("b", True), ("b", False), ("c", False), ("lat", False)]

@@ -43,6 +43,11 @@ def test_weights_count_valid_granules_of_the_region(grid):
     assert D.valid_timesteps(cells).count() == 2
 
 
+def test_cells_without_a_time_are_a_field_already(grid):
+    cells = grid([0], [0, 1], {None: [[3.0, None]]})
+    assert [r["value"] for r in D.temporal_mean(cells, "monthly").orderBy("j").collect()] == [3.0, None]
+
+
 def test_a_timestep_with_only_infinite_values_is_not_valid(grid):
     cells = grid([0], [0], {"2024-01-01": [[float("inf")]], "2024-01-02": [[2.0]]})
     assert D.valid_timesteps(cells).count() == 1
