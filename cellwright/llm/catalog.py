@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm import fingerprints, packing, quality, substring
+from cellwright.llm import fingerprints, packing, quality, randomness, sanitize, spans, substring
 from cellwright.llm.tables import remainder, table
 
 #: Words of a text, in SQL.
@@ -22,6 +22,19 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitize.sanitise(table(spark, sf_dir, "documents")).select(
+        "doc_id", *_counts(sanitize.KINDS), spans.digest(F.col("base")).alias("base_sha256"),
+        spans.written(F.concat("base", "added")).alias("spans"))
+
+
+def _counts(kinds: list[str]) -> list[Column]:
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return [count(k) for k in kinds]
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -37,6 +50,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return randomness.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", *_counts(randomness.KINDS), spans.digest(F.col("base")).alias("base_sha256"),
+        spans.written(spans.by_start(F.concat("base", "added"))).alias("spans"))
+
+
 OP2_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
 windows AS (
@@ -53,6 +72,8 @@ FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_fingerprint": (op1_fingerprint, None),
     "op2_substring_dedup": (op2_substring_dedup, OP2_SQL),
+    "op3_pii": (op3_pii, None),
     "op4_packing": (op4_packing, None),
     "op7_quality": (op7_quality, None),
+    "op9_secrets": (op9_secrets, None),
 }
