@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm import fingerprints, packing, quality, randomness, sanitize, spans, substring
+from cellwright.llm import fingerprints, fragment_join, packing, quality, randomness, sanitize, spans, substring
 from cellwright.llm.tables import remainder, table
 
 #: Words of a text, in SQL.
@@ -39,6 +39,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fragment_join.classes(table(spark, sf_dir, "documents"))
+
+
 def _held_out(modulus: int, value: int) -> Column:
     return remainder(F.col("doc_id"), modulus) == value
 
@@ -69,11 +73,25 @@ SELECT d.doc_id, len(words) AS n_words, coalesce(len(positions), 0) AS n_removed
 FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id
 """
 
+OP6_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[pos:pos + 2], ' ') AS run
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 1))) AS pos FROM d WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+counted AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM shingles a JOIN shingles b ON a.run = b.run AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM counted JOIN sizes su ON su.doc_id = u JOIN sizes sv ON sv.doc_id = v WHERE 100 * shared >= 90 * (su.n + sv.n - shared)),
+reach AS (SELECT doc_id AS id, doc_id AS other FROM d UNION SELECT r.id, l.v FROM reach r JOIN links l ON l.u = r.other)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM d LEFT JOIN sizes USING (doc_id) JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY id) c ON c.id = d.doc_id
+"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_fingerprint": (op1_fingerprint, None),
     "op2_substring_dedup": (op2_substring_dedup, OP2_SQL),
     "op3_pii": (op3_pii, None),
     "op4_packing": (op4_packing, None),
+    "op6_jaccard_join": (op6_jaccard_join, OP6_SQL),
     "op7_quality": (op7_quality, None),
     "op9_secrets": (op9_secrets, None),
 }
