@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm import fingerprints, fragment_join, packing, quality, randomness, sanitize, spans, substring
+from cellwright.llm import fingerprints, fragment_join, itq, packing, quality, randomness, sanitize, spans, substring
 from cellwright.llm.tables import remainder, table
 
 #: Words of a text, in SQL.
@@ -39,6 +39,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fragment_join.classes(table(spark, sf_dir, "documents"))
 
@@ -91,6 +95,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op2_substring_dedup": (op2_substring_dedup, OP2_SQL),
     "op3_pii": (op3_pii, None),
     "op4_packing": (op4_packing, None),
+    "op5_embedding_dedup": (op5_embedding_dedup, None),
     "op6_jaccard_join": (op6_jaccard_join, OP6_SQL),
     "op7_quality": (op7_quality, None),
     "op9_secrets": (op9_secrets, None),

@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellwright.llm.chunked import from_planes, planes
 from cellwright.llm.components import components
 from cellwright.llm.tables import column, own_columns, scan_tasks
-from cellwright.llm.substring import from_planes, planes
 from cellwright.llm.words import lowered, mixed, shingle_hashes, slices, tokens, word_hashes
 from cellwright.session import settle
 

@@ -19,33 +19,22 @@ other's words either, since neither is smaller.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellwright.llm.chunked import chunks, from_planes, packed, planes, unpacked
 from cellwright.llm.tables import column, own_columns, scan_tasks
 from cellwright.llm.words import mixed, run_hashes, slices, tokens, window_starts, word_hashes
 
 WINDOW = 13
-CHUNK_BYTES = 1 << 20
 _NO_ID = np.iinfo(np.int64).max
 _U = np.uint64
 
 
-def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Numbered runs of rows with about `size` bytes of text; the number is unique over all tasks."""
-    seen = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        for start, end, _, _ in slices(column(batch, "text"), size):
-            yield seen, batch.slice(start, end - start)
-            seen += 1
-
-
 class Windows:
     """The windows of a chunk, and its entries: each distinct window with the smallest document that has it."""
 
@@ -83,15 +72,6 @@ class Windows:
         return np.cumsum(step[:-1]) > 0
 
 
-def planes(values: np.ndarray) -> bytes:
-    """64-bit values by byte position, so that equal high bytes stand together."""
-    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def from_planes(raw: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(kind).ravel()
-
-
 def _entries(width: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, rows in chunks(batches):
@@ -131,18 +111,6 @@ def _answers(entries: pa.Table) -> pa.Table:
     })
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk, rows in chunks(batches):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows.schema) as writer:
-            writer.write_batch(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([zlib.compress(sink.getvalue(), 3)], pa.binary())], ["chunk", "rows"])
-
-
-def unpacked(raw: bytes) -> pa.Table:
-    return pa.ipc.open_stream(zlib.decompress(raw)).read_all().combine_chunks()
-
-
 def _removal(width: int, n: int, digest: bool):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if texts.num_rows != 1:
@@ -180,11 +148,11 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, carry: tuple[str, ...]
     n = max(512, 4 * scan_tasks(docs))
     entries = docs.select("doc_id", "text").mapInArrow(_entries(width, n), "bucket int, chunk long, hashes binary, smallest binary")
     answers = entries.groupBy("bucket").applyInArrow(_answers, "chunk long, bucket int, bits binary")
-    packed = docs.mapInArrow(_packed, "chunk long, rows binary")
+    texts = docs.mapInArrow(packed, "chunk long, rows binary")
     counts = "n_words long, n_removed long"
     kept = ", ".join(["text string", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
     schema = f"doc_id long, {counts}, kept_sha256 string" if digest else f"doc_id long, {kept}, {counts}"
-    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_removal(width, n, digest), schema)
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_removal(width, n, digest), schema)
 
 
 def intervals(flags: np.ndarray) -> list[tuple[int, int]]:
