@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm import fingerprints, fragment_join, itq, packing, quality, randomness, sanitize, spans, substring
+from cellwright.llm import ctw, fingerprints, fragment_join, itq, packing, quality, randomness, sanitize, spans, substring
 from cellwright.llm.tables import remainder, table
 
 #: Words of a text, in SQL.
@@ -58,6 +58,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ctw.score(table(spark, sf_dir, "documents"), ~_held_out(7, 2))
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return randomness.scan(table(spark, sf_dir, "documents")).select(
         "doc_id", *_counts(randomness.KINDS), spans.digest(F.col("base")).alias("base_sha256"),
@@ -98,5 +103,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op5_embedding_dedup": (op5_embedding_dedup, None),
     "op6_jaccard_join": (op6_jaccard_join, OP6_SQL),
     "op7_quality": (op7_quality, None),
+    "op8_lm_score": (op8_lm_score, None),
     "op9_secrets": (op9_secrets, None),
 }

@@ -109,3 +109,14 @@ def score(docs: DataFrame, weights: np.ndarray, carry: tuple[str, ...] = ()) ->
 
     kinds = "".join(f", `{c}` {frame.schema[c].dataType.simpleString()}" for c in carry)
     return frame.mapInArrow(run, f"doc_id long{kinds}, score double")
+
+
+def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, that score at least `threshold`."""
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(column(batch, "text"), sent.value) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

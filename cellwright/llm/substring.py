@@ -2,7 +2,8 @@
 
 Words are runs of bytes other than the six ASCII spaces, unchanged. A window repeats if the same words also
 start in a document with a smaller doc_id; the words that repeated windows cover, merged into maximal
-intervals, are removed, and the rest is joined by single spaces. All windows are judged on the input.
+intervals, are removed, and the rest is joined by single spaces; a text that loses nothing stays as it is (its digest
+is that of its words joined the same way). All windows are judged on the input.
 
 How it runs. Each task cuts its rows into chunks of about CHUNK_BYTES of text and hashes every window. Equal
 windows of a chunk are first reduced to the smallest document that has them. The rest goes, packed, to hash
@@ -124,18 +125,19 @@ def _removal(width: int, n: int, digest: bool):
             own = order[cuts[b]:cuts[b + 1]]
             elsewhere[own] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
         gone = w.removed(elsewhere)
+        originals = column(rows, "text").to_pylist()
         texts_out, removed = [], np.add.reduceat(np.append(gone, 0), w.rows[:-1]) * (np.diff(w.rows) > 0)
         for k, text in enumerate(column(rows, "text").cast(pa.large_binary()).fill_null(b"").to_pylist()):
             words = text.split()
             if removed[k]:
                 flags = gone[w.rows[k]:w.rows[k + 1]]
                 words = [x for x, g in zip(words, flags.tolist(), strict=True) if not g]
-            texts_out.append(b" ".join(words))
+            texts_out.append(b" ".join(words) if digest or removed[k] else originals[k])
         counts = [pa.array(np.diff(w.rows), pa.int64()), pa.array(removed, pa.int64())]
         if digest:
             return pa.table([column(rows, "doc_id"), *counts, pa.array([hashlib.sha256(t).hexdigest() for t in texts_out], pa.string())],
                             ["doc_id", "n_words", "n_removed", "kept_sha256"])
-        texts_out = pa.array(texts_out, pa.binary()).cast(pa.string())
+        texts_out = pa.array([t.decode() if isinstance(t, bytes) else t for t in texts_out], pa.string())
         rest = [c for c in rows.column_names if c not in ("doc_id", "text")]
         return pa.table([column(rows, "doc_id"), texts_out, *[column(rows, c) for c in rest], *counts], ["doc_id", "text", *rest, "n_words", "n_removed"])
 
