@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm import ctw, fingerprints, fragment_join, itq, packing, quality, randomness, sanitize, spans, substring
+from cellwright.llm import ctw, fingerprints, fragment_join, itq, lattice, packing, quality, randomness, sanitize, spans, substring
 from cellwright.llm.tables import remainder, table
 
 #: Words of a text, in SQL.
@@ -69,6 +69,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         spans.written(spans.by_start(F.concat("base", "added"))).alias("spans"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.summary(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
 windows AS (
@@ -105,4 +109,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op7_quality": (op7_quality, None),
     "op8_lm_score": (op8_lm_score, None),
     "op9_secrets": (op9_secrets, None),
+    "op10_sentencepiece": (op10_sentencepiece, None),
 }
