@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from cellwright.llm.tables import column, own_columns
 
 MARK = "▁"
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 SHORT = 256  # up to this length a list is faster than a heap
 _NONE = float("-inf")
 
@@ -50,18 +50,33 @@ class Pieces:
     longest: int
     pairs: frozenset[str] = frozenset()
     known: dict[str, list[int]] = field(default_factory=dict)
+    older: dict[str, list[int]] = field(default_factory=dict)
+    known_parts: dict[str, list[int]] = field(default_factory=dict)
 
     def words(self, text: str) -> list[str]:
         """The runs of the marked text that no piece reaches beyond."""
-        return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+        if not text:
+            return []
+        if "  " not in text and text[0] != " " and MARK not in text:
+            return (MARK + text.replace(" ", " " + MARK)).split(" ")
+        return _WORD.findall(MARK + text.replace(" ", MARK))
 
     def word_ids(self, word: str) -> list[int]:
-        found = self.known.get(word)
+        """The ids of a word not met of late."""
+        found = self.older.get(word)
         if found is None:
-            found = [i for part in self.parts(word) for i in self.fold(part)]
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[word] = found
+            found = []
+            for part in self.parts(word):
+                ids = self.known_parts.get(part)
+                if ids is None:
+                    ids = self.fold(part)
+                    if len(self.known_parts) >= REMEMBERED:
+                        self.known_parts.clear()
+                    self.known_parts[part] = ids
+                found += ids
+        if len(self.known) >= REMEMBERED:
+            self.older, self.known = self.known, {}
+        self.known[word] = found
         return found
 
     def parts(self, word: str) -> Iterator[str]:
@@ -77,8 +92,13 @@ class Pieces:
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
+        recent = self.known.get
         for word in self.words(text or ""):
-            out += self.word_ids(word)
+            found = recent(word)
+            if found is None:
+                found = self.word_ids(word)
+                recent = self.known.get
+            out += found
         return out
 
     def spelled(self, part: str) -> list[int]:
@@ -87,6 +107,11 @@ class Pieces:
         return [found] if found is not None else [self.byte_ids[b] for b in part.encode()]
 
     def decode(self, ids: list[int]) -> str:
+        shown = list(map(self.shown.__getitem__, ids))
+        try:
+            return self.unmarked("".join(shown))
+        except TypeError:  # bytes beyond ASCII among the pieces
+            pass
         out, raw = [], bytearray()
         for i in ids:
             shown = self.shown[i]
@@ -97,7 +122,11 @@ class Pieces:
             raw = bytearray()
             out.append(shown)
         out.append(_lenient(raw))
-        text = "".join(out).replace(MARK, " ")
+        return self.unmarked("".join(out))
+
+    @staticmethod
+    def unmarked(text: str) -> str:
+        text = text.replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
 
@@ -136,7 +165,7 @@ def pieces(path: str) -> Pieces:
         if model.is_byte(i):
             value = int(piece[3:-1], 16)
             byte_ids[value] = i
-            shown.append(value)
+            shown.append(value if value > 127 else chr(value))  # an ASCII byte is its character wherever it stands
         elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
             shown.append(" ⁇ " if model.is_unknown(i) else "")
         else:
