@@ -14,6 +14,7 @@ bytes that are no UTF-8 decode to U+FFFD, each by itself.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,12 +23,12 @@ from functools import lru_cache
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cellwright.llm.tables import column, own_columns
 
 MARK = "▁"
-REMEMBERED = 250_000
+REMEMBERED = 150_000
+ROWS = 256  # handled at a time
 SHORT = 256  # up to this length a list is faster than a heap
 _NONE = float("-inf")
 
@@ -259,8 +260,8 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 ids = [p.encode(t) for t in column(part, "text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -274,13 +275,27 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for batch in batches:
-            texts = [p.decode(ids or []) for ids in column(batch, "ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                texts = [p.decode(ids or []) for ids in column(part, "ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return own_columns(encoded, "doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
 def summary(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, the ids, their number, and the digest of the text that they decode to."""
-    decoded = decode(encode(docs, path), path)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    """doc_id, the number of pieces, their ids, and the digest of the text that the ids decode to; encoded and decoded in one pass."""
+    path = path or model_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = pieces(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids = [p.encode(t) for t in column(part, "text").to_pylist()]
+                digests = [hashlib.sha256(p.decode(i).encode()).hexdigest() for i in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [column(part, "doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(digests, pa.string())],
+                    ["doc_id", "n_pieces", "ids", "decoded_sha256"])
+
+    return own_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, decoded_sha256 string")
