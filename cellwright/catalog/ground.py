@@ -65,8 +65,7 @@ def _summary_sql(period: str, key: str, daily: bool) -> str:
     peak = "first_max_value" if daily else "coalesce(maximum_value, arithmetic_mean)"
     top = "first_max_value" if daily else "maximum_value"
     return ctes(source, rec=_NUMBERED if daily else _PERIODIC,
-                r=f"SELECT *, {SID} AS site_id, {key} AS period, {peak} AS pk FROM rec",
-                k="SELECT * FROM (SELECT *, dense_rank() OVER (ORDER BY site_id) AS dr FROM r) WHERE dr <= 25") + f"""
+                k=f"SELECT *, {SID} AS site_id, {key} AS period, {peak} AS pk FROM rec") + f"""
 SELECT site_id, period, min(local_site_name) AS local_site_name, min(units_of_measure) AS units, arg_min(pollutant_standard, record_no) AS pollutant_standard,
   min(sample_duration) AS sample_duration, count(*) AS n_periods, round(avg(arithmetic_mean), 6) AS mean,
   round({'CAST(NULL AS DOUBLE)' if daily else 'min(minimum_value)'}, 6) AS min, round(max({top}), 6) AS max, round(max(pk), 6) AS peak_value,

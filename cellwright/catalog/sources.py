@@ -34,7 +34,7 @@ def _scan_cells(s, d):
 def _write_cube(s, d):
     path = fresh_path(s, "cube")
     S.write_cube(_stored_cells(s, d), path, tile=32)
-    return S.scan_cube(s, path, BOXES["B"]).select("collection", "granule_id", "i", "j", F.nanvl("value", F.lit(-999.0)).alias("value"))
+    return S.scan_cube(s, path, BOXES["B"]).select("collection", "granule_id", "i", "j", "value")
 
 
 def _scan_ground(s, d):
@@ -114,7 +114,7 @@ QUERIES = {
     ),
     "write_cube": (
         _write_cube,
-        ctes("fx_cells") + f"SELECT collection, granule_id, i, j, raw_value AS value FROM fx_cells WHERE {IN_B}",
+        ctes("fx_cells") + f"SELECT collection, granule_id, i, j, nullif(raw_value, -999) AS value FROM fx_cells WHERE {IN_B}",
     ),
     "scan_point_series": (
         lambda s, d: as_text(Q.scan_point_series(fixture(s, d, "events").select("event_id", F.when(F.col("event_id") % 9 > 0, F.col("value")).alias("reading"), F.col("ts").alias("time")), "reading"), "time"),

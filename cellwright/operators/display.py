@@ -52,10 +52,11 @@ def sample_points(field: DataFrame, keys: Sequence[str] = (), max_points: int =
         ranked = ranked.join(sizes, group)
     else:
         ranked = ranked.withColumn("_n", sizes.select("_n").scalar())
-    step = (F.col("_n") - 1).cast("double") / (max_points - 1)
+    # a single point is the first cell
+    step = (F.col("_n") - 1).cast("double") / (max_points - 1) if max_points > 1 else F.lit(1.0)
     # The even spacing takes floor(k * step) for every k but the last, which is the last cell.
     near = F.ceil(F.col("_pos") / step)
-    visited = F.col("_pos") == F.col("_n") - 1
+    visited = F.col("_pos") == (F.col("_n") - 1 if max_points > 1 else F.lit(0))
     for k in (near - 1, near, near + 1):
         visited = visited | ((k <= max_points - 2) & (F.floor(k * step) == F.col("_pos")))
     kept = ranked.where(F.when(F.col("_n") <= max_points, F.lit(True)).otherwise(visited))

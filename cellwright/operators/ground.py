@@ -20,7 +20,6 @@ PLACEHOLDERS = [
     "monitor_id", "unknown", "n/a", "na", "??",
 ]
 SITE_CAP = 25
-EXCEEDANCE_MAX_DAYS = 365
 # parameter code: standard, measured field, limit, units
 REGULATORY_LIMITS = {
     "42602": ("NO2 1-hour 2010", "first_max_value", 100.0, "ppb"),
@@ -137,11 +136,11 @@ def peak_record(records: DataFrame, period: str, keys: Sequence[str] = ("site_id
     )
 
 
-def ground_summary(records: DataFrame, period: str, cap: int | None = SITE_CAP) -> DataFrame:
+def ground_summary(records: DataFrame, period: str, cap: int | None = None) -> DataFrame:
     """One row per site and period from the feed's own statistics.
 
-    Minimum and maximum never come from the mean. `cap` keeps the first sites of a report; see
-    `summary_totals` for the totals before the cap.
+    Minimum and maximum never come from the mean. All sites are reported unless the caller
+    gives a `cap`; see `summary_totals` for the totals before it.
     """
     rows = records.withColumns({"site_id": site_id(), "period": period_key(period)})
     if cap is not None:
@@ -203,17 +202,16 @@ def exceedance_days(
 ) -> DataFrame:
     """Records over a fixed limit and/or at or above the cutoff of all matched records, by date.
 
-    The date window covers at most 365 days from its start.
+    The date window has the bounds that are given, inclusive.
     """
     if hard is None and percentile is None:
         raise ValueError("Give at least one of: hard, percentile.")
     rows = records.withColumn("_date", F.to_date("date_local"))
     if start is not None:
         first = F.to_date(F.lit(start))
-        last = F.date_add(first, EXCEEDANCE_MAX_DAYS)
-        if end is not None:
-            last = F.least(last, F.to_date(F.lit(end)))
-        rows = rows.where(F.col("_date").between(first, last))
+        rows = rows.where(F.col("_date") >= first)
+    if end is not None:
+        rows = rows.where(F.col("_date") <= F.to_date(F.lit(end)))
     rows = rows.withColumn("value", float_or_none(field)).where(F.col("value").isNotNull())
     over = F.lit(None).cast("string")
     if hard is not None:

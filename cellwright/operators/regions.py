@@ -46,10 +46,11 @@ def point_buffer(lon: float, lat: float) -> Box:
 def normalize_longitude(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Bring 0..360 longitudes to -180..180 and renumber `j` by the new order.
 
-    Only the distinct axis values are windowed: one short row list per collection.
+    Only the distinct axis values are windowed: one short row list per collection. Cells without
+    a longitude stay as they are.
     """
     keys = list(keys)
-    axis = cells.select(*keys, "lon").distinct()
+    axis = cells.select(*keys, "lon").where(F.col("lon").isNotNull()).distinct()
     whole = Window.partitionBy(*keys)
     wraps = (F.min("lon").over(whole) >= 0) & (F.max("lon").over(whole) > 180)
     axis = axis.withColumn("_wraps", wraps).withColumn(
@@ -57,7 +58,7 @@ def normalize_longitude(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame
     )
     axis = axis.withColumn("_j", F.dense_rank().over(whole.orderBy("_lon")) - 1)
     return (
-        cells.join(axis, [*keys, "lon"])
+        cells.join(axis, [*keys, "lon"], "left")
         .withColumns({
             "j": F.when(F.col("_wraps"), F.col("_j")).otherwise(F.col("j")).cast("int"),
             "lon": F.col("_lon"),

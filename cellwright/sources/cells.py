@@ -45,7 +45,7 @@ def write_cube(cells: DataFrame, path: str, tile: int = TILE, extra_keys: Sequen
     Rows are range-partitioned by tile, time and place, so a tile that holds most rows is split
     over many tasks and files, and row groups have narrow coordinate ranges.
     """
-    tiled = cells.withColumns({
+    tiled = _missing_as_null(cells).withColumns({
         "tile_i": F.floor(F.col("i") / tile).cast("int"), "tile_j": F.floor(F.col("j") / tile).cast("int"),
     })
     order = ["collection", "tile_i", "tile_j", "ts", "i", "j", *extra_keys]
@@ -81,14 +81,20 @@ def scan_cube(
     if end is not None:
         cells = cells.where(F.col("ts") < F.to_timestamp(F.lit(end)))
     if box is None:
-        return cells.drop("tile_i", "tile_j")
+        return _missing_as_null(cells.drop("tile_i", "tile_j"))
     for axis, column, lo, hi in (("lat", "tile_i", box[1], box[3]), ("lon", "tile_j", box[0], box[2])):
         held = axes.where((F.col("axis") == axis) & F.col("coordinate").between(float(lo), float(hi)))
         cells = cells.where(
             (F.col(column) >= held.groupBy().agg(F.min("tile")).scalar())
             & (F.col(column) <= held.groupBy().agg(F.max("tile")).scalar())
         )
-    return cells.where(in_box(box)).drop("tile_i", "tile_j")
+    return _missing_as_null(cells.where(in_box(box)).drop("tile_i", "tile_j"))
+
+
+def _missing_as_null(cells: DataFrame) -> DataFrame:
+    """NaN in any data column becomes NULL; coordinates stay, so that filters on them reach the reader."""
+    numbers = [c for c, kind in cells.dtypes if kind in ("float", "double") and c not in ("lat", "lon")]
+    return cells.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in numbers})
 
 
 def concat_granules(*parts: DataFrame) -> DataFrame:
@@ -130,7 +136,10 @@ def first_granules(cells: DataFrame) -> DataFrame:
 
 def dedup_time(cells: DataFrame) -> DataFrame:
     """Cells of the first granule per timestamp. Only granule names are compared, never cells."""
-    return cells.join(first_granules(cells), ["collection", "ts", "granule_id"], "left_semi")
+    kept = first_granules(cells).select(*[F.col(c).alias(f"_{c}") for c in ("collection", "ts", "granule_id")])
+    # A missing time or name is a stamp like any other.
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("collection", "ts", "granule_id")]
+    return cells.join(kept, same[0] & same[1] & same[2], "left_semi")
 
 
 def duplicate_report(cells: DataFrame) -> DataFrame:

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwright import schemas
 from cellwright.functions.scalars import round6
 
-# --- Fixed values ---------------------------------------------------------------------------------
-MAX_SERIES_DAYS = 366
-# --------------------------------------------------------------------------------------------------
-
 GROUND_SCHEMAS = {
     "monitors": schemas.MONITORS,
     "daily": schemas.GROUND_DAILY,
@@ -46,10 +40,7 @@ def scan_point_series(table: DataFrame, variable: str) -> DataFrame:
 
 
 def point_timeseries(table: DataFrame, variable: str, start: str, end: str) -> DataFrame:
-    """The series between two dates (inclusive); spans over 366 days are refused."""
-    first, last = date.fromisoformat(start[:10]), date.fromisoformat(end[:10])
-    if (last - first).days > MAX_SERIES_DAYS:
-        raise ValueError(f"Requested time span ({(last - first).days} days) exceeds the {MAX_SERIES_DAYS}-day limit.")
+    """The series between two dates (inclusive), however far apart."""
     series = scan_point_series(table, variable)
     inside = (F.col("time") >= F.to_date(F.lit(start[:10]))) & (F.col("time") < F.date_add(F.to_date(F.lit(end[:10])), 1))
     return series.where(inside)

@@ -27,9 +27,10 @@ def test_daily_minimum_is_never_made_from_the_mean(spark):
     assert (second["mean"], second["max"], second["peak_value"]) == (None, None, None)
 
 
-def test_summary_caps_sites_but_reports_totals(spark):
+def test_summary_has_all_sites_unless_capped(spark):
     df = _daily(spark, [(f"{s:04d}", "2024-01-01", "1", "1", "0") for s in range(40)])
-    assert sorted(r["site_id"] for r in G.ground_summary(df, "daily").collect()) == [f"34-019-{s:04d}" for s in range(25)]
+    assert G.ground_summary(df, "daily").count() == 40
+    assert sorted(r["site_id"] for r in G.ground_summary(df, "daily", cap=25).collect()) == [f"34-019-{s:04d}" for s in range(25)]
     totals = G.summary_totals(df, "daily").collect()[0]
     assert tuple(totals) == (40, 25, 40)
 
@@ -72,9 +73,11 @@ def test_exceedances_state_every_trigger(spark):
         G.exceedance_days(df)
 
 
-def test_exceedance_window_is_capped_at_a_year(spark):
+def test_exceedance_window_has_the_given_bounds(spark):
     df = _daily(spark, [("0007", "2023-01-01", "1", "9", "0"), ("0007", "2024-01-01", "1", "9", "0"), ("0007", "2024-01-02", "1", "9", "0")])
-    assert G.exceedance_days(df, hard=1.0, start="2023-01-01", end="2025-01-01").count() == 2
+    assert G.exceedance_days(df, hard=1.0, start="2023-01-01", end="2025-01-01").count() == 3
+    assert G.exceedance_days(df, hard=1.0, start="2023-01-02").count() == 2
+    assert G.exceedance_days(df, hard=1.0, end="2024-01-01").count() == 2
 
 
 def _monitors(spark, places):

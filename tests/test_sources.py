@@ -56,12 +56,11 @@ def test_a_real_time_is_never_overwritten(spark):
     assert got == ["2024-01-01 10:30:00", "2024-01-02 05:00:00", "2024-01-02 00:00:00", None, None]
 
 
-def test_point_series_span_is_gated_before_reading(spark):
+def test_point_series_of_any_span(spark):
     df = spark.createDataFrame([("2024-01-02", 1.23456789), ("2024-01-01", None), ("2024-01-03", 2.0)], "date string, v double").withColumn("date", F.to_date("date"))
     assert [r["value"] for r in Q.scan_point_series(df, "v").collect()] == [1.234568, 2.0]
     assert Q.point_timeseries(df, "v", "2024-01-01", "2024-01-02").count() == 1
-    with pytest.raises(ValueError):
-        Q.point_timeseries(df, "v", "2023-01-01", "2024-01-03")
+    assert Q.point_timeseries(df, "v", "2013-01-01", "2024-01-03").count() == 2
 
 
 def test_places(spark):
