@@ -88,7 +88,7 @@ _ALLCELLS = """SELECT c.region_id, c.i, c.j, c.lat, c.lon, f.value FROM (SELECT
 
 _HEAT = f"""SELECT t.region_id, t.i, t.j, t.lat, t.lon, CAST(printf('%.6e', t.value) AS DOUBLE) AS value, CAST(printf('%.6e', p.vmin) AS DOUBLE) AS vmin,
   CAST(printf('%.6e', p.vmax) AS DOUBLE) AS vmax, s.count, s.valid_fraction, s.mean, s.min, s.max FROM
-  (SELECT a.* FROM allcells a JOIN shape h USING (region_id) WHERE (a.i - h.i0) % h.step = 0 AND (a.j - h.j0) % h.step = 0) t
+  allcells t
   JOIN (SELECT region_id, quantile_cont(value, 0.02) AS vmin, quantile_cont(value, 0.98) AS vmax FROM field GROUP BY region_id) p USING (region_id)
   JOIN (SELECT region_id, count(value) AS count, round(count(value) / count(*), 6) AS valid_fraction, CAST(printf('%.6e', sum(value * {W}) / sum({W}) FILTER (value IS NOT NULL)) AS DOUBLE) AS mean,
         CAST(printf('%.6e', min(value)) AS DOUBLE) AS min, CAST(printf('%.6e', max(value)) AS DOUBLE) AS max FROM allcells GROUP BY region_id) s USING (region_id)"""
@@ -172,26 +172,26 @@ QUERIES = {
           WHEN NOT ha OR n % 13 = 0 THEN 'no valid data for A' WHEN NOT hb THEN 'no valid data for B' END AS refusal FROM f""",
     ),
     "thin_grid": (
-        lambda s, d: P.thin_grid(_whole_field(s, d)),
+        lambda s, d: P.thin_grid(_whole_field(s, d), max_cells=8000),
         ctes("fx_cells", whole=_WHOLE, allcells=_ONE_REGION, shape=_shape(8000)) + """SELECT a.i, a.j, a.lat, a.lon, a.value FROM allcells a JOIN shape h USING (region_id)
         WHERE (a.i - h.i0) % h.step = 0 AND (a.j - h.j0) % h.step = 0""",
     ),
     "sample_points": (
-        lambda s, d: P.sample_points(_whole_field(s, d)),
+        lambda s, d: P.sample_points(_whole_field(s, d), max_points=8000),
         ctes("fx_cells", whole=_WHOLE, r="SELECT *, row_number() OVER (ORDER BY i, j) - 1 AS pos, count(*) OVER () AS n FROM whole WHERE value IS NOT NULL",
              take="SELECT DISTINCT CASE WHEN k = 7999 THEN n - 1 ELSE CAST(floor(k * ((n - 1) / CAST(7999 AS DOUBLE))) AS BIGINT) END AS pos FROM (SELECT max(n) AS n FROM r), range(0, 8000) t(k)")
         + """SELECT i, j, lat, lon, CAST(printf('%.6e', value) AS DOUBLE) AS value FROM r WHERE n <= 8000 OR pos IN (SELECT pos FROM take)""",
     ),
     "heatmap": (
         lambda s, d: maps.heatmap(R.with_regions(masked_cells(s, d), {"A": BOXES["A"]}), "monthly", KEY),
-        ctes("fx_cells", masked=MASKED, regioned=f"SELECT *, 'A' AS region_id FROM masked WHERE {IN_A}", field=TEMPORAL_MEAN, allcells=_ALLCELLS, shape=_shape(8000)) + _HEAT,
+        ctes("fx_cells", masked=MASKED, regioned=f"SELECT *, 'A' AS region_id FROM masked WHERE {IN_A}", field=TEMPORAL_MEAN, allcells=_ALLCELLS) + _HEAT,
     ),
     "heatmap_multi": (
-        lambda s, d: maps.heatmap(R.with_regions(masked_cells(s, d), BOXES), "monthly", KEY, 500),
-        _rsql(_HEAT, allcells=_ALLCELLS, shape=_shape(500)),
+        lambda s, d: maps.heatmap(R.with_regions(masked_cells(s, d), BOXES), "monthly", KEY),
+        _rsql(_HEAT, allcells=_ALLCELLS),
     ),
     "heatmap_polygon": (
-        lambda s, d: maps.heatmap(M.mask_cells(R.polygon_panels(fixture(s, d, "fx_cells"), TRIANGLE), fill=FILL, vmin=VMIN, vmax=VMAX, good=GOOD), "monthly", KEY, 1000),
+        lambda s, d: maps.heatmap(M.mask_cells(R.polygon_panels(fixture(s, d, "fx_cells"), TRIANGLE), fill=FILL, vmin=VMIN, vmax=VMAX, good=GOOD), "monthly", KEY),
         ctes("fx_cells", masked=MASKED,
              edges="SELECT * FROM (VALUES (-119.0::DOUBLE, 21.0::DOUBLE, -76.0::DOUBLE, 21.0::DOUBLE), (-76.0, 21.0, -98.0, 57.0), (-98.0, 57.0, -119.0, 21.0)) e(x1, y1, x2, y2)",
              tri="""SELECT g.lat, g.lon FROM (SELECT DISTINCT lat, lon FROM fx_cells) g JOIN edges e ON g.lat BETWEEN least(y1, y2) AND greatest(y1, y2) GROUP BY g.lat, g.lon
@@ -199,7 +199,7 @@ QUERIES = {
                OR bool_or(CASE WHEN y1 = y2 THEN lon BETWEEN least(x1, x2) AND greatest(x1, x2) ELSE lon = x1 + (lat - y1) * ((x2 - x1) / (y2 - y1)) END)""",
              regioned="""SELECT m.* EXCLUDE (value), CASE WHEN t.lat IS NOT NULL THEN m.value END AS value, 'T' AS region_id FROM masked m LEFT JOIN tri t ON t.lat = m.lat AND t.lon = m.lon
                WHERE m.lon BETWEEN -119 AND -76 AND m.lat BETWEEN 21 AND 57""",
-             field=TEMPORAL_MEAN, allcells=_ALLCELLS, shape=_shape(1000)) + _HEAT,
+             field=TEMPORAL_MEAN, allcells=_ALLCELLS) + _HEAT,
     ),
     "color_index": (
         lambda s, d: P.colorize(_field(s, d), C.percentile_bounds(_field(s, d), KEY), KEY).select("region_id", "i", "j", F.col("color").cast("double")),

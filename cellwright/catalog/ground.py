@@ -103,6 +103,10 @@ _PAIRS = """SELECT site_id, date, satellite, ground FROM (SELECT site_id, CAST(C
 _R = "CASE WHEN count(*) >= 2 AND min(satellite) < max(satellite) AND min(ground) < max(ground) THEN corr(satellite, ground) END"
 
 
+_COVERAGE = """SELECT DISTINCT m.site_id, (SELECT count(DISTINCT ts) FROM fx_hourly) AS n_total, coalesce(v.n, 0) AS n_valid
+  FROM mon m LEFT JOIN (SELECT site_id, count(DISTINCT ts) AS n FROM rows_ WHERE value IS NOT NULL GROUP BY site_id) v ON v.site_id = m.site_id"""
+
+
 def _jsql(body: str, mon: str = _MON, **extra: str) -> str:
     return ctes("fx_hourly", "fx_monitors", "fx_daily", masked=MASKED_HOURLY, mon=mon, near=_NEAR, rows_=_ROWS, ground=_GROUND, pairs=_PAIRS, **extra) + body
 
@@ -235,8 +239,8 @@ QUERIES = {
         _jsql("SELECT site_id, CAST(ts AS VARCHAR) AS ts, value FROM rows_"),
     ),
     "series_coverage": (
-        lambda s, d: r6(J.series_coverage(_rows(s, d)), "coverage_fraction"),
-        _jsql("SELECT site_id, count(*) AS n_total, count(value) AS n_valid, count(*) - count(value) AS n_excluded, round(count(value) / count(*), 6) AS coverage_fraction FROM rows_ GROUP BY site_id"),
+        lambda s, d: r6(J.series_coverage(_rows(s, d), fixture(s, d, "fx_monitors"), fixture(s, d, "fx_hourly")), "coverage_fraction"),
+        _jsql(f"SELECT site_id, n_total, n_valid, n_total - n_valid AS n_excluded, round(n_valid / n_total, 6) AS coverage_fraction FROM ({_COVERAGE})"),
     ),
     "pair_daily": (
         lambda s, d: r6(_pairs(s, d), "satellite", "ground"),
@@ -252,10 +256,10 @@ QUERIES = {
     ),
     "validate_against_ground": (
         _validate,
-        _jsql(f"""SELECT site_id, round({_R}, 6) AS r, count(*) AS n, round(count(*) / (SELECT count(*) FROM ground g WHERE g.site_id = pairs.site_id), 6) AS coverage_fraction,
-        (SELECT CAST(count(*) AS DOUBLE) FROM rows_ r WHERE r.site_id = pairs.site_id) AS n_total, (SELECT CAST(count(value) AS DOUBLE) FROM rows_ r WHERE r.site_id = pairs.site_id) AS n_valid,
-        (SELECT CAST(count(*) - count(value) AS DOUBLE) FROM rows_ r WHERE r.site_id = pairs.site_id) AS n_excluded, (SELECT round(count(value) / count(*), 6) FROM rows_ r WHERE r.site_id = pairs.site_id) AS series_coverage
-        FROM pairs GROUP BY site_id UNION ALL SELECT NULL, round({_R}, 6), count(*), 1, NULL, NULL, NULL, NULL FROM pairs HAVING count(*) > 0""", _MON_BOX),
+        _jsql(f""", s AS (SELECT site_id, round({_R}, 6) AS r, count(*) AS n, round(count(*) / (SELECT count(*) FROM ground g WHERE g.site_id = pairs.site_id), 6) AS coverage_fraction
+        FROM pairs GROUP BY site_id)
+        SELECT site_id, r, coalesce(n, 0) AS n, coalesce(coverage_fraction, 0) AS coverage_fraction, CAST(n_total AS DOUBLE) AS n_total, CAST(n_valid AS DOUBLE) AS n_valid,
+        CAST(n_total - n_valid AS DOUBLE) AS n_excluded, round(n_valid / n_total, 6) AS series_coverage FROM ({_COVERAGE}) LEFT JOIN s USING (site_id) UNION ALL SELECT NULL, round({_R}, 6), count(*), 1, NULL, NULL, NULL, NULL FROM pairs HAVING count(*) > 0""", _MON_BOX),
     ),
     "exceedance_overlay": (
         _overlay,

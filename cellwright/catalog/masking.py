@@ -77,7 +77,42 @@ def _subset(s, d):
     return M.subset_variables(fixture(s, d, "fx_requests"), registry)
 
 
+def _facts_by_collection(s, d):
+    """Every registry row as a product of its own; some lack the flag, some the band it names."""
+    registry = fixture(s, d, "fx_collections")
+    to_ints = lambda c: F.when(F.col(c) != "", F.split(c, ",").cast("array<int>"))
+    none = F.lit(None)
+    rows = registry.select(
+        F.col("registry_key").alias("collection"), "key_no", F.col("quality_flag_var").alias("flag_variable"), (F.col("key_no") % 5 > 0).alias("flag_present"),
+        F.col("fill_value").alias("reg_fill"), F.col("valid_min").alias("reg_min"), F.col("valid_max").alias("reg_max"), F.col("units").alias("reg_units"),
+        *[none.cast("double").alias(c) for c in ("umm_fill", "umm_min", "umm_max", "cf_min", "cf_max", "cf_range_min", "cf_range_max", "add_offset")],
+        F.lit(-999.0).alias("cf_fill"), none.cast("string").alias("umm_units"), none.cast("string").alias("cf_units"), none.cast("double").alias("scale_factor"),
+        to_ints("qa_good_values").alias("pinned_good"), to_ints("qa_bad_values").alias("pinned_bad"), none.cast("array<string>").alias("proposed_tokens"),
+        F.when(F.col("key_no") % 3 == 0, "0 1 2").alias("flag_values"), F.when(F.col("key_no") % 3 == 0, "normal bad missing").alias("flag_meanings"),
+    )
+    return M.honest_qa(M.resolve_qa(M.parse_flag_meanings(M.scale_packed_bounds(M.resolve_mask_facts(rows)))))
+
+
+def _mask_by_facts(s, d):
+    cells = fixture(s, d, "fx_cells").withColumn("collection", F.concat(F.lit("K"), (F.col("i") + 1).cast("string")))
+    out = M.mask_by_facts(cells, _facts_by_collection(s, d))
+    return as_text(out.select("collection", *_ID, "checked", "value", "qa_status", "qa_source"), "ts")
+
+
 QUERIES = {
+    "mask_by_facts": (
+        _mask_by_facts,
+        ctes("fx_cells", "fx_collections", rules="""SELECT *, registry_key AS collection, key_no % 5 > 0 AND quality_flag_var IS NOT NULL AS reached, qa_good_values <> '' AS g, qa_bad_values <> '' AS b FROM fx_collections""",
+             ruled="""SELECT *, coalesce(g, false) OR coalesce(b, false) AS pinned, key_no % 3 = 0 AS parsed FROM rules""",
+             seen="""SELECT c.*, r.* EXCLUDE (collection, fill_value, valid_min, valid_max), CASE WHEN raw_value <> coalesce(r.fill_value, -999)
+               AND (valid_min IS NULL OR raw_value >= valid_min) AND ((valid_max IS NULL) OR raw_value <= valid_max) THEN raw_value END AS checked
+               FROM (SELECT i, j, ts, raw_value, qa_flag, concat('K', i + 1) AS collection FROM fx_cells) c JOIN ruled r USING (collection)""")
+        + """SELECT collection, i, j, CAST(ts AS VARCHAR) AS ts, checked, CASE WHEN NOT reached OR NOT (pinned OR parsed) THEN checked
+          WHEN coalesce(g, false) AND qa_flag = 0 OR NOT coalesce(g, false) AND coalesce(b, false) AND qa_flag NOT IN (1, 2) OR NOT pinned AND qa_flag = 0 THEN checked END AS value,
+        CASE WHEN (pinned OR parsed) AND reached THEN CASE WHEN pinned THEN 'verified' ELSE 'cf-deterministic' END
+             WHEN quality_flag_var IS NULL THEN 'not applied — this product publishes no quality flag variable' ELSE 'not applied — semantics unknown' END AS qa_status,
+        CASE WHEN pinned THEN 'collections_yaml' WHEN parsed THEN 'cf_flag_meanings' ELSE 'none' END AS qa_source FROM seen""",
+    ),
     "fill_mask": (
         lambda s, d: as_text(M.fill_mask(_cells(s, d), FILL).select(*_ID, "value"), "ts"),
         ctes("fx_cells") + """SELECT i, j, CAST(ts AS VARCHAR) AS ts,

@@ -86,6 +86,9 @@ def _granules(s, d):
         F.when(F.col("o_orderkey") % 5 > 0, F.col("o_totalprice") / 1000).alias("size_mb"))
 
 
+_GRANULES = "SELECT concat(o_orderpriority, '/', o_orderstatus) AS dataset, o_orderkey AS granule, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice / 1000 END AS size_mb FROM orders"
+
+
 def _estimates(s, d):
     price = F.floor(F.col("o_totalprice") * 4000).cast("long")
     return fixture(s, d, "orders").select("o_custkey", F.when(F.col("o_custkey") % 6 > 0, price).alias("bytes"), (F.col("o_custkey") % 4 == 0).alias("confirmed"))
@@ -130,9 +133,13 @@ QUERIES = {
         CASE WHEN pd THEN 'you asked about Texas, but the data shown covers California, United States' END), '.') END AS note FROM f""".replace("at IS NOT NULL AND at <> dt", "\"at\" IS NOT NULL AND \"at\" <> dt").replace("WHEN at = d THEN d ELSE concat(d, ' to ', at)", "WHEN \"at\" = d THEN d ELSE concat(d, ' to ', \"at\")").replace("l3 END AS at,", "l3 END AS \"at\","),
     ),
     "granule_totals": (
-        lambda s, d: r6(R.granule_totals(_granules(s, d), ["dataset"], "granule", 25), "total_size_mb"),
-        """SELECT dataset, count(*) AS count, round(sum(coalesce(size_mb, 0)), 6) AS total_size_mb, 25 AS limit_applied FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY granule) AS rn FROM
-        (SELECT concat(o_orderpriority, '/', o_orderstatus) AS dataset, o_orderkey AS granule, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice / 1000 END AS size_mb FROM orders)) WHERE rn <= 25 GROUP BY dataset""",
+        lambda s, d: r6(R.granule_totals(_granules(s, d), ["dataset"]), "total_size_mb"),
+        f"SELECT dataset, count(*) AS count, round(sum(coalesce(size_mb, 0)), 6) AS total_size_mb, count(*) FILTER (size_mb IS NULL) AS unsized FROM ({_GRANULES}) GROUP BY dataset",
+    ),
+    "granule_listing": (
+        lambda s, d: r6(R.granule_listing(_granules(s, d), ["dataset"], "granule", 25), "size_mb"),
+        f"""SELECT dataset, granule, round(size_mb, 6) AS size_mb, CAST(rank AS INT) AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY granule) AS rank FROM ({_GRANULES})) WHERE rank <= 25""",
     ),
     "size_gate": (
         lambda s, d: R.size_gate(_estimates(s, d), ["o_custkey"]).withColumn("estimated_bytes", F.col("estimated_bytes").cast("double")),

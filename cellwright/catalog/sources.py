@@ -82,12 +82,9 @@ def _export_cells(s, d):
 def _export_wide(s, d):
     path = fresh_path(s, "csv")
     cells = masked_hourly(s, d)
-    table = X.wide_table(cells, D.temporal_mean(cells, "hourly"), "reading", "ppb")
-    X.write_csv(table, path)
-    names = [c for c in table.columns if c not in ("variable", "latitude", "longitude", "units")]
-    schema = ", ".join(f"`{c}` {'string' if c in ('variable', 'units') else 'double'}" for c in table.columns)
-    back = s.read.schema(schema).csv(path, header=True)
-    return r6(back.unpivot(["variable", "latitude", "longitude", "units"], names, "header", "value"), "value")
+    X.write_csv(X.granule_table(cells, D.temporal_mean(cells, "hourly"), "reading", "ppb"), path)
+    back = s.read.schema("variable string, latitude double, longitude double, header string, value double, units string").csv(path, header=True)
+    return r6(back, "value")
 
 
 def _export_series(s, d):
@@ -165,10 +162,9 @@ QUERIES = {
     "export_wide_csv": (
         _export_wide,
         ctes("fx_hourly", masked=MASKED_HOURLY, v="SELECT DISTINCT ts, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM masked WHERE value IS NOT NULL",
-             h="SELECT ts, CASE WHEN k = 1 THEN day ELSE concat(day, '_', k) END AS header FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ts) AS k FROM (SELECT * FROM v ORDER BY ts LIMIT 50))",
-             m="SELECT i, j, lat, lon, avg(value) AS value FROM masked WHERE value IS NOT NULL GROUP BY i, j, lat, lon")
-        + """SELECT 'reading' AS variable, lat AS latitude, lon AS longitude, 'ppb' AS units, header, round(c.value, 6) AS value FROM m, h LEFT JOIN masked c ON c.i = m.i AND c.j = m.j AND c.ts = h.ts
-        UNION ALL SELECT 'reading', lat, lon, 'ppb', 'mean', round(value, 6) FROM m""".replace("SELECT 'reading' AS variable, lat AS", "SELECT 'reading' AS variable, m.lat AS").replace("lon AS longitude, 'ppb' AS units", "m.lon AS longitude, 'ppb' AS units"),
+             h="SELECT ts, CASE WHEN k = 1 THEN day ELSE concat(day, '_', k) END AS header FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ts) AS k FROM v)")
+        + """SELECT 'reading' AS variable, lat AS latitude, lon AS longitude, 'ppb' AS units, header, round(value, 6) AS value FROM masked JOIN h USING (ts) WHERE value IS NOT NULL
+        UNION ALL SELECT 'reading', lat, lon, 'ppb', 'mean', round(avg(value), 6) FROM masked WHERE value IS NOT NULL GROUP BY lat, lon""",
     ),
     "export_series_csv": (
         _export_series,

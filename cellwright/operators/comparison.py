@@ -61,7 +61,8 @@ def nearest_on_axis(points: DataFrame, axis: DataFrame, point: str, center: str)
         return F.when(left.isNotNull() & left_nearer, left).otherwise(right)
 
     start = F.struct(F.lit(0).alias("lo"), F.size(c).alias("hi"))
-    nearest = F.aggregate(F.sequence(F.lit(1), F.lit(24)), start, halve, pick)
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(c) + 1)).cast("int"))
+    nearest = F.aggregate(steps, start, halve, pick)
     return points.withColumn("_centers", centers).withColumn(center, nearest).drop("_centers")
 
 

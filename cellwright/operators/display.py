@@ -10,12 +10,8 @@ from pyspark.sql import functions as F
 from cellwright.functions.scalars import color_index, is_finite, sig7
 from cellwright.operators import order_stats
 
-# --- Fixed values ---------------------------------------------------------------------------------
-MAX_CELLS = 8000
-# --------------------------------------------------------------------------------------------------
 
-
-def thin_grid(field: DataFrame, keys: Sequence[str] = (), max_cells: int = MAX_CELLS) -> DataFrame:
+def thin_grid(field: DataFrame, keys: Sequence[str] = (), *, max_cells: int) -> DataFrame:
     """Keep rows and columns at one stride when the grid has more than `max_cells` cells.
 
     The stride follows from the grid's extent, one small row per key.
@@ -34,7 +30,7 @@ def thin_grid(field: DataFrame, keys: Sequence[str] = (), max_cells: int = MAX_C
     return rows.where(on_stride).drop("_i0", "_j0", "_step")
 
 
-def sample_points(field: DataFrame, keys: Sequence[str] = (), max_points: int = MAX_CELLS) -> DataFrame:
+def sample_points(field: DataFrame, keys: Sequence[str] = (), *, max_points: int) -> DataFrame:
     """At most `max_points` finite cells, evenly spaced in row-major order.
 
     Positions come from per-row counts of the grid plus the place inside a row, so no task ever

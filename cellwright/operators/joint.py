@@ -40,12 +40,19 @@ def at_monitors(monitors: DataFrame, cells: DataFrame, axes: DataFrame | None =
     return cells.join(where, ["lat", "lon"])
 
 
-def series_coverage(rows: DataFrame, keys: Sequence[str] = ("site_id",)) -> DataFrame:
-    """Timesteps at the cell, those with a valid value, those excluded, and the valid share."""
-    n, valid = F.count(F.lit(1)), F.count(F.when(is_finite("value"), 1))
-    return rows.groupBy(*keys).agg(
-        n.alias("n_total"), valid.alias("n_valid"), (n - valid).alias("n_excluded"),
-        F.coalesce(F.try_divide(valid, n), F.lit(0.0)).alias("coverage_fraction"),
+def series_coverage(rows: DataFrame, monitors: DataFrame, cells: DataFrame) -> DataFrame:
+    """Timesteps of the grid, those with a valid value at the monitor's cell, those without, and the valid share.
+
+    Every monitor has a row. A timestep for which the grid holds no row of the cell counts as one
+    without a value; `cells` is read for its timesteps alone.
+    """
+    sites = monitors.select(site_id().alias("site_id")).distinct()
+    steps = cells.where(F.col("ts").isNotNull()).agg(F.count_distinct("ts")).scalar()
+    held = rows.where(is_finite("value")).groupBy("site_id").agg(F.count_distinct("ts").alias("n_valid"))
+    valid, total = F.coalesce("n_valid", F.lit(0).cast("long")), F.col("n_total")
+    return sites.join(held, "site_id", "left").withColumn("n_total", steps).select(
+        "site_id", "n_total", valid.alias("n_valid"), (total - valid).alias("n_excluded"),
+        F.coalesce(F.try_divide(valid, total), F.lit(0.0)).alias("coverage_fraction"),
     )
 
 

@@ -30,6 +30,7 @@ QA_DETERMINISTIC = "cf-deterministic"
 QA_INFERRED = "inferred, not verified"
 QA_PENDING = "ambiguous — awaiting classification"
 QA_NOT_APPLIED = "not applied — semantics unknown"
+QA_NO_FLAG_VARIABLE = "not applied — this product publishes no quality flag variable"
 # ------------------------------------------------------------------------------------------------
 
 
@@ -241,6 +242,46 @@ def resolve_qa(df: DataFrame) -> DataFrame:
     })
 
 
+def honest_qa(df: DataFrame) -> DataFrame:
+    """The status of `resolve_qa` as it will come true, and `qa_applies`.
+
+    Reads `flag_variable`, NULL when the product publishes none, and `flag_present`, whether its band
+    is in the cells. A rule without its band is not applied; without a flag variable there is no rule to find.
+    """
+    rule = F.coalesce(F.size("qa_good_values") > 0, F.lit(False)) | F.coalesce(F.size("qa_bad_values") > 0, F.lit(False))
+    applies = rule & F.col("flag_variable").isNotNull() & F.coalesce("flag_present", F.lit(False))
+    claimed = F.col("qa_status").isin(QA_VERIFIED, QA_DETERMINISTIC, QA_INFERRED)
+    status = F.when(claimed & ~applies, QA_NOT_APPLIED).otherwise(F.col("qa_status"))
+    return df.withColumn("qa_applies", applies).withColumn(
+        "qa_status", F.when(F.col("flag_variable").isNull() & (status == QA_NOT_APPLIED), QA_NO_FLAG_VARIABLE).otherwise(status)
+    )
+
+
+def mask_by_facts(
+    cells: DataFrame, facts: DataFrame, keys: Sequence[str] = ("collection",), raw: str = "raw_value", flag: str = "qa_flag"
+) -> DataFrame:
+    """Cells of many products, each masked by its own facts, in one plan: `checked` before the flag, `value` after it.
+
+    `facts` has one row per key: `fill_value`, `valid_min`, `valid_max` in physical units, and the columns
+    of `resolve_qa` after `honest_qa`. Cells of a product without facts stay as they are, unmasked and with
+    NULL statuses. The join is on the product alone and left to Spark, which sends the facts to the
+    cells when it finds them small.
+    """
+    told = ["fill_value", "valid_min", "valid_max", "qa_good_values", "qa_bad_values", "qa_applies", "qa_status", "qa_source"]
+    facts = facts.select(*keys, F.struct(*told).alias("_f"))
+    joined = cells.join(facts, list(keys), "left").withColumn("checked", F.when(~F.isnan(raw), F.col(raw)))
+    shown = fill_mask(joined, F.col("_f.fill_value"), "checked")
+    shown = valid_range_mask(shown, F.col("_f.valid_min"), F.col("_f.valid_max"), "checked")
+    good, bad, code = F.col("_f.qa_good_values"), F.col("_f.qa_bad_values"), F.col(flag)
+    # as in `passes_qa`: good values settle it, else everything but the bad ones; a missing flag never passes
+    passed = F.when(good.isNotNull(), F.array_contains(good, code.cast("int"))).otherwise(
+        ~F.coalesce(F.array_contains(bad, code.cast("int")), F.lit(False)))
+    kept = ~F.coalesce("_f.qa_applies", F.lit(False)) | (code.isNotNull() & F.coalesce(passed, F.lit(False)))
+    return shown.withColumn("value", F.when(kept, F.col("checked"))).withColumns(
+        {"qa_status": F.col("_f.qa_status"), "qa_source": F.col("_f.qa_source")}
+    ).drop("_f")
+
+
 def qa_flag_variable(science: DataFrame, inventory: DataFrame) -> DataFrame:
     """The quality-flag variable of each file's science variable, or NULL.
 

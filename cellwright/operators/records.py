@@ -21,7 +21,6 @@ HANDLE_KINDS = {
     "preview": "preview",
 }
 PHASES = ["export", "extract", "open", "crop", "mask", "aggregate", "render", "qa_pass_rate"]
-GRANULE_LIMIT_DEFAULT, GRANULE_LIMIT_MAX = 10, 50
 SOFT_CAP_BYTES, HARD_CAP_BYTES = 2 * 1024**3, 10 * 1024**3
 GROUND_PATTERNS = [
     r"\b(nearest|closest|find|locate|where\s+is)\b.{0,20}\b(monitor|sensor|station|site)\b",
@@ -119,17 +118,18 @@ def scope_audit(results: DataFrame) -> DataFrame:
 
 # --- Retrieval gates and logs ---------------------------------------------------------------------
 
-def granule_totals(granules: DataFrame, keys: Sequence[str], order: str, limit: int | None = None) -> DataFrame:
-    """Count and size of the granules a listing shows: the first `limit` (default 10, at most 50).
+def granule_totals(granules: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Count and size of all granules of each group, and how many of them state no size."""
+    return granules.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("count"), F.sum(F.coalesce("size_mb", F.lit(0.0))).alias("total_size_mb"),
+        F.count_if(F.col("size_mb").isNull()).alias("unsized"),
+    )
 
-    The rank filter lets every task keep only its own first ones.
-    """
-    shown = min(limit, GRANULE_LIMIT_MAX) if limit else GRANULE_LIMIT_DEFAULT
+
+def granule_listing(granules: DataFrame, keys: Sequence[str], order: str, limit: int) -> DataFrame:
+    """The first `limit` granules of each group, with their rank; every task keeps only its own first ones."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    listed = granules.withColumn("_rank", rank).where(F.col("_rank") <= shown)
-    return listed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("count"), F.sum(F.coalesce("size_mb", F.lit(0.0))).alias("total_size_mb")
-    ).withColumn("limit_applied", F.lit(shown))
+    return granules.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
 def size_gate(estimates: DataFrame, keys: Sequence[str], soft: int = SOFT_CAP_BYTES, hard: int = HARD_CAP_BYTES) -> DataFrame:

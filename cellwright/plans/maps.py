@@ -12,8 +12,8 @@ from cellwright.operators import comparison, display, reductions
 from cellwright.session import settle
 
 
-def heatmap(cells: DataFrame, cadence: str, keys: Sequence[str], max_cells: int = display.MAX_CELLS) -> DataFrame:
-    """Thinned temporal-mean cells of each panel with the panel's scale and full-field statistics.
+def heatmap(cells: DataFrame, cadence: str, keys: Sequence[str], max_cells: int | None = None) -> DataFrame:
+    """Temporal-mean cells of each panel with the panel's scale and full-field statistics; thinned only to a given number.
 
     `cells` are narrowed and masked. All panels share one plan; a panel's facts are one row per key.
     """
@@ -21,8 +21,8 @@ def heatmap(cells: DataFrame, cadence: str, keys: Sequence[str], max_cells: int
     field = settle(reductions.temporal_mean(cells, cadence, keys), "field")
     stats = reductions.field_statistics(field, keys)
     scale = comparison.percentile_bounds(field, keys)
-    thin = display.thin_grid(field, keys, max_cells)
-    return thin.join(stats, keys).join(scale, keys).select(
+    shown = field if max_cells is None else display.thin_grid(field, keys, max_cells=max_cells)
+    return shown.join(stats, keys).join(scale, keys).select(
         *keys, "i", "j", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), sig7("value").alias("value"),
         sig7("vmin").alias("vmin"), sig7("vmax").alias("vmax"), "count", "valid_fraction", "mean", "min", "max",
     )

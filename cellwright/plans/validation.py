@@ -34,7 +34,7 @@ def daily_means(records: DataFrame) -> DataFrame:
 def validate_against_ground(
     cells: DataFrame, monitors: DataFrame, records: DataFrame, mask: Callable[[DataFrame], DataFrame], box: Box, k: int = 10
 ) -> DataFrame:
-    """Correlation, pair count and coverage per site, and a pooled row with a NULL site.
+    """Correlation, pair count and coverage of every site, paired or not, and a pooled row with a NULL site.
 
     All sites are one plan: two joins and one grouping set over the pairs.
     """
@@ -42,7 +42,8 @@ def validate_against_ground(
     rows = settle(mask(J.at_monitors(sites, cells)), "series")
     ground = settle(daily_means(records), "ground")
     pairs = settle(J.pair_daily(rows, ground), "pairs")
-    site = J.correlation_stats(pairs, ground).join(J.series_coverage(rows).withColumnRenamed("coverage_fraction", "series_coverage"), "site_id")
+    coverage = J.series_coverage(rows, sites, cells).withColumnRenamed("coverage_fraction", "series_coverage")
+    site = coverage.join(J.correlation_stats(pairs, ground), "site_id", "left").na.fill({"n": 0, "coverage_fraction": 0.0})
     pooled = J.correlation_stats(pairs, None, ()).where(F.col("n") > 0)
     columns = ["site_id", "r", "n", "coverage_fraction", "n_total", "n_valid", "n_excluded", "series_coverage"]
     return site.select(columns).unionByName(pooled, allowMissingColumns=True).select(columns)

@@ -7,11 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellwright.functions.scalars import finite, is_finite
-
-# --- Fixed values ---------------------------------------------------------------------------------
-MAX_GRANULE_COLUMNS = 50
-# --------------------------------------------------------------------------------------------------
+from cellwright.functions.scalars import is_finite
 
 
 def unique_headers(names: DataFrame, name: str, order: str) -> DataFrame:
@@ -32,30 +28,30 @@ def cells_table(field: DataFrame, variable: str, units: str, panel: str | None =
     )
 
 
-def wide_table(
-    cells: DataFrame, mean_field: DataFrame, variable: str, units: str, cap: int = MAX_GRANULE_COLUMNS, panel: str | None = None
-) -> DataFrame:
-    """One row per cell, one column per granule date (the first `cap` that hold data), then the mean.
+def granule_table(cells: DataFrame, mean_field: DataFrame, variable: str, units: str, panel: str | None = None) -> DataFrame:
+    """One row per cell and granule with a value there, headed by the granule's date, and a row `mean` per cell.
 
-    A cell stays when its mean or any of its granules is finite. The driver sees the column names only.
+    All granules, in long form: the file to write at scale. Its number of columns does not grow.
     """
-    place = ["i", "j", "lat", "lon"] + ([panel] if panel else [])
-    first = cells.where(is_finite("value")).select("ts").distinct().orderBy("ts").limit(cap)
-    named = unique_headers(first.withColumn("_date", F.to_date("ts").cast("string")), "_date", "ts").select("ts", "header")
-    names = [r["header"] for r in named.orderBy("ts").collect()]
-    # At most `cap` short rows.
-    held = cells.where(is_finite("value")).join(F.broadcast(named), "ts")
-    pivoted = held.groupBy(*place).pivot("header", names).agg(F.first("value"))
-    means = mean_field.select(*place, finite("value").alias("mean"))
-    both = means.join(pivoted, place, "full")
-    some = F.col("mean").isNotNull()
-    for n in names:
-        some = some | F.col(f"`{n}`").isNotNull()
     head = [F.col(panel).alias("panel")] if panel else []
-    return both.where(some).select(
+    held = cells.where(is_finite("value"))
+    first = held.select("ts").distinct().withColumn("_date", F.to_date("ts").cast("string"))
+    rows = held.join(unique_headers(first, "_date", "ts").select("ts", "header"), "ts")
+    means = mean_field.where(is_finite("value")).withColumn("header", F.lit("mean"))
+    columns = [
         *head, F.lit(variable).alias("variable"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"),
-        *[F.col(f"`{n}`") for n in names], "mean", F.lit(units).alias("units"),
-    )
+        "header", "value", F.lit(units).alias("units"),
+    ]
+    return rows.select(*columns).unionByName(means.select(*columns))
+
+
+def wide_table(table: DataFrame, headers: Sequence[str]) -> DataFrame:
+    """A `granule_table` with one column per header the caller names; a granule left out is an error, never a cut."""
+    known = F.col("header").isin(list(headers))
+    refused = F.raise_error(F.concat(F.lit("no column for granule "), F.col("header"))).cast("string")
+    place = [c for c in table.columns if c not in ("header", "value")]
+    named = table.withColumn("header", F.when(known, F.col("header")).otherwise(refused))
+    return named.groupBy(*place).pivot("header", list(headers)).agg(F.first("value"))
 
 
 def series_table(series: DataFrame, variable: str, stat: str, units: str) -> DataFrame:

@@ -142,7 +142,9 @@ def test_cube_against_one_monitor(spark, grid):
     rows = [(n, "01", "001", "0000", "M0", d, str(2.0 * (n + 1)), None, None, "ppb", "1 HOUR", "NO2", None, None) for n, d in enumerate(days)]
     records = spark.createDataFrame(rows + [(9, "01", "001", "0000", "M0", "2024-02-01", "7", None, None, "ppb", "1 HOUR", "NO2", None, None)], DAILY)
     got = {r["site_id"]: r for r in V.validate_against_ground(cells, monitors, records, lambda c: c, (-75.0, 39.0, -72.0, 42.0), 1).collect()}
-    assert set(got) == {"01-001-0000", None}
+    assert set(got) == {"01-001-0000", "01-001-0001", None}
+    silent = got["01-001-0001"]  # no ground record: in the report all the same
+    assert (silent["r"], silent["n"], silent["n_total"], silent["n_valid"]) == (None, 0, 3, 3)
     site = got["01-001-0000"]
     assert (round(site["r"], 9), site["n"], site["coverage_fraction"], site["n_total"], site["n_excluded"]) == (1.0, 3, 0.75, 3, 0)
     assert (got[None]["n"], got[None]["coverage_fraction"]) == (3, 1.0)
