@@ -38,7 +38,7 @@ _CLASSIFIED = f"""SELECT *, split_part(rc, '|', 1) AS role, nullif(split_part(rc
   WHEN {_has('norm', I.GEOMETRY_PARTS)} THEN 'context|medium'
   WHEN starts_with(norm, 'amf') OR {_has('norm', I.RETRIEVAL_PARTS)} THEN 'retrieval-metadata|medium'
   WHEN {_has('norm', I.CONTEXT_PARTS)} THEN 'context|medium' WHEN grp IN ('product', 'key_science_data') THEN 'science|high'
-  WHEN {_has('norm', I.SCIENCE_STEMS)} THEN 'science|low' ELSE 'unclassified|' END AS rc FROM named)"""
+  WHEN {_has('norm', I.SCIENCE_STEMS + I.SCIENCE_TOKENS)} THEN 'science|low' ELSE 'unclassified|' END AS rc FROM named)"""
 
 
 def _registered(s, d):

@@ -45,17 +45,31 @@ CONTEXT_PARTS = [
 ]
 SCIENCE_STEMS = [
     "verticalcolumn", "columnamount", "columndensity", "columnnumberdensity",
-    "molecontent", "molefraction", "opticaldepth", "opticalthickness", "aod",
+    "molecontent", "molefraction", "opticaldepth", "opticalthickness",
 ]
+SCIENCE_TOKENS = ["aod"]
 ROLES = ["science", "quality", "context", "retrieval-metadata", "unclassified"]
 
 # Choice of the variable a file is about
 PLUMBING_LEAVES = ["Standard_Deviation", "Pixel_Counts", "Histogram_Counts"]
-PLUMBING_PATTERN = (
-    r"(?i)zenith_angle|azimuth_angle|scattering_angle|reflectance|land_ocean_mask|(^|[/_])mask($|[/_])"
-    r"|(^|[/_])ndvi($|[/_])|cloud_fraction|quality_flag|data_quality"
-)
-SCORE_MEAN, SCORE_UNITS, SCORE_GEOPHYSICAL, SCORE_STANDARD_NAME, SCORE_LONG_NAME, SCORE_PLUMBING = 100, 80, 40, 30, 20, -60
+PLUMBING_PATTERNS = [
+    r"zenith_angle",
+    r"azimuth_angle",
+    r"scattering_angle",
+    r"reflectance",
+    r"land_ocean_mask",
+    r"(^|[/_])mask($|[/_])",
+    r"(^|[/_])ndvi($|[/_])",
+    r"cloud_fraction",
+    r"quality_flag",
+    r"data_quality",
+]
+SCORE_MEAN = 100
+SCORE_UNITS = 80
+SCORE_GEOPHYSICAL = 40
+SCORE_STANDARD_NAME = 30
+SCORE_LONG_NAME = 20
+SCORE_PLUMBING = -60
 GEOPHYSICAL_ROOTS = [
     "aod", "aerosol", "optical_depth", "angstrom",
     "no2", "o3", "ozone", "so2", "hcho", "formaldehyde", "ch4", "methane",
@@ -162,7 +176,7 @@ def classify_variables(inventory: DataFrame) -> DataFrame:
         .when(F.startswith(n, F.lit(RETRIEVAL_PREFIX)) | contains_any(n, RETRIEVAL_PARTS), out("retrieval-metadata", "medium"))
         .when(contains_any(n, CONTEXT_PARTS), out("context", "medium"))
         .when(in_group(SCIENCE_GROUPS), out("science", "high"))
-        .when(contains_any(n, SCIENCE_STEMS), out("science", "low"))
+        .when(contains_any(n, SCIENCE_STEMS + SCIENCE_TOKENS), out("science", "low"))
         .otherwise(F.struct(F.lit("unclassified").alias("role"), F.lit(None).cast("string").alias("confidence")))
     )
     for column, role in (("quality_flag_var", "quality"), ("primary_var", "science")):
@@ -222,7 +236,7 @@ def score_variables(inventory: DataFrame) -> DataFrame:
     """
     bare, low = leaf("name"), F.lower("name")
     flagged = F.col("flag_values").isNotNull() & F.col("flag_meanings").isNotNull()
-    plumbing = flagged | bare.isin(PLUMBING_LEAVES) | F.col("name").rlike(PLUMBING_PATTERN)
+    plumbing = flagged | bare.isin(PLUMBING_LEAVES) | F.col("name").rlike("(?i)" + "|".join(PLUMBING_PATTERNS))
     text = F.lower(F.concat_ws(" ", "name", F.coalesce("standard_name", F.lit("")), F.coalesce("long_name", F.lit(""))))
     mean_leaf, has_units = bare == "Mean", F.coalesce(F.col("units") != "", F.lit(False))
     has_standard = F.coalesce(F.col("standard_name") != "", F.lit(False))

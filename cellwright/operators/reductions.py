@@ -39,9 +39,16 @@ def cadence_weights(valid: DataFrame, cadence: str, keys: Sequence[str] = ()) ->
     return valid.withColumn("weight", F.lit(1.0) / F.count(F.lit(1)).over(bucket))
 
 
-def _dated(cells: DataFrame) -> DataFrame:
-    """Cells without any time are one timestep of their own, so that they can be reduced like others."""
-    return cells.withColumn("ts", F.coalesce("ts", F.lit("1970-01-01").cast(cells.schema["ts"].dataType)))
+def _weighted(cells: DataFrame, columns: Sequence, cadence: str, keys: Sequence[str]) -> DataFrame:
+    """The columns with the `weight` of their timestep, NULL where it is not valid.
+
+    Cells without any time are one timestep of their own, marked as such, beside all real ones.
+    """
+    epoch = F.lit("1970-01-01").cast(cells.schema["ts"].dataType)
+    marked = cells.withColumns({"_undated": F.col("ts").isNull(), "ts": F.coalesce("ts", epoch)})
+    by = [*keys, "_undated"]
+    weights = cadence_weights(valid_timesteps(marked, by), cadence, by)
+    return marked.select(*by, *columns, "ts", "value").join(weights, [*by, "ts"], "left")
 
 
 def temporal_fields(
@@ -54,8 +61,6 @@ def temporal_fields(
     valid value stays, with NULLs. A cell's group is bounded by its number of timesteps, which is
     why the built-in median is safe here.
     """
-    cells = _dated(cells)
-    weights = cadence_weights(valid_timesteps(cells, keys), cadence, keys)
     v = F.when(F.col("weight").isNotNull(), F.col("value"))
     aggs = {
         "mean": F.try_divide(F.sum(F.col("weight") * v), F.sum(F.when(v.isNotNull(), F.col("weight")))),
@@ -64,7 +69,7 @@ def temporal_fields(
         "min": F.min(v),
         "std": F.stddev_samp(v),
     }
-    joined = cells.select(*keys, *cell, "ts", "value").join(weights, [*keys, "ts"], "left")
+    joined = _weighted(cells, cell, cadence, keys)
     return joined.groupBy(*keys, *cell).agg(*[aggs[s].alias(s) for s in stats])
 
 
@@ -236,8 +241,6 @@ def evidence_facts(
     A band is `{name, role, units, fill, vmin, vmax}`. Its own fill and range are masked first, then
     its plain time mean is taken per cell, so it describes the same kind of field as the science map.
     """
-    cells = _dated(cells)
-    weights = cadence_weights(valid_timesteps(cells, keys), cadence, keys)
     masked = cells
     for b in bands:
         c = F.col(b["name"])
@@ -246,7 +249,7 @@ def evidence_facts(
             ok = ok & ~F.coalesce(is_fill(cells, b["name"], b["fill"]), F.lit(False))
         masked = masked.withColumn(b["name"], F.when(ok, c))
     names = [b["name"] for b in bands]
-    joined = masked.select(*keys, *CELL, "ts", "value", *names).join(weights, [*keys, "ts"], "left")
+    joined = _weighted(masked, [*CELL, *names], cadence, keys)
     v = F.when(F.col("weight").isNotNull(), F.col("value"))
     field = joined.groupBy(*keys, *CELL).agg(
         F.try_divide(F.sum(F.col("weight") * v), F.sum(F.when(v.isNotNull(), F.col("weight")))).alias("_science"),

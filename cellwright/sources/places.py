@@ -53,24 +53,39 @@ POLYGON_NAMES = [
     "united states", "usa", "us", "conus", "continental us", "contiguous us", "lower 48",
     "north america", "south america", "europe", "africa", "asia", "oceania", "antarctica",
 ]
+#: Names that share the polygon of another.
+SAME_POLYGON = {
+    "usa": "united states",
+    "us": "united states",
+    "continental us": "conus",
+    "contiguous us": "conus",
+    "lower 48": "conus",
+}
 # --------------------------------------------------------------------------------------------------
 
 
 def load_regions(spark: SparkSession, polygons: DataFrame | None = None) -> DataFrame:
-    """Named boxes; a name with a polygon in `polygons` (an edge table) takes that polygon's extent."""
+    """Named boxes; a name with a polygon in `polygons` (an edge table) takes that polygon's extent.
+
+    `polygon_id` says which one: aliases share the polygon of the name they stand for.
+    """
     rows = [(k, v[4], "bounding_box", *map(float, v[:4])) for k, v in NAMED_BOXES.items()]
     regions = spark.createDataFrame(rows, REGIONS)
     if polygons is None:
         return regions
     extent = polygons.where(F.col("region_id").isin(POLYGON_NAMES)).groupBy("region_id").agg(
-        F.min(F.least("x1", "x2")).alias("px"), F.min(F.least("y1", "y2")).alias("py"),
-        F.max(F.greatest("x1", "x2")).alias("qx"), F.max(F.greatest("y1", "y2")).alias("qy"),
-    )
-    joined = regions.join(extent, "region_id", "left")
+        F.min(F.least("x1", "x2")).alias("minx"), F.min(F.least("y1", "y2")).alias("miny"),
+        F.max(F.greatest("x1", "x2")).alias("maxx"), F.max(F.greatest("y1", "y2")).alias("maxy"),
+    ).select("region_id", F.struct(F.col("region_id").alias("polygon_id"), "minx", "miny", "maxx", "maxy").alias("_own"))
+    shared = F.coalesce(*[F.when(F.col("region_id") == alias, name) for alias, name in SAME_POLYGON.items()])
+    # A name's own polygon comes before the one it shares.
+    joined = regions.join(extent, "region_id", "left").withColumn("_alias", shared).join(
+        extent.select(F.col("region_id").alias("_alias"), F.col("_own").alias("_shared")), "_alias", "left"
+    ).withColumn("_e", F.coalesce("_own", "_shared"))
     return joined.select(
-        "region_id", "name", F.when(F.col("px").isNotNull(), "polygon").otherwise(F.col("region_type")).alias("region_type"),
-        F.coalesce("px", "minx").alias("minx"), F.coalesce("py", "miny").alias("miny"),
-        F.coalesce("qx", "maxx").alias("maxx"), F.coalesce("qy", "maxy").alias("maxy"),
+        "region_id", "name", F.col("_e.polygon_id").alias("polygon_id"),
+        F.when(F.col("_e").isNotNull(), "polygon").otherwise(F.col("region_type")).alias("region_type"),
+        *[F.coalesce(f"_e.{c}", c).alias(c) for c in ("minx", "miny", "maxx", "maxy")],
     )
 
 

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellwright.operators import display, joint, masking, records, regions
-from cellwright.operators.reductions import regional_timeseries
+from cellwright.operators.reductions import regional_timeseries, temporal_mean, valid_timesteps
 from cellwright.sources import exports
 from cellwright.sources.cells import dedup_time, scan_cube, write_cube
+from cellwright.sources.places import load_regions
 
 
 def test_cells_without_longitude_stay(spark):
@@ -81,3 +82,23 @@ def test_products_are_masked_by_their_own_facts(spark):
         "c": ([5.0, 6.0, 7.0, 99.0], {masking.QA_NO_FLAG_VARIABLE}),
         "d": ([-9.0, 5.0, 6.0, 7.0, 99.0], {None}),
     }
+
+
+def test_undated_cells_stay_apart_from_a_real_first_day(spark):
+    cells = spark.createDataFrame([("1970-01-01", 1.0), ("1970-01-01", 2.0), (None, 6.0)], "ts string, value double").select(
+        F.col("ts").cast("timestamp").alias("ts"), F.monotonically_increasing_id().cast("int").alias("i"), F.lit(0).alias("j"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), "value")
+    cells = cells.withColumn("i", F.lit(0))
+    # a month with one real timestep and one without a date: each weighs the same
+    got = temporal_mean(cells, "monthly").first()["value"]
+    assert got == pytest.approx((1.0 + 2.0 + 6.0) / 3)
+    assert valid_timesteps(cells).count() == 2
+
+
+def test_aliases_reach_the_polygon_they_stand_for(spark):
+    ring = [(-100.0, 30.0), (-90.0, 30.0), (-95.0, 40.0)]
+    edges = regions.polygon_edges(spark, {"united states": [ring], "conus": [ring]})
+    got = {r["region_id"]: r for r in load_regions(spark, edges).collect()}
+    for name in ("usa", "us", "united states", "lower 48", "contiguous us", "conus"):
+        assert (got[name]["region_type"], got[name]["minx"], got[name]["maxy"]) == ("polygon", -100.0, 40.0)
+    assert (got["usa"]["polygon_id"], got["lower 48"]["polygon_id"]) == ("united states", "conus")
+    assert got["asia"]["region_type"] == "bounding_box"
