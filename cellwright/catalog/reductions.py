@@ -31,12 +31,8 @@ _ALLCELLS = """SELECT c.region_id, c.i, c.j, c.lat, c.lon, f.value FROM (SELECT
 
 
 def _temporal_stats(s, d):
-    cells = _regioned(s, d)
-    out = None
-    for stat in ("median", "max", "min", "std"):
-        one = D.temporal_stat(cells, stat, KEY).select("region_id", "i", "j", F.lit(stat).alias("stat"), F.round("value", 6).alias("value"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    stats = ["median", "max", "min", "std"]
+    return r6(D.temporal_fields(_regioned(s, d), "unknown", KEY, stats).unpivot(["region_id", "i", "j"], stats, "stat", "value"), "value")
 
 
 def _series_all(s, d):

@@ -54,6 +54,23 @@ def test_a_timestep_with_only_infinite_values_is_not_valid(grid):
     assert _one(D.temporal_mean(cells, "daily"))["value"] == 2.0
 
 
+def test_an_infinite_value_counts_only_at_a_valid_timestep(grid):
+    inf = float("inf")
+    cells = grid([0], [0, 1], {"2024-01-01 00:00": [[inf, None]], "2024-01-01 06:00": [[inf, 1.0]], "2024-01-02 00:00": [[4.0, 3.0]], "2024-01-02 06:00": [[6.0, -inf]]})
+    got = [tuple(r) for r in D.temporal_fields(cells, "daily", stats=["mean", "max", "min"]).orderBy("j").select("mean", "max", "min").collect()]
+    assert got == [(inf, inf, 4.0), (-inf, 3.0, -inf)]
+    early = cells.where("ts <= timestamp'2024-01-01 00:00' or ts >= timestamp'2024-01-02'").where("j = 0")
+    assert _one(D.temporal_fields(early, "daily", stats=["mean", "max"]))["max"] == 6.0
+
+
+def test_cells_are_reduced_before_they_meet_the_weights(grid):
+    """One join, above the first aggregation of the cells, and with a broadcast bucket table."""
+    cells = grid([0], [0, 1], {"2024-01-01": [[1.0, 2.0]], "2024-01-02": [[3.0, None]]})
+    plan = D.temporal_mean(cells, "monthly")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join"):]
+    assert plan.count("Join ") == 1 and plan.index("Aggregate") < plan.index("Join") and "Aggregate" in below
+
+
 def test_extremes_run_over_observations_and_spread_over_the_mean_field(grid):
     cells = grid([0], [0, 1], {"2024-01-01": [[1.0, 10.0]], "2024-01-02": [[5.0, 20.0]]})
     got = _one(D.regional_statistics(cells, "daily"))
