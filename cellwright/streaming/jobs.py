@@ -2,11 +2,12 @@
 
 Every job is a plain streaming DataFrame; `run_to_files` writes one to a file sink with its own
 checkpoint. Windows close when the watermark passes their end; rows older than the watermark are
-dropped and counted.
+dropped and counted. `run_bounded` also returns the windows that are still open when the input ends.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,7 @@ from cellwright.operators.reductions import qa_counters
 
 # --- Fixed values ---------------------------------------------------------------------------------
 GRANULES_PER_TRIGGER = 4
+POLL_SECONDS = 1
 # --------------------------------------------------------------------------------------------------
 
 
@@ -36,8 +38,15 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> list[dict]:
         stream.writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
     )
-    query.awaitTermination()
-    return [p if isinstance(p, dict) else p.jsonValue for p in query.recentProgress]
+    reports: dict = {}
+    done = False
+    while not done:
+        # a query remembers its latest reports only, so they are gathered while it runs
+        done = query.awaitTermination(POLL_SECONDS)
+        for p in query.recentProgress:
+            p = p if isinstance(p, dict) else json.loads(p.json)
+            reports[p["batchId"], p["timestamp"]] = p
+    return [reports[k] for k in sorted(reports)]
 
 
 def late_rows(progress: list[dict]) -> int:
@@ -73,8 +82,14 @@ def stream_ingest_cells(cells: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def stream_dedup_granules(cells: DataFrame, delay: str = "1 day", keys: Sequence[str] = ("collection", "ts", "i", "j")) -> DataFrame:
-    """First row per key that arrives; state is kept for the watermark's span only."""
-    return cells.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
+    """Per key the row of the first granule by name, whatever the order of arrival; a missing name comes last.
+
+    A key's row is emitted once the watermark has passed its time, and its state ends there.
+    """
+    rest = [c for c in cells.columns if c not in keys]
+    ranked = F.min(F.struct(F.col("granule_id").isNull().alias("_unnamed"), F.col("granule_id").alias("_name"), *rest))
+    first = cells.withWatermark("ts", delay).groupBy(*keys).agg(ranked.alias("_first"))
+    return first.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in cells.columns])
 
 
 def _windowed(cells: DataFrame, delay: str, width: str, *keys: str):
@@ -100,8 +115,21 @@ def stream_exceedance(samples: DataFrame, hard: float, delay: str = "2 hours") -
     return out.where(F.col("value") > hard).select("site_id", F.col("w.start").alias("day"), "value")
 
 
-def finished(stream_of: Callable[[], DataFrame], path: str, checkpoint: str, spark: SparkSession) -> DataFrame:
-    """Run a stream over what has arrived and read its sink back as a batch."""
-    stream = stream_of()
-    run_to_files(stream, path, checkpoint)
-    return spark.read.schema(stream.schema).parquet(path)
+def run_bounded(
+    job: Callable[[DataFrame], DataFrame], arriving: DataFrame, arrived: DataFrame, path: str, checkpoint: str, start: str = "ts", width: str = "0 seconds"
+) -> DataFrame:
+    """Run a job over all that has arrived and return every window, open ones included.
+
+    Closed windows are what the stream wrote to `path`. None of an open window's rows can have been late, so open windows are
+    the same job in batch over `arrived`, the rows of the same source, from the time on at which they can begin. They are not
+    written: a later run on the same checkpoint goes on with them. `start` names the result's window start.
+    """
+    spark = arrived.sparkSession
+    stream = job(arriving)
+    marks = [p["eventTime"]["watermark"] for p in run_to_files(stream, path, checkpoint) if "watermark" in p.get("eventTime", {})]
+    if not marks:
+        raise ValueError("the run reported no watermark")
+    mark = F.lit(max(marks)).cast("timestamp")
+    span = F.expr(f"INTERVAL {width}")
+    still_open = job(arrived.where(F.col("ts") > mark - span)).where(F.col(start) + span > mark)
+    return spark.read.schema(stream.schema).parquet(path).unionByName(still_open)

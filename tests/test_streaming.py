@@ -28,15 +28,28 @@ def test_ingest_keeps_good_cells_once_and_names_the_bad_ones(spark):
     assert sorted(r["reason"] for r in spark.read.parquet(f"{path}/rejects").collect()) == ["no place", "no time"]
 
 
-def test_dedup_keeps_the_first_arrival(spark):
+def test_dedup_keeps_the_first_granule_whatever_arrives_first(spark):
     folder, path = fresh_path(spark, "in"), fresh_path(spark, "out")
-    _arrive(spark, folder, [("2024-01-01 00:00", 0, 0, 1.0, 1.0, 1.0, 0)])
-    J.run_to_files(J.stream_dedup_granules(J.read_stream(spark, folder, CELLS, 1)), f"{path}/out", f"{path}/c")
-    _arrive(spark, folder, [("2024-01-01 00:00", 0, 0, 1.0, 1.0, 2.0, 0), ("2024-01-01 00:00", 0, 1, 1.0, 1.0, 3.0, 0)])
-    J.run_to_files(J.stream_dedup_granules(J.read_stream(spark, folder, CELLS, 1)), f"{path}/out", f"{path}/c")
+    job = lambda c: J.stream_dedup_granules(c.withColumn("granule_id", F.concat("granule_id", F.col("value").cast("int").cast("string"))))
+    arrive = lambda *rows: _arrive(spark, folder, list(rows))
+    run = lambda: J.run_bounded(job, J.read_stream(spark, folder, CELLS, 1), spark.read.schema(CELLS).parquet(folder), f"{path}/out", f"{path}/c")
+    arrive(("2024-01-01 00:00", 0, 0, 1.0, 1.0, 2.0, 0))
+    assert [r["value"] for r in run().collect()] == [2.0]
+    arrive(("2024-01-01 00:00", 0, 0, 1.0, 1.0, 1.0, 0), ("2024-01-01 00:00", 0, 1, 1.0, 1.0, 3.0, 0), ("2024-01-04 00:00", 0, 0, 1.0, 1.0, 4.0, 0))
+    assert sorted(r["value"] for r in run().collect()) == [1.0, 3.0, 4.0]
     assert sorted(r["value"] for r in spark.read.parquet(f"{path}/out").collect()) == [1.0, 3.0]
 
 
+def test_a_bounded_run_returns_open_windows_once(spark):
+    folder, path = fresh_path(spark, "in"), fresh_path(spark, "out")
+    run = lambda: J.run_bounded(J.stream_timeseries, J.read_stream(spark, folder, CELLS, 1), spark.read.schema(CELLS).parquet(folder), f"{path}/out", f"{path}/c", width="1 hour")
+    _arrive(spark, folder, [("2024-01-01 00:10", 0, 0, 0.0, 1.0, 1.0, 0), ("2024-01-01 03:30", 0, 0, 0.0, 1.0, 5.0, 0)])
+    assert sorted((str(r["ts"])[11:16], r["n"]) for r in run().collect()) == [("00:00", 1), ("03:00", 1)]
+    # the first of these is late, the second joins the open window
+    _arrive(spark, folder, [("2024-01-01 00:50", 0, 0, 0.0, 1.0, 9.0, 0), ("2024-01-01 03:40", 0, 0, 0.0, 1.0, 7.0, 0)])
+    assert sorted((str(r["ts"])[11:16], r["n"]) for r in run().collect()) == [("00:00", 1), ("03:00", 2)]
+
+
 def test_late_rows_are_dropped_and_counted(spark):
     folder, path = fresh_path(spark, "in"), fresh_path(spark, "out")
     run = lambda: J.run_to_files(J.stream_timeseries(J.read_stream(spark, folder, CELLS, 1)), f"{path}/out", f"{path}/c")
