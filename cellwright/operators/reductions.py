@@ -50,16 +50,15 @@ def _bucketed(cells: DataFrame, cadence: str, keys: Sequence[str], cell: Sequenc
 
     The cells are reduced before anything is joined to them. A value that is not finite says nothing about
     its timestep, so such values are kept apart by their timestep (`_at`); `_live` is false where that timestep
-    holds no finite value of any cell. The buckets' facts are a written table of one row per bucket, so Spark knows
-    its size when it plans the join.
+    holds no finite value of any cell. The buckets' facts have one row per bucket; how they meet is left to Spark.
     """
     unit = CADENCE_UNIT.get(cadence)
     marked = _marked(cells)
     bucket = F.date_trunc(unit, "ts") if unit else F.lit("1970-01-01").cast("timestamp")
     by = [*keys, "_undated", "_bucket"]
     steps = marked.where(F.col("value").isNotNull()).groupBy(*keys, "_undated", "ts").agg(F.bool_or(is_finite("value")).alias("_finite"))
-    facts = settle(steps.withColumn("_bucket", bucket).groupBy(*by).agg(
-        F.count_if("_finite").alias("_steps"), F.collect_list(F.when(~F.col("_finite"), F.col("ts"))).alias("_dead")), "buckets")
+    facts = steps.withColumn("_bucket", bucket).groupBy(*by).agg(
+        F.count_if("_finite").alias("_steps"), F.collect_list(F.when(~F.col("_finite"), F.col("ts"))).alias("_dead"))
     at = F.when(F.col("value").isNotNull() & ~is_finite("value"), F.col("ts"))
     parts = marked.withColumns({"_bucket": bucket, "_at": at}).groupBy(*by, *cell, "_at").agg(*[c.alias(n) for n, c in aggs.items()])
     live = F.coalesce(~F.array_contains("_dead", F.col("_at")), F.lit(True))

@@ -64,7 +64,7 @@ def test_an_infinite_value_counts_only_at_a_valid_timestep(grid):
 
 
 def test_cells_are_reduced_before_they_meet_the_weights(grid):
-    """One join, above the first aggregation of the cells, and with a broadcast bucket table."""
+    """One join, with an aggregation of the cells below it and one above."""
     cells = grid([0], [0, 1], {"2024-01-01": [[1.0, 2.0]], "2024-01-02": [[3.0, None]]})
     plan = D.temporal_mean(cells, "monthly")._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Join"):]
