@@ -10,7 +10,9 @@ windows of a chunk are first reduced to the smallest document that has them. The
 buckets that look at no more than one entry for a window and chunk, so a passage in a third of all documents
 is no hot key; a bucket answers with one bit for each entry: does a smaller document start it elsewhere? Texts
 meet the answers of their chunk compressed. Windows match on 64 bits and on a bucket drawn from other bits.
-Chunks are numbered by input task, so `docs` must be a stored table (write a computed frame first).
+Chunks are numbered by input task and Arrow batch, so `docs` must be a stored table (write a computed frame first), and both
+readings take the same columns: the bytes of all columns decide where a batch ends. A checksum of each chunk's windows
+travels with the answers; a chunk that reads differently the second time is an error.
 
 Defined results: a null or empty text has no words; a missing doc_id counts as larger than every other
 (documents without ids do not remove each other's words); rows with the same doc_id do not remove each
@@ -20,6 +22,7 @@ other's words either, since neither is smaller.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +64,13 @@ class Windows:
         self.entry = np.empty(len(order), np.int64)
         self.entry[order] = np.cumsum(fresh) - 1
 
+    def checksum(self) -> int:
+        """Tells chunks of other rows apart."""
+        found = 0
+        for part in (self.rows, self.at, self.owner, self.hashes, self.smallest):
+            found = zlib.crc32(part.tobytes(), found)
+        return found
+
     def buckets(self, n: int) -> np.ndarray:
         return (mixed(self.hashes ^ _U(0x5851F42D4C957F2D)) % _U(n)).astype(np.int64)
 
@@ -82,17 +92,18 @@ def _entries(width: int, n: int):
             cuts = np.searchsorted(bucket[order], np.arange(n + 1))
             full = np.flatnonzero(np.diff(cuts))
             parts = [order[cuts[b]:cuts[b + 1]] for b in full]
+            checks = [w.checksum(), *[None] * (len(full) - 1)][:len(full)]  # once for each chunk
             yield pa.RecordBatch.from_arrays(
                 [pa.array(full, pa.int32()), pa.array(np.full(len(full), chunk), pa.int64()),
-                 pa.array([planes(w.hashes[p]) for p in parts], pa.binary()), pa.array([planes(w.smallest[p]) for p in parts], pa.binary())],
-                ["bucket", "chunk", "hashes", "smallest"])
+                 pa.array([planes(w.hashes[p]) for p in parts], pa.binary()), pa.array([planes(w.smallest[p]) for p in parts], pa.binary()), pa.array(checks, pa.int64())],
+                ["bucket", "chunk", "hashes", "smallest", "checksum"])
 
     return run
 
 
 def _answers(entries: pa.Table) -> pa.Table:
-    """For each chunk's entries of this bucket: is there a smaller document?"""
-    chunk, packed = column(entries, "chunk"), column(entries, "hashes")
+    """For each chunk's entries of this bucket: is there a smaller document? Entries with a checksum answer in any case."""
+    chunk, checksum, packed = column(entries, "chunk"), column(entries, "checksum"), column(entries, "hashes")
     hashes = [from_planes(x.as_py(), _U) for x in packed]
     smallest = np.concatenate([from_planes(x.as_py(), np.int64) for x in column(entries, "smallest")])
     sizes = [len(h) for h in hashes]
@@ -104,20 +115,24 @@ def _answers(entries: pa.Table) -> pa.Table:
     flags = np.empty(len(order), bool)
     flags[order] = smallest[order] > least
     parts = np.split(flags, np.cumsum(sizes)[:-1])
-    some = [k for k, p in enumerate(parts) if p.any()]
+    some = [k for k, (p, c) in enumerate(zip(parts, checksum.to_pylist(), strict=True)) if p.any() or c is not None]
     return pa.table({
         "chunk": chunk.take(pa.array(some, pa.int64())),
         "bucket": column(entries, "bucket").take(pa.array(some, pa.int64())),
         "bits": pa.array([np.packbits(parts[k]).tobytes() for k in some], pa.binary()),
+        "checksum": checksum.take(pa.array(some, pa.int64())),
     })
 
 
 def _removal(width: int, n: int, digest: bool):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        changed = ValueError("the input changed between two readings; write it to a table first")
         if texts.num_rows != 1:
-            raise ValueError("the input changed between two readings; write it to a table first")
+            raise changed
         rows = unpacked(column(texts, "rows")[0].as_py())
         w = Windows(column(rows, "doc_id"), column(rows, "text"), width)
+        if column(answers, "checksum").drop_null().to_pylist() != ([w.checksum()] if len(w.hashes) else []):
+            raise changed
         bucket, elsewhere = w.buckets(n), np.zeros(len(w.hashes), bool)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(n + 1))
@@ -148,8 +163,8 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, carry: tuple[str, ...]
     """doc_id, the kept text, the `carry` columns, n_words and n_removed; with `digest`, kept_sha256 instead of text and carry."""
     docs = own_columns(docs, "doc_id", "text", *([] if digest else carry))
     n = max(512, 4 * scan_tasks(docs))
-    entries = docs.select("doc_id", "text").mapInArrow(_entries(width, n), "bucket int, chunk long, hashes binary, smallest binary")
-    answers = entries.groupBy("bucket").applyInArrow(_answers, "chunk long, bucket int, bits binary")
+    entries = docs.mapInArrow(_entries(width, n), "bucket int, chunk long, hashes binary, smallest binary, checksum long")
+    answers = entries.groupBy("bucket").applyInArrow(_answers, "chunk long, bucket int, bits binary, checksum long")
     texts = docs.mapInArrow(packed, "chunk long, rows binary")
     counts = "n_words long, n_removed long"
     kept = ", ".join(["text string", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
