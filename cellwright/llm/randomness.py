@@ -4,9 +4,10 @@ Base spans are assignments to secret-like names, access keys and long hexadecima
 are runs of at least LEAST base64-like characters outside them. The alphabet of each is inferred (decimal, hex,
 base32, base62, base64); under it three tests ask whether the characters are random: chi-squared uniformity over
 the alphabet, runs above and below its middle, and serial correlation. Their statistics are combined into one
-p-value against randomness. Within each alphabet and band of length, the Benjamini-Hochberg rule, with a level
-that is stricter on secrets the shorter and so the less telling a token is, rejects the ordinary tokens; what
-remains looks random and becomes a span of kind `random`.
+p-value against randomness. A token is left out only if its p-value is below the floor of its length (BANDS), which is
+the share of truly random tokens that is lost, whatever else the corpus holds; all others become spans. Their kind is
+a grade: within each alphabet and band of length the Benjamini-Hochberg rule rejects the ordinary tokens; what it
+does not reject is `random`, what it rejects above the floor is `possible`.
 
 The rule needs only how many p-values lie in each of BINS bins, so the table of limits is of fixed size. All steps
 are built-in expressions. A null or empty text has no spans; rows alike in id and text have the same spans.
@@ -23,10 +24,9 @@ from cellwright.session import settle
 KINDS = ["assign", "access", "hex"]
 LEAST = 20
 BINS = 160
-#: Lengths from which a band begins, and the level of the rule in it.
-BANDS = [(0, 0.30), (32, 0.20), (48, 0.10), (96, 0.05)]
-#: No token with a smaller p-value passes, however few candidates a band has.
-FLOOR = 0.01
+#: Lengths from which a band begins, the level of the rule that grades in it, and the p-value below which a token is left out.
+BANDS = [(0, 0.30, 0.01), (32, 0.20, 0.01), (48, 0.10, 0.005), (96, 0.05, 0.002)]
+ADDED = ["random", "possible"]
 
 # The base forms and the alphabets in the order of their codes.
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?+\x20*+[:=]\x20*+["']?+([A-Za-z0-9+/_.=-]++)"""
@@ -101,18 +101,19 @@ def tested(tokens: DataFrame) -> DataFrame:
     return rows.withColumn("p", p).drop("body", "letters", "codes", "squares", "mean", "high", "up", "away", "a")
 
 
-def _band(n: Column) -> tuple[Column, Column]:
-    band, level = F.lit(0), F.lit(BANDS[0][1])
-    for k, (least, q) in enumerate(BANDS[1:], 1):
-        band, level = F.when(n >= least, F.lit(k)).otherwise(band), F.when(n >= least, F.lit(q)).otherwise(level)
-    return band, level
+def _band(n: Column) -> tuple[Column, Column, Column]:
+    band, level, floor = F.lit(0), F.lit(BANDS[0][1]), F.lit(BANDS[0][2])
+    for k, (least, q, lowest) in enumerate(BANDS[1:], 1):
+        band, level, floor = (F.when(n >= least, F.lit(x)).otherwise(y) for x, y in ((k, band), (q, level), (lowest, floor)))
+    return band, level, floor
 
 
 def random_tokens(candidates: DataFrame) -> DataFrame:
-    """The candidates that the rule does not reject as ordinary."""
-    rows = tested(candidates)
-    band, level = _band(F.col("n"))
-    rows = rows.withColumn("band", band).withColumn("level", level)
+    """The candidates above the floor of their length, with `grade`: does the rule reject them as ordinary?"""
+    # written, so that the limits and the filter read the p-values instead of working them out again
+    rows = settle(tested(candidates).select(*candidates.columns, "alphabet", "n", "p"), "tested")
+    band, level, floor = _band(F.col("n"))
+    rows = rows.withColumn("band", band).withColumn("level", level).withColumn("floor", floor)
     rows = rows.withColumn("bin", F.least(F.floor(-10 * F.log10(F.greatest("p", F.lit(1e-300)))), F.lit(BINS)).cast("int"))
     counts = rows.groupBy("alphabet", "band", "level", "bin").agg(F.count("*").alias("many"))
     # from here to the limits: at most len(ALPHABETS) * len(BANDS) * BINS rows
@@ -121,14 +122,15 @@ def random_tokens(candidates: DataFrame) -> DataFrame:
     edge = F.pow(F.lit(10.0), -F.col("bin") / 10.0)
     limits = counts.select("alphabet", "band", "bin", (edge <= F.col("level") * below / F.sum("many").over(group)).alias("rejects"))
     limits = limits.groupBy("alphabet", "band").agg(F.min(F.when(F.col("rejects"), F.col("bin"))).alias("from_bin"))
-    kept = rows.join(F.broadcast(limits), ["alphabet", "band"])
-    return kept.where((F.col("from_bin").isNull() | (F.col("bin") < F.col("from_bin"))) & (F.col("p") >= FLOOR))
+    kept = rows.where(F.col("p") >= F.col("floor")).join(F.broadcast(limits), ["alphabet", "band"])
+    rejected = F.col("bin") >= F.coalesce("from_bin", F.lit(BINS + 1))
+    return kept.withColumn("grade", F.when(rejected, F.lit(ADDED[1])).otherwise(F.lit(ADDED[0])))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """row_key, doc_id, base spans and added spans of every row, each ordered by start and kind."""
     found = find(docs)
     candidates = found.where(F.size("tokens") > 0).select("row_key", F.explode("tokens").alias("t")).select("row_key", "t.start", "t.end", "t.value")
-    span = F.struct(F.lit(len(KINDS)).alias("rank"), F.lit("random").alias("kind"), F.col("start"), F.col("end"))
+    span = F.struct(F.lit(len(KINDS)).alias("rank"), F.col("grade").alias("kind"), F.col("start"), F.col("end"))
     added = random_tokens(settle(candidates, "tokens")).groupBy("row_key").agg(by_start(F.collect_set(span)).cast(SPAN).alias("added"))
     return found.select("row_key", "doc_id", "base").join(added, "row_key", "left").withColumn("added", F.coalesce("added", F.array().cast(SPAN)))

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import random
 
-import pytest
-
-from cellwright.llm import substring
+from cellwright.llm import randomness, substring
 
 
 def test_repeats_with_carried_columns_over_many_batches(spark, tmp_path):
@@ -27,3 +25,18 @@ def test_repeats_with_carried_columns_over_many_batches(spark, tmp_path):
     for k, t in enumerate(texts):
         assert found[k]["text"] == (t.removesuffix(f" {passage}") if k else t), k
         assert found[k]["note"] == "x" * 7 * (k % 90)
+
+
+def test_few_random_tokens_among_many_ordinary_ones(spark):
+    """One random token among a hundred ordinary ones: only the fixed floor of its length may lose it."""
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    secret = ["".join(rng.choice(letters) for _ in range(24)) for _ in range(30)]
+    parts = ["internationalization", "communication", "configuration", "responsibilities"]
+    ordinary = ["".join(rng.choice(parts) for _ in range(3))[:24] for _ in range(300)]
+    rows = [(k, t) for k, t in enumerate(secret)] + [(1000 + k, ordinary[k % 300]) for k in range(3000)]
+    found = randomness.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    added = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["added"]] for r in found}
+    assert sum([(a, b) for _, a, b in added[k]] == [(0, len(t))] for k, t in enumerate(secret)) >= 29
+    assert {kind for k in range(len(secret)) for kind, _, _ in added[k]} <= set(randomness.ADDED)
+    assert not any(added[1000 + k] for k in range(3000))
