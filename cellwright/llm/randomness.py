@@ -1,11 +1,13 @@
 """Secrets: fixed forms, and tokens that a battery of randomness tests cannot tell from random.
 
 Base spans are assignments to secret-like names, access keys and long hexadecimal runs (BASE). Further candidates
-are runs of at least LEAST base64-like characters outside them. The alphabet of each is inferred (decimal, hex,
+are runs of at least LEAST base64-like characters outside them; '=' ends a run, and only padding at its end belongs to
+it. A run that fits no alphabet, since it mixes signs, is tested in parts of at least LEAST: cut at the signs
+of one pair, of the other, and of both, each part with its own place; spans of parts may overlap. The alphabet of each is inferred (decimal, hex,
 base32, base62, base64); under it three tests ask whether the characters are random: chi-squared uniformity over
 the alphabet, runs above and below its middle, and serial correlation. Their statistics are combined into one
-p-value against randomness. A token is left out only if its p-value is below the floor of its length (BANDS), which is
-the share of truly random tokens that is lost, whatever else the corpus holds; all others become spans. Their kind is
+p-value against randomness. A token is left out only if its p-value is below the floor of its length (BANDS),
+whatever else the corpus holds: about twice the floor is the share of truly random tokens that is lost; all others become spans. Their kind is
 a grade: within each alphabet and band of length the Benjamini-Hochberg rule rejects the ordinary tokens; what it
 does not reject is `random`, what it rejects above the floor is `possible`.
 
@@ -32,7 +34,12 @@ ADDED = ["random", "possible"]
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?+\x20*+[:=]\x20*+["']?+([A-Za-z0-9+/_.=-]++)"""
 _ACCESS = r"AKIA[A-Z0-9]++"
 _HEX = r"[0-9a-f]{16,}+"
-_TOKEN = r"[A-Za-z0-9+/_=-]{%d,}+" % LEAST
+def _run(signs: str) -> str:
+    """Letters, digits and signs with padding; the lookahead passes by what is too short. Matches may be shorter than LEAST."""
+    return r"(?=[A-Za-z0-9=%s]{%d})[A-Za-z0-9%s]++(?:=++(?![A-Za-z0-9%s]))?+" % (signs, LEAST, signs, signs)
+
+
+_TOKEN, _PARTS = _run("+/_-"), [_run("+/"), _run("_-"), _run("")]
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ALPHABETS = {
     "decimal": ("[0-9]", _DIGITS), "hex": ("[0-9a-f]", _DIGITS + "abcdef"), "hex_upper": ("[0-9A-F]", _DIGITS + "ABCDEF"),
@@ -53,16 +60,29 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """row_key, doc_id, `base` spans by start and kind, and the candidate tokens outside them."""
+    """row_key, doc_id, `base` spans by start and kind, and the runs of token characters."""
     text = F.col("text")
     spans = [as_spans(c, r, k) for r, (k, c) in enumerate(base_spans(text).items())]
     tokens = F.when(text.rlike(_TOKEN), located(text, _TOKEN)).otherwise(F.array().cast(HIT))
-    rows = keyed(docs.select("doc_id", "text")).select("row_key", "doc_id", by_start(F.concat(*spans)).alias("base"), tokens.alias("tokens"))
-    free = F.filter("tokens", lambda t: ~overlaps(F.col("base"), t["start"], t["end"]))
-    return settle(rows.withColumn("tokens", F.transform(free, lambda t: F.struct(
+    long = F.filter(tokens, lambda t: F.char_length(t["value"]) >= LEAST)
+    rows = keyed(docs.select("doc_id", "text")).select("row_key", "doc_id", by_start(F.concat(*spans)).alias("base"), long.alias("tokens"))
+    return settle(rows.withColumn("tokens", F.transform("tokens", lambda t: F.struct(
         t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value")))), "secrets")
 
 
+def candidates(found: DataFrame) -> DataFrame:
+    """row_key, start, end and value of the runs, and of the parts of those that fit no alphabet, outside the base spans."""
+    tokens = found.where(F.size("tokens") > 0).select("row_key", "base", F.explode("tokens").alias("t")).select("row_key", "base", "t.start", "t.end", "t.value")
+    body, fits = F.regexp_replace("value", "=+$", ""), F.lit(False)
+    for pattern, _ in ALPHABETS.values():
+        fits = fits | body.rlike(f"^{pattern}+$")
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.char_length("value").alias("end"), F.col("value").alias("value")))
+    parts = F.array_distinct(F.concat(*[F.transform(located(F.col("value"), p), lambda h: F.struct(h["start"], h["end"], h["value"])) for p in _PARTS]))
+    rows = tokens.select("row_key", "base", F.col("start").alias("at"), F.explode(F.when(fits, whole).otherwise(parts)).alias("p"))
+    rows = rows.select("row_key", "base", (F.col("at") + F.col("p.start")).alias("start"), (F.col("at") + F.col("p.end")).alias("end"), F.col("p.value").alias("value"))
+    return rows.where((F.char_length("value") >= LEAST) & ~overlaps(F.col("base"), F.col("start"), F.col("end"))).drop("base")
+
+
 def _tail(z: Column) -> Column:
     """Upper tail of the normal distribution, as a logistic curve of a cubic."""
     return 1 / (1 + F.exp(F.least(1.5976 * z + 0.070565 * z * z * z, F.lit(700.0))))
@@ -108,10 +128,10 @@ def _band(n: Column) -> tuple[Column, Column, Column]:
     return band, level, floor
 
 
-def random_tokens(candidates: DataFrame) -> DataFrame:
-    """The candidates above the floor of their length, with `grade`: does the rule reject them as ordinary?"""
+def random_tokens(tokens: DataFrame) -> DataFrame:
+    """The tokens above the floor of their length, with `grade`: does the rule reject them as ordinary?"""
     # written, so that the limits and the filter read the p-values instead of working them out again
-    rows = settle(tested(candidates).select(*candidates.columns, "alphabet", "n", "p"), "tested")
+    rows = settle(tested(tokens).select(*tokens.columns, "alphabet", "n", "p"), "tested")
     band, level, floor = _band(F.col("n"))
     rows = rows.withColumn("band", band).withColumn("level", level).withColumn("floor", floor)
     rows = rows.withColumn("bin", F.least(F.floor(-10 * F.log10(F.greatest("p", F.lit(1e-300)))), F.lit(BINS)).cast("int"))
@@ -130,7 +150,6 @@ def random_tokens(candidates: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """row_key, doc_id, base spans and added spans of every row, each ordered by start and kind."""
     found = find(docs)
-    candidates = found.where(F.size("tokens") > 0).select("row_key", F.explode("tokens").alias("t")).select("row_key", "t.start", "t.end", "t.value")
     span = F.struct(F.lit(len(KINDS)).alias("rank"), F.col("grade").alias("kind"), F.col("start"), F.col("end"))
-    added = random_tokens(settle(candidates, "tokens")).groupBy("row_key").agg(by_start(F.collect_set(span)).cast(SPAN).alias("added"))
+    added = random_tokens(settle(candidates(found), "tokens")).groupBy("row_key").agg(by_start(F.collect_set(span)).cast(SPAN).alias("added"))
     return found.select("row_key", "doc_id", "base").join(added, "row_key", "left").withColumn("added", F.coalesce("added", F.array().cast(SPAN)))

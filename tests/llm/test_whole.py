@@ -40,3 +40,13 @@ def test_few_random_tokens_among_many_ordinary_ones(spark):
     assert sum([(a, b) for _, a, b in added[k]] == [(0, len(t))] for k, t in enumerate(secret)) >= 29
     assert {kind for k in range(len(secret)) for kind, _, _ in added[k]} <= set(randomness.ADDED)
     assert not any(added[1000 + k] for k in range(3000))
+
+
+def test_secrets_after_an_equals_sign_or_between_mixed_signs(spark):
+    value = "wJalrXUtnFEMIK7MDENGbPxRfiCYzR4q9Vt2Hs8L"
+    forms = [f"AWS_SECRET_ACCESS_KEY={value}", f"see deploy_pw={value} there", f"https://h.example/?key={value}&x=1", f"sk_live/{value}", f"{value}=", f"a+b-{value}/c_d"]
+    found = randomness.scan(spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")).collect()
+    for r in found:
+        text = forms[r["doc_id"]]
+        spans = {text[s["start"]:s["end"]] for s in r["added"]}
+        assert spans & {value, f"{value}="}, (text, spans)
