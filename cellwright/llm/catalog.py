@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm import ctw, fingerprints, fragment_join, itq, lattice, packing, quality, randomness, sanitize, spans, substring
+from cellwright.llm import ctw, fingerprints, fragment_join, itq, lattice, naming, packing, quality, randomness, sanitize, spans, substring
 from cellwright.llm.tables import remainder, table
 
 #: Words of a text, in SQL.
@@ -73,6 +73,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.summary(table(spark, sf_dir, "documents"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return naming.groups(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
 windows AS (
@@ -99,6 +103,12 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM d LEFT JOIN sizes USING (doc_id) JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY id) c ON c.id = d.doc_id
 """
 
+OP12_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_fingerprint": (op1_fingerprint, None),
     "op2_substring_dedup": (op2_substring_dedup, OP2_SQL),
@@ -110,4 +120,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_lm_score": (op8_lm_score, None),
     "op9_secrets": (op9_secrets, None),
     "op10_sentencepiece": (op10_sentencepiece, None),
+    "op12_exact_dedup": (op12_exact_dedup, OP12_SQL),
 }
