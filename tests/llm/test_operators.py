@@ -382,7 +382,8 @@ def test_queries_equal_their_sql(spark, name):
     query, sql = catalog.QUERIES[name]
     got = query(spark, sf_dir).toPandas()
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for name_ in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {name_} AS SELECT * FROM '{sf_dir}/{name_}.parquet'")
     want = con.sql(sql).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
