@@ -10,6 +10,7 @@ from cellwright.operators import ground as G
 from cellwright.operators import joint as J
 from cellwright.operators import masking as M
 from cellwright.plans import validation as V
+from cellwright.sources.survey import survey, timesteps
 
 SID = "concat_ws('-', state_code, county_code, site_number)"
 BOX = (-108.0, 27.0, -85.0, 50.0)
@@ -115,6 +116,18 @@ def _rows(s, d):
     return _mask(J.at_monitors(fixture(s, d, "fx_monitors"), fixture(s, d, "fx_hourly")))
 
 
+def _curved(s, d):
+    """The daily grid bent so that both coordinates depend on row and column."""
+    c = fixture(s, d, "fx_cells")
+    return c.select("i", "j", (F.col("lat") + F.col("j") / F.lit(997.0)).alias("lat"), (F.col("lon") + F.col("i") * F.col("j") / F.lit(9973.0)).alias("lon"))
+
+
+def _coverage(s, d):
+    cells, monitors = fixture(s, d, "fx_hourly"), fixture(s, d, "fx_monitors")
+    grid = survey(cells)
+    return J.series_coverage(_mask(J.at_monitors(monitors, cells, grid)), monitors, timesteps(grid))
+
+
 def _pairs(s, d):
     return J.pair_daily(_rows(s, d), V.daily_means(_numbered(s, d)))
 
@@ -231,15 +244,21 @@ QUERIES = {
         ctes("fx_hourly") + "SELECT i, j, CAST(ts AS VARCHAR) AS ts, raw_value, qa_flag FROM fx_hourly WHERE qa_flag > 0",
     ),
     "nearest_cell": (
-        lambda s, d: J.nearest_cell(fixture(s, d, "fx_monitors"), fixture(s, d, "fx_hourly")).select("site_id", "cell_lat", "cell_lon"),
+        lambda s, d: J.nearest_cell(fixture(s, d, "fx_monitors"), survey(fixture(s, d, "fx_hourly"))).select("site_id", "cell_lat", "cell_lon"),
         _jsql("SELECT site_id, lat AS cell_lat, lon AS cell_lon FROM near"),
     ),
     "monitor_series": (
         lambda s, d: as_text(_rows(s, d).select("site_id", "ts", "value"), "ts"),
         _jsql("SELECT site_id, CAST(ts AS VARCHAR) AS ts, value FROM rows_"),
     ),
+    "nearest_swath_cell": (
+        lambda s, d: r6(J.nearest_swath_cell(fixture(s, d, "fx_monitors"), _curved(s, d)).select("site_id", "i", "j", "cell_lat", "cell_lon"), "cell_lat", "cell_lon"),
+        ctes("fx_cells", "fx_monitors", mon=_MON, bent="SELECT DISTINCT i, j, lat + j / CAST(997 AS DOUBLE) AS lat, lon + i * j / CAST(9973 AS DOUBLE) AS lon FROM fx_cells",
+             far="""SELECT site_id, i, j, lat, lon, round(2 * 3958.8 * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians(lat - mlat) / 2), 2) + cos(radians(mlat)) * cos(radians(lat)) * pow(sin(radians(lon - mlon) / 2), 2)))), 9) AS d FROM mon, bent""")
+        + """SELECT site_id, i, j, round(lat, 6) AS cell_lat, round(lon, 6) AS cell_lon FROM far QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY d, lat DESC, lon DESC) = 1""",
+    ),
     "series_coverage": (
-        lambda s, d: r6(J.series_coverage(_rows(s, d), fixture(s, d, "fx_monitors"), fixture(s, d, "fx_hourly")), "coverage_fraction"),
+        lambda s, d: r6(_coverage(s, d), "coverage_fraction"),
         _jsql(f"SELECT site_id, n_total, n_valid, n_total - n_valid AS n_excluded, round(n_valid / n_total, 6) AS coverage_fraction FROM ({_COVERAGE})"),
     ),
     "pair_daily": (

@@ -13,6 +13,7 @@ from cellwright.sources import cells as S
 from cellwright.sources import exports as X
 from cellwright.sources import places as P
 from cellwright.sources import records as Q
+from cellwright.sources import survey as V
 
 
 def _stored_cells(s, d):
@@ -37,6 +38,27 @@ def _write_cube(s, d):
     return S.scan_cube(s, path, BOXES["B"]).select("collection", "granule_id", "i", "j", "value")
 
 
+def _append_cube(s, d):
+    """Years of cells appended one after the other, one of them twice and one under another name, then read back with their survey."""
+    path = fresh_path(s, "cube")
+    cells = _stored_cells(s, d)
+    for batch, (first, last) in {"a": (1990, 1994), "b": (1995, 1996), "c": (1997, 2100)}.items():
+        S.write_cube(cells.where(F.year("ts").between(first, last)), path, tile=32, batch=batch)
+    S.write_cube(cells.where("year(ts) BETWEEN 1995 AND 1996"), path, batch="b")
+    S.write_cube(cells.where("year(ts) BETWEEN 1996 AND 1997"), path, batch="d")
+    steps = V.timesteps(S.cube_survey(s, path)).agg(F.count("*")).scalar()
+    return S.scan_cube(s, path, BOXES["A"], start="1994-06-01").groupBy("granule_id").agg(
+        F.count("*").alias("cells"), F.count("value").alias("valid"), F.round(F.max("value"), 6).alias("top")).withColumn("timesteps", steps)
+
+
+def _survey(s, d):
+    found = V.survey(fixture(s, d, "fx_cells"), 32)
+    tiles = V.tiles(found).select(F.concat(F.lit("tile "), "tile_i", F.lit(" "), "tile_j").alias("what"), F.col("lat_lo").alias("low"), F.col("lon_hi").alias("high"), "cells")
+    named = V.granules(found).select(F.concat(F.lit("granule "), "granule_id").alias("what"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), "cells")
+    axes = [V.centers(found, c).agg(F.lit(c).alias("what"), F.min(c).alias("low"), F.max(c).alias("high"), F.count("*").alias("cells")) for c in ("lat", "lon")]
+    return tiles.unionByName(named).unionByName(axes[0]).unionByName(axes[1])
+
+
 def _scan_ground(s, d):
     path = fresh_path(s, "samples")
     fixture(s, d, "fx_samples").drop("record_no").write.json(path)
@@ -113,6 +135,17 @@ QUERIES = {
         _write_cube,
         ctes("fx_cells") + f"SELECT collection, granule_id, i, j, nullif(raw_value, -999) AS value FROM fx_cells WHERE {IN_B}",
     ),
+    "append_cube": (
+        _append_cube,
+        ctes("fx_cells") + f"""SELECT granule_id, count(*) AS cells, count(nullif(raw_value, -999)) AS valid, round(max(nullif(raw_value, -999)), 6) AS top,
+        (SELECT count(DISTINCT ts) FROM fx_cells) AS timesteps FROM fx_cells WHERE {IN_A} AND ts >= DATE '1994-06-01' GROUP BY granule_id""",
+    ),
+    "survey": (
+        _survey,
+        ctes("fx_cells") + """SELECT concat('tile ', CAST(floor(i / 32) AS INT), ' ', CAST(floor(j / 32) AS INT)) AS what, min(lat) AS low, max(lon) AS high, count(*) AS cells FROM fx_cells GROUP BY 1
+        UNION ALL SELECT concat('granule ', granule_id), NULL, NULL, count(*) FROM fx_cells GROUP BY granule_id
+        UNION ALL SELECT 'lat', min(lat), max(lat), count(DISTINCT lat) FROM fx_cells UNION ALL SELECT 'lon', min(lon), max(lon), count(DISTINCT lon) FROM fx_cells""",
+    ),
     "scan_point_series": (
         lambda s, d: as_text(Q.scan_point_series(fixture(s, d, "events").select("event_id", F.when(F.col("event_id") % 9 > 0, F.col("value")).alias("reading"), F.col("ts").alias("time")), "reading"), "time"),
         "SELECT CAST(ts AS VARCHAR) AS time, round(value, 6) AS value FROM events WHERE event_id % 9 > 0",

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from cellwright.functions.aggregates import weighted_mean
 from cellwright.functions.scalars import finite
 from cellwright.operators import order_stats
-from cellwright.operators.regions import coordinates
+from cellwright.operators.cellindex import nearest_on_axis
 from cellwright.session import settle
+from cellwright.sources.survey import centers, survey
 
 # --- Fixed values ---------------------------------------------------------------------------------
 PERCENT_CHANGE_FLOOR = 0.05
@@ -37,51 +38,24 @@ def split_sources(cells: DataFrame, label_a: str | None = None, label_b: str | N
     return marked.withColumn("side", F.when(F.coalesce("_f.labelled", F.lit(False)), by_label).otherwise(by_place)).drop("_f")
 
 
-def nearest_on_axis(points: DataFrame, axis: DataFrame, point: str, center: str) -> DataFrame:
-    """Nearest axis center of each point; the larger center on ties, the edge center when outside.
-
-    The axis of a grid, at most some ten thousand sorted numbers, goes to every task as one array,
-    and each point halves it until its two neighbours are found.
-    """
-    centers = axis.groupBy().agg(F.array_sort(F.collect_set(center))).scalar()
-    x, c = F.col(point), F.col("_centers")
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.shiftright(s["lo"] + s["hi"], 1)
-        right = F.coalesce(F.get(c, mid) <= x, F.lit(False))
-        searching = s["lo"] < s["hi"]
-        return F.struct(
-            F.when(searching & right, mid + 1).otherwise(s["lo"]).alias("lo"),
-            F.when(searching & ~right, mid).otherwise(s["hi"]).alias("hi"),
-        )
-
-    def pick(s: Column) -> Column:
-        left, right = F.get(c, s["lo"] - 1), F.get(c, s["lo"])
-        left_nearer = right.isNull() | (x - left < right - x)
-        return F.when(left.isNotNull() & left_nearer, left).otherwise(right)
-
-    start = F.struct(F.lit(0).alias("lo"), F.size(c).alias("hi"))
-    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(c) + 1)).cast("int"))
-    nearest = F.aggregate(steps, start, halve, pick)
-    return points.withColumn("_centers", centers).withColumn(center, nearest).drop("_centers")
-
-
-def align_grids(a: DataFrame, b: DataFrame) -> DataFrame:
+def align_grids(a: DataFrame, b: DataFrame, grid_a: DataFrame | None = None, grid_b: DataFrame | None = None) -> DataFrame:
     """Put field B on the grid of field A.
 
     Each row and column of A takes the nearest row and column of B, which is itself when the axes
     match. A cell of A further than one step of B from any cell of B has no partner. Only the axes
-    are matched by distance; cells then meet on equal keys.
+    are matched by distance; cells then meet on equal keys. The grids are surveys, kept or made here in one pass each.
     """
-    grid_a, grid_b = coordinates(a), coordinates(b)
+    grid_a, grid_b = survey(a) if grid_a is None else grid_a, survey(b) if grid_b is None else grid_b
 
     def mapped(axis: str) -> DataFrame:
-        theirs = grid_b.select(F.col(axis).alias("_b")).distinct()
+        theirs = centers(grid_b, axis).select(F.col(axis).alias("_b"))
         step = theirs.groupBy().agg(
             F.coalesce(F.try_divide(F.max("_b") - F.min("_b"), F.count(F.lit(1)) - 1), F.lit(1.0)).alias("s")
         ).scalar()
-        near = settle(nearest_on_axis(grid_a.select(axis).distinct(), theirs, axis, "_b"), "axes")
-        return near.where(F.abs(F.col(axis) - F.col("_b")) <= step).select(axis, F.col("_b").alias(f"_{axis}"))
+        near = settle(nearest_on_axis(centers(grid_a, axis), theirs, axis, "_b", circle=axis == "lon"), "axes")
+        apart = F.abs(F.col(axis) - F.col("_b"))
+        apart = F.least(apart, F.abs(360 - apart)) if axis == "lon" else apart
+        return near.where(apart <= step).select(axis, F.col("_b").alias(f"_{axis}"))
 
     left = a.select("i", "j", "lat", "lon", F.col("value").alias("a")).join(mapped("lat"), "lat").join(mapped("lon"), "lon")
     right = b.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("value").alias("b"))

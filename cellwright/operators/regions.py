@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwright.functions.scalars import half_cell
+from cellwright.operators.cover import bounded, cover, covered, touched
 from cellwright.schemas import REGION_EDGES
 from cellwright.session import settle
+from cellwright.sources.survey import extents, highest, lowest, survey
 
-BAND_DEGREES = 1.0
 STEP_TOLERANCE = 1e-3
 
 # --- Fixed values ---------------------------------------------------------------------------------
@@ -75,11 +76,6 @@ def grid_axes(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def coordinates(cells: DataFrame) -> DataFrame:
-    """Distinct coordinates of a grid, written once: later steps never scan the cells for them."""
-    return settle(cells.select("lat", "lon").distinct(), "axes")
-
-
 def pixel_edges(axes: DataFrame) -> DataFrame:
     """Pixel-edge bounds from pixel-center extents."""
     hx, hy = half_cell("lon_min", "lon_max", "n_lon"), half_cell("lat_min", "lat_max", "n_lat")
@@ -146,47 +142,18 @@ def polygon_edges(spark, polygons: dict[str, Sequence[Sequence[tuple[float, floa
     return spark.createDataFrame(rows, REGION_EDGES)
 
 
-def _banded(edges: DataFrame) -> DataFrame:
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    band = lambda y: F.floor(y / BAND_DEGREES)
-    return edges.withColumn("_band", F.explode(F.sequence(band(low), band(high))))
-
-
-def _scan_lines(lats: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per polygon and latitude, the longitudes where the scan line crosses or runs along an edge."""
-    lines = lats.select("lat").distinct().withColumn("_band", F.floor(F.col("lat") / BAND_DEGREES))
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    met = lines.join(_banded(edges), "_band").where(F.col("lat").between(low, high))
-    level = F.col("y1") == F.col("y2")
-    x = F.col("x1") + (F.col("lat") - F.col("y1")) * F.try_divide(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    crosses = (F.col("y1") <= F.col("lat")) != (F.col("y2") <= F.col("lat"))
-    on_edge = F.when(level, F.struct(F.least("x1", "x2").alias("a"), F.greatest("x1", "x2").alias("b"))).otherwise(
-        F.struct(x.alias("a"), x.alias("b"))
-    )
-    # Bounded by the edges of one polygon at one latitude.
-    return met.groupBy("region_id", "lat").agg(
-        F.array_agg(F.when(crosses, x)).alias("_crossings"), F.array_agg(on_edge).alias("_edges")
-    )
-
-
-def _on_scan_line() -> Column:
-    east = F.size(F.filter("_crossings", lambda c: c > F.col("lon")))
-    touching = F.exists("_edges", lambda e: F.col("lon").between(e["a"], e["b"]))
-    return F.coalesce((east % 2 == 1) | touching, F.lit(False))
-
-
-def region_mask_polygon(cells: DataFrame, edges: DataFrame) -> DataFrame:
+def region_mask_polygon(cells: DataFrame, edges: DataFrame, grid: DataFrame | None = None) -> DataFrame:
     """Cells whose centers lie in a polygon, with its `region_id`.
 
-    One scan line per latitude of the grid: latitudes meet edges by latitude band, each line keeps
-    the longitudes where it crosses an edge, and a cell is inside when an odd number of crossings
-    lies east of it. The cells themselves are never paired with edges.
+    Places are decided once, by a hierarchical cover of the grid (`operators.cover`); a cell tests one bit.
+    `grid` is the grid's survey, kept or made here in one pass over the cells.
     """
-    return cells.join(_scan_lines(cells, edges), "lat").where(_on_scan_line()).drop("_crossings", "_edges")
+    grid = survey(cells) if grid is None else grid
+    return covered(bounded(cells, edges), cover(grid, edges))
 
 
 def polygon_panels(
-    cells: DataFrame, polygons: dict[str, Sequence[Sequence[tuple[float, float]]]], value: str = "raw_value"
+    cells: DataFrame, polygons: dict[str, Sequence[Sequence[tuple[float, float]]]], value: str = "raw_value", grid: DataFrame | None = None
 ) -> DataFrame:
     """One panel per polygon: the grid of its bounding box, with values outside the polygon missing.
 
@@ -197,71 +164,52 @@ def polygon_panels(
     for region_id, rings in polygons.items():
         xs, ys = [x for ring in rings for x, _ in ring], [y for ring in rings for _, y in ring]
         boxes[region_id] = (min(xs), min(ys), max(xs), max(ys))
-    scan = _scan_lines(cells, polygon_edges(cells.sparkSession, polygons))
-    rows = with_regions(cells, boxes).join(scan, ["region_id", "lat"], "left")
-    return rows.withColumn(value, F.when(_on_scan_line(), F.col(value))).drop("_crossings", "_edges")
-
-
-def _segment_meets_cell(hx: Column, hy: Column) -> Column:
-    """Whether an edge has a point in the rectangle around a cell center (closed)."""
-    lo, hi = F.lit(0.0), F.lit(1.0)
-    parallel_out = F.lit(False)
-    for c, h, a, b in (("lon", hx, "x1", "x2"), ("lat", hy, "y1", "y2")):
-        d = F.col(b) - F.col(a)
-        t1, t2 = F.try_divide(F.col(c) - h - F.col(a), d), F.try_divide(F.col(c) + h - F.col(a), d)
-        lo = F.when(d == 0, lo).otherwise(F.greatest(lo, F.least(t1, t2)))
-        hi = F.when(d == 0, hi).otherwise(F.least(hi, F.greatest(t1, t2)))
-        parallel_out = parallel_out | ((d == 0) & (F.abs(F.col(c) - F.col(a)) > h))
-    return ~parallel_out & (lo <= hi)
+    found = cover(survey(cells) if grid is None else grid, polygon_edges(cells.sparkSession, polygons))
+    rows = covered(with_regions(cells, boxes), found, "left", ("region_id",))
+    return rows.withColumn(value, F.when(F.col("_inside"), F.col(value))).drop("_inside")
 
 
-def region_mask_boundary(cells: DataFrame, edges: DataFrame, axes: DataFrame | None = None) -> DataFrame:
+def region_mask_boundary(cells: DataFrame, edges: DataFrame, grid: DataFrame | None = None) -> DataFrame:
     """Cells of each polygon; a polygon that holds no cell center keeps every cell it touches.
 
-    `region_type` says which rule applied. `axes` may come from a written catalog; else it is one
-    aggregate over the two coordinate columns.
+    `region_type` says which rule applied. `grid` is the grid's survey, kept or made here in one pass over the cells.
     """
-    inside = region_mask_polygon(cells, edges).withColumn("region_type", F.lit("polygon"))
-    hit = inside.select("region_id").distinct()
-    small = edges.join(hit, "region_id", "left_anti")
-    axes = grid_axes(coordinates(cells)) if axes is None else axes
-    half = axes.select(
-        F.struct(half_cell("lon_min", "lon_max", "n_lon").alias("hx"), half_cell("lat_min", "lat_max", "n_lat").alias("hy"))
-    ).scalar()
-    # Edges and cells meet in latitude bands widened by half a cell.
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    banded = small.withColumn("_h", half).withColumn(
-        "_band",
-        F.explode(F.sequence(F.floor((low - F.col("_h.hy")) / BAND_DEGREES), F.floor((high + F.col("_h.hy")) / BAND_DEGREES))),
-    )
-    grid = cells.select("lat", "lon").distinct().withColumn("_band", F.floor(F.col("lat") / BAND_DEGREES))
-    touched = (
-        grid.join(banded, "_band")
-        .where(_segment_meets_cell(F.col("_h.hx"), F.col("_h.hy")))
-        .select("region_id", "lat", "lon")
-        .distinct()
-    )
-    rescued = cells.join(touched, ["lat", "lon"]).withColumn("region_type", F.lit("boundary_cells"))
+    grid = survey(cells) if grid is None else grid
+    found = cover(grid, edges)
+    inside = covered(bounded(cells, edges), found).withColumn("region_type", F.lit("polygon"))
+    small = edges.join(found.select("region_id").distinct(), "region_id", "left_anti")
+    places = settle(touched(grid, small), "touched")
+    rescued = bounded_places(cells, places).join(places, ["i", "j"]).withColumn("region_type", F.lit("boundary_cells"))
     return inside.unionByName(rescued.select(inside.columns))
 
 
+def bounded_places(cells: DataFrame, places: DataFrame) -> DataFrame:
+    """Cells within the rows and columns of some places; the bounds reach the reader."""
+    for c in ("i", "j"):
+        cells = cells.where((F.col(c) >= lowest(places, c)) & (F.col(c) <= highest(places, c)))
+    return cells
+
+
 def region_mask_box(cells: DataFrame, box: Box, region_id: str, grid: DataFrame | None = None) -> DataFrame:
     """Cells of a box; a box that holds no cell center keeps every cell it overlaps.
 
-    Which rule applies follows from one row of facts about the grid's coordinates, so the filter on
-    the cells is made of literals and reaches the Parquet scan. `grid` holds those coordinates as
-    (lat, lon) rows, from a written catalog or found here in one pass.
+    Which rule applies, and with it the bounds, follows from the grid's survey when the query runs; the bounds reach the
+    Parquet reader, and nothing is decided on the driver.
     """
-    grid = coordinates(cells) if grid is None else grid
-    facts = grid_axes(grid).select(
-        half_cell("lon_min", "lon_max", "n_lon").alias("hx"), half_cell("lat_min", "lat_max", "n_lat").alias("hy")
-    ).first()
-    if not grid.where(in_box(box)).isEmpty():
-        kept, kind = cells.where(in_box(box)), "bounding_box"
-    else:
-        touched = (box[0] - facts["hx"], box[1] - facts["hy"], box[2] + facts["hx"], box[3] + facts["hy"])
-        kept, kind = cells.where(in_box(touched)), "boundary_cells"
-    return kept.withColumns({"region_id": F.lit(region_id), "region_type": F.lit(kind)})
+    grid = survey(cells) if grid is None else grid
+    held = [F.bool_or((F.col("kind") == k) & F.col(f"{k}_lo").between(float(lo), float(hi))) for k, lo, hi in (("lat", box[1], box[3]), ("lon", box[0], box[2]))]
+    any_center = grid.groupBy().agg(F.coalesce(held[0] & held[1], F.lit(False)).alias("any_center"))
+    size = extents(grid).select(half_cell("lon_min", "lon_max", "n_lon").alias("hx"), half_cell("lat_min", "lat_max", "n_lat").alias("hy"))
+    widened = size.withColumn("any_center", any_center.scalar())
+    x, y = (F.when(F.col("any_center"), 0.0).otherwise(F.col(h)) for h in ("hx", "hy"))
+    bounds = widened.select(
+        (F.lit(float(box[0])) - x).alias("west"), (F.lit(float(box[1])) - y).alias("south"), (F.lit(float(box[2])) + x).alias("east"), (F.lit(float(box[3])) + y).alias("north"),
+        F.when(F.col("any_center"), "bounding_box").otherwise("boundary_cells").alias("region_type"))
+    bounds = settle(bounds, "bounds")
+    kept = cells
+    for c, lo, hi in (("lat", "south", "north"), ("lon", "west", "east")):
+        kept = kept.where((F.col(c) >= lowest(bounds, lo)) & (F.col(c) <= lowest(bounds, hi)))
+    return kept.withColumns({"region_id": F.lit(region_id), "region_type": lowest(bounds, "region_type")})
 
 
 def with_regions(cells: DataFrame, boxes: dict[str, Box]) -> DataFrame:

@@ -11,6 +11,7 @@ from cellwright.operators import ground as G
 from cellwright.operators import joint as J
 from cellwright.operators.regions import Box
 from cellwright.session import settle
+from cellwright.sources.survey import survey, timesteps
 
 
 def region_monitors(monitors: DataFrame, box: Box, k: int) -> DataFrame:
@@ -32,17 +33,20 @@ def daily_means(records: DataFrame) -> DataFrame:
 
 
 def validate_against_ground(
-    cells: DataFrame, monitors: DataFrame, records: DataFrame, mask: Callable[[DataFrame], DataFrame], box: Box, k: int = 10
+    cells: DataFrame, monitors: DataFrame, records: DataFrame, mask: Callable[[DataFrame], DataFrame], box: Box, k: int = 10,
+    grid: DataFrame | None = None,
 ) -> DataFrame:
     """Correlation, pair count and coverage of every site, paired or not, and a pooled row with a NULL site.
 
-    All sites are one plan: two joins and one grouping set over the pairs.
+    The grid's survey, kept or made here in one pass, gives the cells of the sites and the timesteps; the cells themselves
+    are read once, within the bounds of those sites.
     """
+    grid = survey(cells) if grid is None else grid
     sites = region_monitors(monitors, box, k)
-    rows = settle(mask(J.at_monitors(sites, cells)), "series")
+    rows = settle(mask(J.at_monitors(sites, cells, grid)), "series")
     ground = settle(daily_means(records), "ground")
     pairs = settle(J.pair_daily(rows, ground), "pairs")
-    coverage = J.series_coverage(rows, sites, cells).withColumnRenamed("coverage_fraction", "series_coverage")
+    coverage = J.series_coverage(rows, sites, timesteps(grid)).withColumnRenamed("coverage_fraction", "series_coverage")
     site = coverage.join(J.correlation_stats(pairs, ground), "site_id", "left").na.fill({"n": 0, "coverage_fraction": 0.0})
     pooled = J.correlation_stats(pairs, None, ()).where(F.col("n") > 0)
     columns = ["site_id", "r", "n", "coverage_fraction", "n_total", "n_valid", "n_excluded", "series_coverage"]
@@ -51,7 +55,7 @@ def validate_against_ground(
 
 def exceedance_overlay(
     cells: DataFrame, monitors: DataFrame, records: DataFrame, mask: Callable[[DataFrame], DataFrame], box: Box,
-    k: int = 10, field: str = "first_max_value", hard: float | None = None, percentile: float | None = None,
+    k: int = 10, field: str = "first_max_value", hard: float | None = None, percentile: float | None = None, grid: DataFrame | None = None,
 ) -> DataFrame:
     """Satellite series of every monitor that exceeded, with `exceeded` on the exceedance dates.
 
@@ -60,7 +64,7 @@ def exceedance_overlay(
     sites = region_monitors(monitors, box, k)
     dates = settle(G.exceedance_dates(records, field, hard, percentile), "dates")
     sites = sites.withColumn("site_id", J.site_id()).join(dates.select("site_id").distinct(), "site_id", "left_semi").drop("site_id")
-    rows = mask(J.at_monitors(sites, cells))
+    rows = mask(J.at_monitors(sites, cells, grid))
     marked = rows.withColumn("date", F.to_date("ts").cast("string")).join(
         dates.withColumn("exceeded", F.lit(True)), ["site_id", "date"], "left"
     )

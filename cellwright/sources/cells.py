@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,10 +14,8 @@ from pyspark.sql import types as T
 from cellwright.functions.scalars import nan_to_null
 from cellwright.operators.regions import Box, in_box
 from cellwright.schemas import CELLS
-
-# --- Fixed values ---------------------------------------------------------------------------------
-TILE = 256
-# --------------------------------------------------------------------------------------------------
+from cellwright.session import settle
+from cellwright.sources.survey import SURVEY, TILE, facts, granules, tile_of
 
 
 def scan_cells(
@@ -39,56 +39,112 @@ def scan_cells(
     return cells.withColumns({c: nan_to_null(c) for c in ["value", *bands]})
 
 
-def write_cube(cells: DataFrame, path: str, tile: int = TILE, extra_keys: Sequence[str] = ()) -> None:
-    """Write cells for reuse, partitioned by collection and spatial tile, with their axes beside them.
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The survey of a written cube with the batch of each row, None before the first batch."""
+    schema = T.StructType([*SURVEY.fields, T.StructField("batch", T.StringType())])
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/survey")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _schemas(stored: DataFrame) -> dict[str, T.StructType]:
+    """The schema of each batch; one row per batch."""
+    rows = stored.where("kind = 'schema'").select("batch", "stored_schema").collect()
+    return {r["batch"]: T.StructType.fromJson(json.loads(r["stored_schema"])) for r in rows}
+
+
+def joined_schema(*schemas: T.StructType) -> T.StructType:
+    """All columns of the schemas, in order; a column of two types is an error that names all of them."""
+    fields: dict[str, T.StructField] = {}
+    wrong = set()
+    for schema in schemas:
+        for f in schema:
+            if fields.setdefault(f.name, f).dataType != f.dataType:
+                wrong.add(f"{f.name}: {fields[f.name].dataType.simpleString()} and {f.dataType.simpleString()}")
+    if wrong:
+        raise ValueError(f"columns of several types: {'; '.join(sorted(wrong))}")
+    return T.StructType(list(fields.values()))
+
+
+def write_cube(cells: DataFrame, path: str, tile: int = TILE, extra_keys: Sequence[str] = (), batch: str = "0") -> None:
+    """Store a batch of cells by collection and spatial tile, with its survey beside it.
+
+    The first batch makes the cube and sets its tile size, further ones are appended; a batch may lack or add bands, but a band has
+    one type throughout, which is checked before anything is written. Granules that another batch holds are
+    left out, and a batch that is written again replaces itself: a repeated append leaves one copy. The survey is written
+    last, and only batches with a survey are read.
 
     Rows are range-partitioned by tile, time and place, so a tile that holds most rows is split
     over many tasks and files, and row groups have narrow coordinate ranges.
     """
-    tiled = _missing_as_null(cells).withColumns({
-        "tile_i": F.floor(F.col("i") / tile).cast("int"), "tile_j": F.floor(F.col("j") / tile).cast("int"),
-    })
+    spark = cells.sparkSession
+    stored = _stored(spark, path)
+    if stored is not None:
+        others = stored.where(F.col("batch") != batch)
+        joined_schema(*_schemas(others).values(), cells.schema)
+        tile = others.agg(F.max("tile")).first()[0] or tile
+        held = granules(others).select("collection", "granule_id").distinct()
+        cells = cells.join(held, ["collection", "granule_id"], "left_anti").select(cells.columns)
+    tiled = _missing_as_null(cells).withColumns({"tile_i": tile_of("i", tile), "tile_j": tile_of("j", tile)})
     order = ["collection", "tile_i", "tile_j", "ts", "i", "j", *extra_keys]
+    here = f"{path}/cells/batch={batch}"
     (
         tiled.repartitionByRange(*order).sortWithinPartitions(*order)
-        .write.partitionBy("collection", "tile_i", "tile_j").parquet(f"{path}/cells")
+        .write.mode("overwrite").partitionBy("collection", "tile_i", "tile_j").parquet(here)
     )
-    written = cells.sparkSession.read.parquet(f"{path}/cells")
-    axes = written.groupBy("collection", F.lit("lat").alias("axis"), F.col("i").alias("position"), F.col("tile_i").alias("tile")).agg(
-        F.min("lat").alias("coordinate")
-    ).unionByName(
-        written.groupBy("collection", F.lit("lon").alias("axis"), F.col("j").alias("position"), F.col("tile_j").alias("tile")).agg(
-            F.min("lon").alias("coordinate")
-        )
-    )
-    axes.write.parquet(f"{path}/axes")
+    contract = spark.range(1).select(F.lit("schema").alias("kind"), F.lit(cells.schema.json()).alias("stored_schema"), F.lit(tile).alias("tile"))
+    found = facts(spark.read.schema(tiled.schema).parquet(here), tile).unionByName(contract, allowMissingColumns=True)
+    found.select(SURVEY.names).coalesce(1).write.mode("overwrite").parquet(f"{path}/survey/batch={batch}")
+
+
+def cube_survey(spark: SparkSession, path: str, collections: Sequence[str] | None = None) -> DataFrame:
+    """The survey of a written cube: its axes, granules and tiles without reading its cells."""
+    stored = _stored(spark, path)
+    if stored is None:
+        raise ValueError(f"no cube at {path}")
+    return stored if collections is None else stored.where(F.col("collection").isin(list(collections)))
 
 
 def scan_cube(
     spark: SparkSession, path: str, box: Box | None = None, *,
     start: str | None = None, end: str | None = None, collections: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Cells of a written cube. A box reads only the tiles it touches, a collection only its folders.
+    """Cells of a written cube. Box, times and collections choose batches and tiles by the cube's survey.
 
-    The tile bounds are looked up in the cube's axes when the query runs and prune its folders.
+    One row per batch is read from the survey. Only the folders of those tiles are listed and read, with a known schema.
     """
-    cells, axes = spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/axes")
+    stored = cube_survey(spark, path)
+    first, last = (F.to_timestamp(F.lit(t)) for t in (start, end))
+    wanted = F.lit(True) if collections is None else F.col("collection").isin(list(collections))
+    inside = F.col("kind") == "tile"
+    if box is not None:
+        inside = inside & (F.col("lon_hi") >= float(box[0])) & (F.col("lon_lo") <= float(box[2])) & (F.col("lat_hi") >= float(box[1])) & (F.col("lat_lo") <= float(box[3]))
+    during = (F.col("kind") == "granule")
+    during = during if start is None else during & (F.col("ts") >= first)
+    during = during if end is None else during & (F.col("ts") < last)
+    bounds = {f"{side}_{c}": f(F.when(inside & wanted, F.col(c))) for c in ("tile_i", "tile_j") for side, f in (("lo", F.min), ("hi", F.max))}
+    rows = stored.groupBy("batch").agg(
+        F.max("stored_schema").alias("schema"), F.count_if(during & wanted).alias("granules"), *[c.alias(n) for n, c in bounds.items()]).collect()
+    schema = joined_schema(*[T.StructType.fromJson(json.loads(r["schema"])) for r in sorted(rows, key=lambda r: r["batch"])])
+    rows = [r for r in rows if r["lo_tile_i"] is not None and r["granules"]]
+    whole = T.StructType([*schema.fields, *[T.StructField(n, T.IntegerType()) for n in ("tile_i", "tile_j")]])
+    if not rows:
+        return spark.createDataFrame([], schema)
+    cells = spark.read.schema(whole).option("basePath", f"{path}/cells").parquet(*[f"{path}/cells/batch={r['batch']}" for r in rows])
+    for c in ("tile_i", "tile_j"):
+        cells = cells.where(F.col(c).between(min(r[f"lo_{c}"] for r in rows), max(r[f"hi_{c}"] for r in rows)))
     if collections is not None:
         cells = cells.where(F.col("collection").isin(list(collections)))
-        axes = axes.where(F.col("collection").isin(list(collections)))
     if start is not None:
-        cells = cells.where(F.col("ts") >= F.to_timestamp(F.lit(start)))
+        cells = cells.where(F.col("ts") >= first)
     if end is not None:
-        cells = cells.where(F.col("ts") < F.to_timestamp(F.lit(end)))
-    if box is None:
-        return _missing_as_null(cells.drop("tile_i", "tile_j"))
-    for axis, column, lo, hi in (("lat", "tile_i", box[1], box[3]), ("lon", "tile_j", box[0], box[2])):
-        held = axes.where((F.col("axis") == axis) & F.col("coordinate").between(float(lo), float(hi)))
-        cells = cells.where(
-            (F.col(column) >= held.groupBy().agg(F.min("tile")).scalar())
-            & (F.col(column) <= held.groupBy().agg(F.max("tile")).scalar())
-        )
-    return _missing_as_null(cells.where(in_box(box)).drop("tile_i", "tile_j"))
+        cells = cells.where(F.col("ts") < last)
+    if box is not None:
+        cells = cells.where(in_box(box))
+    return _missing_as_null(cells.select(schema.names))
 
 
 def _missing_as_null(cells: DataFrame) -> DataFrame:
@@ -127,16 +183,23 @@ def attrs_time_range(granules: DataFrame) -> DataFrame:
 
 
 def first_granules(cells: DataFrame) -> DataFrame:
-    """The granule kept per collection and timestamp, the first by name, and how many were dropped."""
-    granules = cells.select("collection", "ts", "granule_id").distinct()
-    return granules.groupBy("collection", "ts").agg(
+    """The granule kept per collection and timestamp, the first by name, and how many were dropped.
+
+    `cells` may be the granules of a survey.
+    """
+    named = cells.select("collection", "ts", "granule_id").distinct()
+    return named.groupBy("collection", "ts").agg(
         F.min("granule_id").alias("granule_id"), (F.count(F.lit(1)) - 1).alias("dropped")
     )
 
 
-def dedup_time(cells: DataFrame) -> DataFrame:
-    """Cells of the first granule per timestamp. Only granule names are compared, never cells."""
-    kept = first_granules(cells).select(*[F.col(c).alias(f"_{c}") for c in ("collection", "ts", "granule_id")])
+def dedup_time(cells: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """Cells of the first granule per timestamp. Only granule names are compared, never cells.
+
+    `named` holds the granules, from a survey; without it they are taken from the cells. The kept ones are written first,
+    so that Spark knows their size and the cells need not be shuffled to meet them.
+    """
+    kept = settle(first_granules(cells if named is None else named), "granules").select(*[F.col(c).alias(f"_{c}") for c in ("collection", "ts", "granule_id")])
     # A missing time or name is a stamp like any other.
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("collection", "ts", "granule_id")]
     return cells.join(kept, same[0] & same[1] & same[2], "left_semi")
