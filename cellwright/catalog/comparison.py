@@ -12,6 +12,7 @@ from cellwright.operators import masking as M
 from cellwright.operators import reductions as D
 from cellwright.operators import regions as R
 from cellwright.plans import maps
+from cellwright.session import settle
 
 KEY = ["region_id"]
 
@@ -27,7 +28,7 @@ def _regions_as_sides(s, d):
 
 
 def _diff(s, d):
-    return maps.period_comparison(_sides(s, d), "monthly")
+    return settle(maps.period_comparison(_sides(s, d), "monthly"), "difference")
 
 
 # The two sides take the place of the regions in the shared texts.
@@ -45,7 +46,12 @@ def _rsql(body: str, **extra: str) -> str:
 
 
 def _field(s, d):
-    return D.temporal_mean(R.with_regions(masked_cells(s, d), BOXES), "monthly", KEY)
+    return settle(D.temporal_mean(R.with_regions(masked_cells(s, d), BOXES), "monthly", KEY), "field")
+
+
+def _shared(s, d):
+    field = _field(s, d)
+    return C.shared_bounds(field.where("region_id = 'A'"), field.where("region_id = 'B'"))
 
 
 def _sourced(s, d):
@@ -149,7 +155,7 @@ QUERIES = {
         _rsql("SELECT region_id, round(quantile_cont(value, 0.02), 6) AS vmin, round(quantile_cont(value, 0.98), 6) AS vmax FROM field GROUP BY region_id"),
     ),
     "shared_bounds": (
-        lambda s, d: r6(C.shared_bounds(_field(s, d).where("region_id = 'A'"), _field(s, d).where("region_id = 'B'")), "vmin", "vmax"),
+        lambda s, d: r6(_shared(s, d), "vmin", "vmax"),
         _rsql("SELECT round(quantile_cont(value, 0.02), 6) AS vmin, round(quantile_cont(value, 0.98), 6) AS vmax FROM field"),
     ),
     "diverging_bounds": (

@@ -1,10 +1,13 @@
-"""Exact order statistics of groups of any size.
+"""Exact order statistics of groups of any size, by counting and narrowing.
 
 Spark's exact `percentile` keeps every distinct value of a group in one aggregation buffer, and
 `row_number` sorts a group in one task. Both fail when one group holds a large share of the rows.
-Here a group is first cut into value ranges at approximate quantiles, so that each task sorts one
-range only; the counts of the ranges before it turn positions inside a range into exact positions
-in the group.
+Here a finite double becomes a 64-bit integer of the same order, and a position is narrowed in rounds: each counts the values
+of a group by their next bits (DIGITS), among those that agree with what is known so far, and picks the
+bits in which the position lies. Counts are combined in the tasks that read the rows, and a group has at most 2**22 of
+them in a round whatever its size; the rows themselves are neither written nor sorted. What a round finds, one row per
+group and position, is written, so that Spark knows its size when the rows meet it. The input is read once per
+round: settle a frame that is dear to compute.
 """
 
 from __future__ import annotations
@@ -17,28 +20,32 @@ from pyspark.sql import functions as F
 from cellwright.functions.scalars import finite
 from cellwright.session import settle
 
-RANGES = 64  # a power of two
-SALTS = 8
+DIGITS = (22, 21, 21)
+_MANTISSA, _LEAST = 52, -1022
 
 
-def _with_ranges(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Add `_b`, the value range of each row: the number of cut points below its value."""
-    cuts = counts.groupBy(*keys).agg(
-        F.percentile_approx("_v", [k / RANGES for k in range(1, RANGES)], 20 * RANGES).alias("_cuts")
-    )
-    if keys == ["_all"]:
-        # One row of at most RANGES numbers: its size is fixed.
-        joined = counts.join(F.broadcast(cuts), "_all")
-    else:
-        # The cut points of a group meet its rows in SALTS tasks, not in one.
-        salted = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = counts.withColumn("_salt", F.pmod(F.hash("_v"), F.lit(SALTS))).join(salted, [*keys, "_salt"])
-    # Halving the cut points, one fewer than a power of two, stays in generated code.
-    below, half = F.lit(0), RANGES // 2
-    while half:
-        passed = F.coalesce(F.get("_cuts", below + (half - 1)) < F.col("_v"), F.lit(False))
-        below, half = below + F.when(passed, half).otherwise(0), half // 2
-    return joined.select(*keys, "_v", "_c", below.alias("_b"))
+def ordered(value: Column) -> Column:
+    """An integer of the same order as a finite double, one for each double; both zeros are 0."""
+    size = F.abs(value)
+    guess = F.floor(F.log2(size))
+    # the logarithm may be off by one next to a power of two
+    exact = guess + F.when(size >= F.pow(F.lit(2.0), guess + 1), 1).when(size < F.pow(F.lit(2.0), guess), -1).otherwise(0)
+    power = F.greatest(F.lit(_LEAST), F.least(F.lit(-_LEAST + 1), exact))
+    normal = (power - _LEAST + 1) * F.lit(1 << _MANTISSA) + ((size / F.pow(F.lit(2.0), power) - 1) * float(1 << _MANTISSA)).cast("long")
+    tiny = (size * 2.0 ** 537 * 2.0 ** 537).cast("long")
+    bits = F.when(size < 2.0 ** _LEAST, tiny).otherwise(normal)
+    return F.when(value < 0, -bits).otherwise(bits)
+
+
+def unordered(bits: Column) -> Column:
+    """The double of an integer made by `ordered`."""
+    size = F.abs(bits)
+    power = F.shiftright(size, _MANTISSA)
+    rest = size.bitwiseAND(F.lit((1 << _MANTISSA) - 1))
+    # power 0 holds the doubles below 2**-1022, which share the scale of power 1
+    normal = (1 + rest / F.lit(float(1 << _MANTISSA))) * F.pow(F.lit(2.0), power + _LEAST - 1)
+    found = F.when(power == 0, rest * F.lit(2.0 ** -537) * F.lit(2.0 ** -537)).otherwise(normal)
+    return F.when(bits < 0, -found).otherwise(found)
 
 
 def values_at(
@@ -53,48 +60,45 @@ def values_at(
     Returns one row per group with its keys, `n` and the picked values, NULL for a group without
     finite values.
     """
-    keys = list(keys)
-    group = keys or ["_all"]
-    rows = df.select(*keys, finite(value).alias("_v"))
-    if not keys:
-        rows = rows.withColumn("_all", F.lit(0))
-    # Read four times below, so it is written once. Equal values of a group are one row.
-    counts = settle(rows.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c")), "counts")
-    n = F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_c"))), F.lit(0)).alias("n")
-    ranged = _with_ranges(counts.where(F.col("_v").isNotNull()), group)
-
-    # At most RANGES rows per group from here on.
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    names, group = list(positions), [f"_k{n}" for n in range(len(keys))]
+    coded = df.select(*[F.col(k).alias(g) for k, g in zip(keys, group, strict=True)], ordered(finite(value)).alias("_x"))
+    counted = lambda rows, *by: rows.groupBy(*group, *by, "_digit").agg(F.count(F.lit(1)).alias("_c"))
+
+    # The first digits hold the sign, so they are in order as well. Values that do not count have none.
+    left = 64 - DIGITS[0]
+    counts = counted(coded.withColumn("_digit", F.shiftright("_x", left))).withColumn("_c", F.when(F.col("_digit").isNotNull(), F.col("_c")).otherwise(0))
     whole = Window.partitionBy(*group)
-    sizes = (
-        ranged.groupBy(*group, "_b")
-        .agg(F.sum("_c").alias("_size"))
-        .withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-        .withColumn("n", F.sum("_size").over(whole))
-    )
-    names = list(positions)
-    sizes = sizes.select(
-        *group, "_b", "_start", "_size", *[positions[name](F.col("n")).cast("long").alias(f"_p_{name}") for name in names]
-    )
-    wanted = F.lit(False)
-    for name in names:
-        p = F.col(f"_p_{name}")
-        wanted = wanted | ((p >= F.col("_start")) & (p < F.col("_start") + F.col("_size")))
-    hits = ranged.join(sizes.where(wanted), [*group, "_b"])
-    upto = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    hits = hits.withColumn("_end", F.col("_start") + F.sum("_c").over(upto)).withColumn(
-        "_from", F.col("_end") - F.col("_c")
-    )
-    picks = [
-        F.max(
-            F.when((F.col(f"_p_{name}") >= F.col("_from")) & (F.col(f"_p_{name}") < F.col("_end")), F.col("_v"))
-        ).alias(name)
-        for name in names
-    ]
+    order = whole.orderBy("_digit")
+    counts = counts.withColumns({"_end": F.sum("_c").over(order), "_n": F.sum("_c").over(whole), "_first": F.row_number().over(order) == 1})
+    sought = F.array(*[F.struct(F.lit(x).alias("name"), positions[x](F.col("_n")).cast("long").alias("at")) for x in names])
+    sought = F.filter(sought, lambda s: (s["at"] >= F.col("_end") - F.col("_c")) & (s["at"] < F.col("_end")))
+    # a row without a name tells of the group, also of one without finite values
+    each = F.when(F.col("_first"), F.array_append(sought, F.lit(None))).otherwise(sought)
+    found = counts.withColumn("_s", F.explode(each)).select(
+        *group, "_n", F.col("_s.name").alias("_name"), F.col("_digit").alias("_prefix"), (F.col("_s.at") - F.col("_end") + F.col("_c")).alias("_at"))
+    groups = found = settle(found, "digits")
+    for bits in DIGITS[1:]:
+        left -= bits
+        reach = coded.withColumns({"_p": F.shiftright("_x", left + bits), "_digit": F.shiftright("_x", left).bitwiseAND(F.lit((1 << bits) - 1))})
+        wanted = found.where("_name IS NOT NULL").select(*[F.col(g).alias(f"{g}w") for g in group], "_name", "_prefix", "_at")
+        same = F.col("_p") == F.col("_prefix")
+        for g in group:
+            same = same & F.col(g).eqNullSafe(F.col(f"{g}w"))
+        counts = counted(reach.join(wanted, same), "_name", "_prefix", "_at")
+        counts = counts.withColumn("_end", F.sum("_c").over(Window.partitionBy(*group, "_name").orderBy("_digit")))
+        start = F.col("_end") - F.col("_c")
+        found = settle(counts.where((F.col("_at") < F.col("_end")) & (F.col("_at") >= start)).select(
+            *group, "_name", (F.shiftleft("_prefix", bits) + F.col("_digit")).alias("_prefix"), (F.col("_at") - start).alias("_at")), "digits")
+    picked = found.groupBy(*group).agg(*[F.max(F.when(F.col("_name") == x, unordered(F.col("_prefix")))).alias(x) for x in names])
     if not keys:
-        one = hits.groupBy().agg(F.struct(*picks)).scalar()
-        return counts.groupBy().agg(n).withColumn("_p", one).select("n", "_p.*")
-    return counts.groupBy(*keys).agg(n).join(hits.groupBy(*keys).agg(*picks), keys, "left")
+        one = picked.select(F.struct(*names)).scalar()
+        sizes = groups.groupBy().agg(F.coalesce(F.max("_n"), F.lit(0).cast("long")).alias("n"))
+        return sizes.withColumn("_p", one).select("n", *[F.col(f"_p.{x}").alias(x) for x in names])
+    sizes = groups.where("_name IS NULL").select(*[F.col(g).alias(k) for k, g in zip(keys, group, strict=True)], F.col("_n").alias("n"))
+    same = F.lit(True)
+    for k, g in zip(keys, group, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(g))
+    return sizes.join(picked, same, "left").select(*keys, "n", *names)
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: Column | str, probs: dict[str, float]) -> DataFrame:

@@ -45,52 +45,32 @@ def _marked(cells: DataFrame) -> DataFrame:
     return cells.withColumns({"_undated": F.col("ts").isNull(), "ts": F.coalesce("ts", epoch)})
 
 
-def _bucketed(cells: DataFrame, cadence: str, keys: Sequence[str], cell: Sequence[str], aggs: dict[str, Column]) -> DataFrame:
-    """`aggs` over each cell's values in a cadence bucket, with the bucket's `_steps` (valid timesteps) and `_live`.
+def _weighted(cells: DataFrame, cadence: str, keys: Sequence[str]) -> DataFrame:
+    """Cells with the `weight` of their timestep, NULL where the timestep is not valid.
 
-    The cells are reduced before anything is joined to them. A value that is not finite says nothing about
-    its timestep, so such values are kept apart by their timestep (`_at`); `_live` is false where that timestep
-    holds no finite value of any cell. The buckets' facts have one row per bucket; how they meet is left to Spark.
+    The weights, one row per valid timestep, are written first, so that Spark knows their size: as long as they are small
+    the cells meet them where they are read, and only sums per cell are shuffled.
     """
-    unit = CADENCE_UNIT.get(cadence)
-    marked = _marked(cells)
-    bucket = F.date_trunc(unit, "ts") if unit else F.lit("1970-01-01").cast("timestamp")
-    by = [*keys, "_undated", "_bucket"]
-    steps = marked.where(F.col("value").isNotNull()).groupBy(*keys, "_undated", "ts").agg(F.bool_or(is_finite("value")).alias("_finite"))
-    facts = steps.withColumn("_bucket", bucket).groupBy(*by).agg(
-        F.count_if("_finite").alias("_steps"), F.collect_list(F.when(~F.col("_finite"), F.col("ts"))).alias("_dead"))
-    at = F.when(F.col("value").isNotNull() & ~is_finite("value"), F.col("ts"))
-    parts = marked.withColumns({"_bucket": bucket, "_at": at}).groupBy(*by, *cell, "_at").agg(*[c.alias(n) for n, c in aggs.items()])
-    live = F.coalesce(~F.array_contains("_dead", F.col("_at")), F.lit(True))
-    return parts.join(facts, by, "left").withColumns({"_steps": F.when(F.col("_steps") > 0, F.col("_steps")) if unit else F.lit(1), "_live": live})
-
-
-def _bucket_mean(total: str = "_sum", n: str = "_n") -> Column:
-    """Mean in which each bucket's valid timesteps weigh one together, from the buckets' sums and counts."""
-    return F.try_divide(F.sum(F.when(F.col("_live"), F.col(total) / F.col("_steps"))), F.sum(F.when(F.col("_live") & (F.col(n) > 0), F.col(n) / F.col("_steps"))))
+    marked, by = _marked(cells), [*keys, "_undated"]
+    weights = settle(cadence_weights(valid_timesteps(marked, by), cadence, by), "weights")
+    wanted = weights.select(*[F.col(c).alias(f"_w{c}") for c in [*by, "ts"]], "weight")
+    same = F.lit(True)
+    for c in [*by, "ts"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_w{c}"))
+    return marked.join(wanted, same, "left").drop(*[f"_w{c}" for c in [*by, "ts"]])
 
 
 def temporal_fields(
     cells: DataFrame, cadence: str, keys: Sequence[str] = (), stats: Sequence[str] = ("mean",), cell: Sequence[str] = CELL
 ) -> DataFrame:
-    """Per-cell statistics over valid timesteps, all in one plan.
+    """Per-cell statistics over valid timesteps: one reading for the timesteps, one reading and one shuffle for the cells.
 
-    Mean, max and min come from the cells' sums, counts and extremes per cadence bucket. Median and std are not made of such
-    parts: they meet the valid timesteps first, and a cell's group is bounded by its number of timesteps.
-    A cell without a valid value stays, with NULLs.
+    An exact median keeps a cell's distinct values together, which its number of timesteps bounds; the other
+    statistics are combined before the shuffle. A cell without a valid value stays, with NULLs.
     """
-    if {"median", "std"} & set(stats):
-        marked, by = _marked(cells), [*keys, "_undated", "ts"]
-        weights = cadence_weights(valid_timesteps(marked, by[:-1]), cadence, by[:-1])
-        v = F.when(F.col("weight").isNotNull(), F.col("value"))
-        mean = F.try_divide(F.sum(F.col("weight") * v), F.sum(F.when(v.isNotNull(), F.col("weight"))))
-        aggs = {"mean": mean, "median": F.median(v), "max": F.max(v), "min": F.min(v), "std": F.stddev_samp(v)}
-        parts = marked.select(*by, *cell, "value").join(weights, by, "left")
-    else:
-        live = lambda c: F.when(F.col("_live"), F.col(c))
-        aggs = {"mean": _bucket_mean(), "max": F.max(live("_max")), "min": F.min(live("_min"))}
-        parts = _bucketed(cells, cadence, keys, cell, {"_sum": F.sum("value"), "_n": F.count("value"), "_max": F.max("value"), "_min": F.min("value")})
-    return parts.groupBy(*keys, *cell).agg(*[aggs[s].alias(s) for s in stats])
+    v, w = F.when(F.col("weight").isNotNull(), F.col("value")), F.col("weight")
+    aggs = {"mean": F.try_divide(F.sum(w * v), F.sum(F.when(v.isNotNull(), w))), "median": F.median(v), "max": F.max(v), "min": F.min(v), "std": F.stddev_samp(v)}
+    return _weighted(cells, cadence, keys).groupBy(*keys, *cell).agg(*[aggs[s].alias(s) for s in stats])
 
 
 def temporal_mean(cells: DataFrame, cadence: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -269,11 +249,9 @@ def evidence_facts(
             ok = ok & ~F.coalesce(is_fill(cells, b["name"], b["fill"]), F.lit(False))
         masked = masked.withColumn(b["name"], F.when(ok, c))
     names = [b["name"] for b in bands]
-    sums = {f"_sum_{n}": F.sum(n) for n in names} | {f"_n_{n}": F.count(n) for n in names}
-    parts = _bucketed(masked, cadence, keys, CELL, {"_sum": F.sum("value"), "_n": F.count("value")} | sums)
-    field = parts.groupBy(*keys, *CELL).agg(
-        _bucket_mean().alias("_science"), *[F.try_divide(F.sum(f"_sum_{n}"), F.sum(f"_n_{n}")).alias(n) for n in names],
-    )
+    v, w = F.when(F.col("weight").isNotNull(), F.col("value")), F.col("weight")
+    science = F.try_divide(F.sum(w * v), F.sum(F.when(v.isNotNull(), w)))
+    field = _weighted(masked, cadence, keys).groupBy(*keys, *CELL).agg(science.alias("_science"), *[F.avg(n).alias(n) for n in names])
     wide = field.groupBy(*keys).agg(
         weighted_mean("_science").alias("_science"), F.count(F.lit(1)).alias("_cells"),
         *[F.struct(weighted_mean(n).alias("mean"), F.count(finite(n)).alias("n")).alias(n) for n in names],

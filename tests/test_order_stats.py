@@ -50,3 +50,61 @@ def test_ordinal_numbers_rows_across_buckets(spark):
     df = spark.createDataFrame([(i, j) for i in range(7) for j in range(i + 1)], "i int, j int").orderBy(F.rand(3))
     rows = order_stats.ordinal(df, [], F.col("i"), ["j"], "pos").orderBy("i", "j").collect()
     assert [r["pos"] for r in rows] == list(range(len(rows)))
+
+
+EDGES = [0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 2.225073858507201e-308, 1e-300, 0.1, 0.5, 1.0 - 2**-53, 1.0, 1.0 + 2**-52, 2.0, 3.0, 1e15, 2.0**53, 1e300, 1.7976931348623157e308]
+
+
+def test_doubles_and_integers_of_the_same_order(spark):
+    rng = random.Random(2)
+    values = EDGES + [-v for v in EDGES[1:]] + [rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.uniform(-300, 300) for _ in range(2000)]
+    values += [2.0**k for k in range(-1074, 1024)] + [np.nextafter(2.0**k, 0) for k in range(-1000, 1024)]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", order_stats.ordered(F.col("v")).alias("x"))
+    rows = df.withColumn("back", order_stats.unordered(F.col("x"))).collect()
+    assert all(r["back"] == r["v"] for r in rows)
+    by_value = sorted(rows, key=lambda r: r["v"])
+    assert [r["x"] for r in by_value] == sorted(r["x"] for r in rows)
+    assert len({r["x"] for r in rows}) == len({r["v"] for r in rows})
+
+
+def test_extreme_values_and_missing_keys(spark):
+    rows = [(g, h, v) for g in (None, "a") for h in (None, 1) for v in EDGES] + [("b", 1, None), (None, 2, float("nan"))]
+    got = order_stats.quantiles(spark.createDataFrame(rows, "g string, h int, v double"), ["g", "h"], "v", {"m": 0.5, "top": 1.0}).collect()
+    assert {(r["g"], r["h"]): (r["n"], r["m"], r["top"]) for r in got} == {
+        **{(g, h): (len(EDGES), sorted(EDGES)[8], EDGES[-1]) for g in (None, "a") for h in (None, 1)}, ("b", 1): (0, None, None), (None, 2): (0, None, None)}
+
+
+def test_a_group_with_most_rows_leaves_no_large_task(spark, monkeypatch):
+    """Nine tenths of the rows are one group: its rows are counted where they are read, and no task of a shuffle reads a large part of them."""
+    rows = spark.range(0, 400_000, 1, 16).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 70)).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(500)) / 8).alias("v"))
+    path = order_stats.settle(rows, "hot")
+    read = []
+    true_settle = order_stats.settle
+
+    def watched(df, label):
+        out = true_settle(df, label)
+        read.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(order_stats, "settle", watched)
+    before = _last_stage(spark)
+    got = {r["g"]: r["m"] for r in order_stats.quantiles(path, ["g"], "v", {"m": 0.5}).collect()}
+    want = path.toPandas().groupby("g")["v"].median().to_dict()
+    assert got == want
+    assert max(_shuffled(spark, before)) < 0.1 * 400_000  # a whole stage, not just a task
+    assert len(read) == 3 and not any("SortMergeJoin" in p for p in read)
+
+
+def _last_stage(spark) -> int:
+    return max((s.stageId() for s in _stages(spark)), default=-1)
+
+
+def _stages(spark) -> list:
+    sc = spark.sparkContext
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return [found.apply(k) for k in range(found.size())]
+
+
+def _shuffled(spark, after: int) -> list[int]:
+    """Rows that the stages since then have read from shuffles."""
+    return [0, *(s.shuffleReadRecords() for s in _stages(spark) if s.stageId() > after)]
