@@ -60,25 +60,25 @@ def scores(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
 
 
 def fit_rows(texts: pa.Array, labels: np.ndarray, order: np.ndarray, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights after FTRL-proximal updates, one document at a time in `order`."""
-    rows = []
-    for grams, bounds in features(texts, bits):
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            at, count = np.unique(grams[a:b], return_counts=True)
-            rows.append((at.astype(np.int32), (count / np.sqrt(max(1, b - a))).astype(np.float32)))
+    """Weights after FTRL-proximal updates, one document at a time in `order`. Features are made as they are needed, a slice at a time."""
+    texts, labels = texts.cast(pa.large_string()).take(pa.array(order)), labels[order]
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
 
     def weight(zs: np.ndarray, ns: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zs) <= L1, 0.0, (np.sign(zs) * L1 - zs) / ((BETA + np.sqrt(ns)) / ALPHA + L2))
 
     for _ in range(epochs):
-        for k in order:
-            at, x = rows[k]
-            zs, ns = z[at], n[at]
-            w = weight(zs, ns)
-            g = (logistic(w @ x) - labels[k]) * x
-            z[at] = zs + g - (np.sqrt(ns + g * g) - np.sqrt(ns)) / ALPHA * w
-            n[at] = ns + g * g
+        done = 0
+        for grams, bounds in features(texts, bits):
+            for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True), done):
+                at, count = np.unique(grams[a:b], return_counts=True)
+                x = (count / np.sqrt(max(1, b - a))).astype(np.float32)
+                zs, ns = z[at], n[at]
+                w = weight(zs, ns)
+                g = (logistic(w @ x) - labels[k]) * x
+                z[at] = zs + g - (np.sqrt(ns + g * g) - np.sqrt(ns)) / ALPHA * w
+                n[at] = ns + g * g
+            done += len(bounds) - 1
     return weight(z, n).astype(np.float32)
 
 

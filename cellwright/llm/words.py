@@ -11,7 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+#: Powers up to this length are kept by a worker; longer ones, for a single long text, are made each time and dropped.
+KEPT = 1 << 20
 
 # The six ASCII space characters that part words.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -76,12 +78,16 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n + n // 4, base, _U)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps, dtype=_U)
-    return _POWERS
+    if len(_POWERS[0]) >= n:
+        return _POWERS
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(n if n > KEPT else min(KEPT, n + n // 4), base, _U)
+        steps[0] = 1
+        made.append(np.cumprod(steps, out=steps, dtype=_U))
+    if n <= KEPT:
+        _POWERS[:] = made
+    return made
 
 
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
