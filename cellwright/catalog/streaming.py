@@ -49,6 +49,19 @@ def _ingest(s, d):
     return good.unionByName(bad).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def _ingest_files(s, d):
+    """The events as three granule files, taken one per batch; the second run finds nothing new."""
+    path = fresh_path(s, "files")
+    for n in range(3):
+        _cells(_arrived(s, d).where(F.col("event_id") % 3 == n)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    for _ in range(2):
+        J.stream_ingest_files(s, f"{path}/in", f"{path}/out", f"{path}/checkpoint", 1)
+    batches = J.manifest(s, f"{path}/out").agg(F.count("*")).scalar()
+    good = J.ingested(s, f"{path}/out").select("granule_id", F.lit("stored").alias("reason"), "value")
+    bad = J.ingested(s, f"{path}/out", "rejects").select("granule_id", "reason", "value")
+    return good.unionByName(bad).groupBy("reason").agg(F.count("*").alias("n"), F.count("granule_id").alias("named"), F.round(F.max("value"), 6).alias("top")).withColumn("batches", batches)
+
+
 def _run(s, d, job, start="ts", width="0 seconds"):
     path = fresh_path(s, "stream")
     return as_text(J.run_bounded(job, _events(s, d), _arrived(s, d), f"{path}/out", f"{path}/checkpoint", start, width), start)
@@ -80,6 +93,11 @@ QUERIES = {
         _ingest,
         """SELECT CASE event_id % 50 WHEN 1 THEN 'no time' WHEN 2 THEN 'no position' WHEN 3 THEN 'no place' ELSE 'stored' END AS reason, count(*) AS n FROM events GROUP BY 1""",
     ),
+    "stream_ingest_files": (
+        _ingest_files,
+        """SELECT CASE event_id % 50 WHEN 1 THEN 'no time' WHEN 2 THEN 'no position' WHEN 3 THEN 'no place' ELSE 'stored' END AS reason, count(*) AS n,
+        count(*) AS named, round(max(value), 6) AS top, CAST(3 AS BIGINT) AS batches FROM events GROUP BY 1""",
+    ),
     "stream_dedup_granules": (
         _dedup,
         """SELECT CAST(h AS VARCHAR) AS ts, i, j, printf('g%012d', id) AS granule_id, value FROM (SELECT date_trunc('hour', ts) AS h, CAST(user_id % 30 AS INT) AS i, CAST(user_id % 20 AS INT) AS j,

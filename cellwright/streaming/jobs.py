@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,19 +66,85 @@ def reject_reason() -> Column:
     )
 
 
-def stream_ingest_cells(cells: DataFrame, path: str, checkpoint: str) -> None:
-    """Append arriving cells under `path/cells`, bad rows with their reason under `path/rejects`.
+def _store(batch: DataFrame, path: str, number: int) -> None:
+    """One batch: its cells, its rejected rows, and last its line in the manifest, by which it counts as stored.
 
     Each batch writes folders of its own number, so a batch that runs twice leaves one copy.
     """
-    def store(batch: DataFrame, number: int) -> None:
-        marked = batch.withColumn("reason", reject_reason()).persist()
-        good = marked.where(F.col("reason").isNull()).drop("reason").withColumn("value", nan_to_null("value"))
-        good.write.mode("overwrite").parquet(f"{path}/cells/batch={number}")
-        marked.where(F.col("reason").isNotNull()).write.mode("overwrite").parquet(f"{path}/rejects/batch={number}")
-        marked.unpersist()
-
-    query = cells.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    marked = batch.withColumn("reason", reject_reason()).persist()
+    numbers = [c for c, kind in batch.dtypes if kind in ("float", "double") and c not in ("lat", "lon")]
+    good = marked.where(F.col("reason").isNull()).drop("reason").withColumns({c: nan_to_null(c) for c in numbers})
+    good.write.mode("overwrite").parquet(f"{path}/cells/batch={number}")
+    marked.where(F.col("reason").isNotNull()).write.mode("overwrite").parquet(f"{path}/rejects/batch={number}")
+    counted = marked.agg(F.count_if(F.col("reason").isNull()).alias("cells"), F.count_if(F.col("reason").isNotNull()).alias("rejects"))
+    counted.write.mode("overwrite").parquet(f"{path}/manifest/batch={number}")
+    marked.unpersist()
+
+
+MANIFEST = "cells long, rejects long, batch long"
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The stored batches: one row for each, with its numbers of cells and of rejected rows."""
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+
+
+def ingested(spark: SparkSession, path: str, kind: str = "cells") -> DataFrame:
+    """Stored `cells` or `rejects` of the batches in the manifest. What a batch left behind that did not end is not read."""
+    numbers = sorted(r["batch"] for r in manifest(spark, path).select("batch").collect())  # one number per batch
+    schema = contract(spark, path)
+    schema = schema if kind == "cells" or schema is None else T.StructType([*schema.fields, T.StructField("reason", T.StringType())])
+    reader = spark.read if schema is None else spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())]))
+    return reader.option("basePath", f"{path}/{kind}").parquet(*[f"{path}/{kind}/batch={n}" for n in numbers])
+
+
+def contract(spark: SparkSession, path: str) -> T.StructType | None:
+    """The schema that every file of an ingest must have, kept beside the stored cells; None before the first batch."""
+    try:
+        kept = spark.read.text(f"{path}/contract").first()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return T.StructType.fromJson(json.loads(kept["value"]))
+
+
+def breaches(schema: T.StructType, agreed: T.StructType) -> list[str]:
+    """How the schema of a file departs from the agreed one: columns that it lacks, adds, or holds with another type."""
+    own, due = ({f.name: f.dataType.simpleString() for f in x} for x in (schema, agreed))
+    return ([f"{c} is missing" for c in due if c not in own] + [f"{c} is not agreed on" for c in own if c not in due]
+            + [f"{c} is {own[c]}, not {due[c]}" for c in due if c in own and own[c] != due[c]])
+
+
+def stream_ingest_files(spark: SparkSession, folder: str, path: str, checkpoint: str, per_trigger: int = GRANULES_PER_TRIGGER) -> None:
+    """Append the granule files that arrive in a folder, a few per batch, all of one schema.
+
+    The first file by name of the first batch sets the schema. Every file's own schema is checked before any row of its batch is
+    read or stored; a batch with a file that departs from it fails as a whole, with all departures named, and stays
+    to be done: after the file is mended or taken away, the next run goes on with that batch.
+    """
+    def take(batch: DataFrame, number: int) -> None:
+        names = sorted(r["file_path"] for r in batch.select("file_path").distinct().collect())  # at most per_trigger names
+        if not names:
+            return
+        schemas = {n: spark.read.parquet(n).schema for n in names}
+        agreed = contract(spark, path)
+        due = schemas[names[0]] if agreed is None else agreed
+        wrong = {n: found for n, x in schemas.items() if (found := breaches(x, due))}
+        if wrong:
+            raise ValueError("; ".join(f"{n.rsplit('/', 1)[-1]}: {', '.join(x)}" for n, x in wrong.items()))
+        if agreed is None:
+            spark.createDataFrame([(due.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/contract")
+        _store(spark.read.schema(due).parquet(*names), path, number)
+
+    arriving = read_stream(spark, folder, T.StructType([T.StructField("granule_id", T.StringType())]), per_trigger)
+    query = arriving.select("_metadata.file_path").writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def stream_ingest_cells(cells: DataFrame, path: str, checkpoint: str) -> None:
+    """Append arriving cells under `path/cells`, bad rows with their reason under `path/rejects`, each batch once."""
+    query = cells.writeStream.foreachBatch(lambda batch, number: _store(batch, path, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
