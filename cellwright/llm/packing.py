@@ -52,8 +52,20 @@ def encoder(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=2)
+def library(path: str):
+    """The same vocabulary in the tokenizer library, from the file beside it."""
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json")
+
+
 def document_ids(text: str | None, path: str) -> np.ndarray:
-    found = encoder(path).encode(text or "", allowed_special="all")
+    """The ids of a whole text and END. A text that the encoder cannot take, such as one of a million blanks, goes to the library."""
+    try:
+        found = encoder(path).encode(text or "", allowed_special="all")
+    except ValueError:
+        found = library(path).encode(text or "", add_special_tokens=False).ids
     return np.array([*found, END], "<u4")
 
 

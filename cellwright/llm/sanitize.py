@@ -116,9 +116,15 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with personal data as <kind>, revealing words generalised to <term> or removed; all other columns stay."""
+    """The documents with personal data as <kind>, revealing words generalised to <term> or removed; all other columns stay.
+
+    A null text becomes an empty one.
+    """
     spans = sanitise(docs).select("row_key", F.concat("base", "added").alias("spans")).where(F.size("spans") > 0).dropDuplicates(["row_key"])
     placeholder = lambda kind: F.when(kind == ADDED[1], "").when(kind == ADDED[0], "<term>").otherwise(F.concat(F.lit("<"), kind, F.lit(">")))
-    joined = keyed(docs).join(spans, "row_key", "left")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    held = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(rest)])  # no name of theirs meets one of ours
+    joined = keyed(docs.select("doc_id", "text", held.alias("rest"))).join(spans, "row_key", "left")
     text = F.when(F.col("spans").isNotNull(), redacted(F.col("text"), F.col("spans"), placeholder)).otherwise(F.col("text"))
-    return joined.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    back = {"doc_id": F.col("doc_id"), "text": text.alias("text"), **{c: F.col(f"rest.c{n}").alias(c) for n, c in enumerate(rest)}}
+    return joined.select(*[back[c] for c in docs.columns])

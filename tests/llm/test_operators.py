@@ -405,3 +405,32 @@ def test_pipeline_runs_and_each_stage_takes_effect(spark):
     assert not any(personal(t) for _, t in texts)
     pieces = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r["doc_id"] for r in pieces} == {i for i, _ in texts}
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000 + "x", "\n" * 2_000_000, "\t " * 700_000 + "y"])
+def test_packing_takes_long_blank_texts(spark, text):
+    import tokenizers
+
+    path = packing.vocabulary()
+    want = tokenizers.Tokenizer.from_file(path.removesuffix("tiktoken") + "json").encode(text, add_special_tokens=False).ids
+    assert packing.document_ids(text, path).tolist() == [*want, 0]
+    pieces = packing.pack(spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string")).collect()
+    assert sum(r["length"] for r in pieces if r["doc_id"] == 1) == len(want) + 1
+
+
+def test_stages_keep_columns_with_the_names_they_use_inside(spark, tmp_path):
+    import corpus_pipeline
+
+    path = str(tmp_path / "t")
+    rows = [(k, sentence(60) + (f" write to a{k}@b.example" if k % 2 else "")) for k in range(12)] + [(90, None), (91, "")]
+    names = ["row_key", "spans", "n_words", "n_removed", "rest", "base", "kept", "chunk", "score", "component_id"]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.lit(0).cast("long"))
+    for n in names:
+        frame = frame.withColumn(n, F.concat(F.lit(n), "doc_id"))
+    frame.coalesce(2).write.parquet(path)
+    docs = spark.read.parquet(path)
+    for stage in (corpus_pipeline.keep_one_copy, corpus_pipeline.cut_repeats, corpus_pipeline.hide_personal):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert [r[n] for n in names] == [f"{n}{r['doc_id']}" for n in names], stage
