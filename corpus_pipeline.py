@@ -36,8 +36,11 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document holds."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    return _measured(substring.remove_repeats(docs, carry=carry), docs)
+    carry = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # under names of their own, so that none meets a name of the operator
+    own = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(carry)])
+    kept = substring.remove_repeats(own, carry=tuple(own.columns[2:]))
+    return _measured(kept.select("doc_id", "text", *[F.col(f"c{n}").alias(c) for n, c in enumerate(carry)]), docs)
 
 
 def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
