@@ -8,8 +8,10 @@ from cellwright.catalog._common import (
     BOXES, GOOD, MASKED, MASKED_HOURLY, REGIONED, TEMPORAL_MEAN, W, as_text, masked_cells, masked_hourly, r6,
 )
 from cellwright.catalog.fixtures import ctes
+from cellwright.operators import provenance as P
 from cellwright.operators import reductions as D
 from cellwright.operators import regions as R
+from cellwright.session import settle
 
 KEY = ["region_id"]
 
@@ -58,16 +60,55 @@ _BANDS = [
 ]
 
 def _summary(s, d):
-    """Charts of both regions and a third one, over region A, for which no companion was read."""
+    """Charts of both regions, a third one over region A for which no companion was read, and a fourth of which nothing is recorded."""
     cells = _regioned(s, d)
-    charts = cells.groupBy("region_id").agg(F.count_distinct("ts").alias("n_granules"))
-    charts = charts.unionByName(charts.where("region_id = 'A'").withColumn("region_id", F.lit("C"))).withColumn("status", F.lit("verified"))
-    out = D.evidence_summary(charts, D.evidence_facts(cells, _BANDS, "monthly", KEY), KEY)
+    charts = cells.groupBy("region_id").agg(F.count_distinct("ts").alias("n_granules")).withColumn("status", F.lit("verified"))
+    first = charts.where("region_id = 'A'")
+    charts = charts.unionByName(first.withColumn("region_id", F.lit("C"))).unionByName(first.withColumns({"region_id": F.lit("D"), "status": F.lit(None).cast("string")}))
+    out = D.evidence_summary(charts, D.evidence_facts(cells, _BANDS, "monthly", KEY), KEY, F.col("status").isNotNull())
     texts = F.transform("evidence", lambda e: F.concat(e["name"], F.lit("="), e["value"].cast("string")))
     return out.withColumn("evidence", F.coalesce(F.array_join(texts, ";"), F.lit("")))
 
 
+def _provenance(s, d):
+    """Panels of both regions and of the hourly grid, then the rows of the two regions together and of all three."""
+    stated = {"variable": "price", "units": "usd", "fill_value_source": "registry", "valid_range_source": "registry", "basis": "temporal mean"}
+    cells = _regioned(s, d).withColumn("status", F.lit("verified"))
+    two = P.panel_provenance(cells, KEY, "daily", "mean", GOOD, stated={**stated, "qa_status": F.col("status"), "qa_source": "registry", "region_type": "bounding_box"})
+    hourly = masked_hourly(s, d).withColumn("region_id", F.lit("H"))
+    third = P.panel_provenance(hourly, KEY, "hourly", "mean", bad=[2], stated={**stated, "valid_range_source": "file", "qa_status": "inferred", "qa_source": "flag_meanings"})
+    panels = settle(two.unionByName(third), "panels")
+    pair = P.merge_provenance(panels.where(F.col("panels")[0] != "H"))
+    rows = panels.unionByName(pair).unionByName(P.merge_provenance(pair.unionByName(panels.where(F.col("panels")[0] == "H"))))
+    return rows.withColumns({"panels": F.array_join("panels", ", "), "pass_rate": F.round("pass_rate", 6),
+                            **{n: F.col(n).cast("double") for n in (*P.COUNTED[:3], *P.COUNTED[4:], "n_granules")}})
+
+
+_PANEL = """count(checked) AS checked, count(checked) FILTER ({good}) AS passing, count(checked) FILTER (qa_flag IS NULL) AS flag_missing,
+  round(sum({w}) FILTER (checked IS NOT NULL AND {good}) / sum({w}) FILTER (checked IS NOT NULL), 6) AS pass_rate,
+  count(DISTINCT ts) FILTER (checked IS NOT NULL) AS n_time, count(DISTINCT i) FILTER (checked IS NOT NULL) AS n_lat, count(DISTINCT j) FILTER (checked IS NOT NULL) AS n_lon,
+  count(DISTINCT ts) FILTER (value IS NOT NULL) AS n_granules, CAST(CAST(min(ts) FILTER (value IS NOT NULL) AS DATE) AS VARCHAR) AS start_date,
+  CAST(CAST(max(ts) FILTER (value IS NOT NULL) AS DATE) AS VARCHAR) AS end_date"""
+
+
 QUERIES = {
+    "provenance": (
+        _provenance,
+        ctes("fx_cells", "fx_hourly", masked=MASKED, regioned=REGIONED, mh=MASKED_HOURLY,
+             panel=f"""SELECT region_id AS panels, 'registry' AS valid_range_source, 'verified' AS qa_status, 'registry' AS qa_source, 'bounding_box' AS region_type, 'daily' AS c, {_PANEL.format(good="qa_flag IN (0)", w=W)} FROM regioned GROUP BY region_id
+               UNION ALL SELECT 'H', 'file', 'inferred', 'flag_meanings', NULL, 'hourly', {_PANEL.format(good="qa_flag NOT IN (2)", w=W)} FROM mh""",
+             named="""SELECT * EXCLUDE (c), concat(rng, ' Mean, ', n_granules, ' ', c, ' granules, ', rng) AS aggregation_label FROM (SELECT *, concat(start_date, ' to ', end_date) AS rng FROM panel)""",
+             p="SELECT * EXCLUDE (rng) FROM named",
+             merged="""SELECT string_agg(panels, ', ' ORDER BY panels) AS panels, CASE WHEN count(DISTINCT valid_range_source) = 1 THEN min(valid_range_source) END AS valid_range_source,
+               CASE WHEN count(DISTINCT qa_status) = 1 THEN min(qa_status) END AS qa_status, CASE WHEN count(DISTINCT qa_source) = 1 THEN min(qa_source) END AS qa_source,
+               CASE WHEN count(DISTINCT coalesce(region_type, '-')) = 1 THEN min(region_type) END AS region_type,
+               NULL::BIGINT AS checked, NULL::BIGINT AS passing, NULL::BIGINT AS flag_missing, NULL::DOUBLE AS pass_rate, NULL::BIGINT AS n_time, NULL::BIGINT AS n_lat, NULL::BIGINT AS n_lon,
+               CASE WHEN count(DISTINCT n_granules) = 1 THEN min(n_granules) END AS n_granules, CASE WHEN count(DISTINCT start_date) = 1 THEN min(start_date) END AS start_date,
+               CASE WHEN count(DISTINCT end_date) = 1 THEN min(end_date) END AS end_date, CASE WHEN count(DISTINCT aggregation_label) = 1 THEN min(aggregation_label) END AS aggregation_label
+               FROM (SELECT *, 1 AS g FROM p WHERE panels <> 'H' UNION ALL SELECT *, 2 AS g FROM p) GROUP BY g""")
+        + """SELECT * REPLACE (CAST(checked AS DOUBLE) AS checked, CAST(passing AS DOUBLE) AS passing, CAST(flag_missing AS DOUBLE) AS flag_missing, CAST(n_time AS DOUBLE) AS n_time, CAST(n_lat AS DOUBLE) AS n_lat,
+        CAST(n_lon AS DOUBLE) AS n_lon, CAST(n_granules AS DOUBLE) AS n_granules), 'price' AS variable, 'usd' AS units, 'registry' AS fill_value_source, 'temporal mean' AS basis FROM (FROM p UNION ALL BY NAME FROM merged)""",
+    ),
     "valid_timesteps": (
         lambda s, d: as_text(D.valid_timesteps(_regioned(s, d), KEY), "ts"),
         _sql("SELECT DISTINCT region_id, CAST(ts AS VARCHAR) AS ts FROM regioned WHERE value IS NOT NULL"),
@@ -155,8 +196,10 @@ QUERIES = {
     ),
     "evidence_summary": (
         _summary,
-        _sql(f"""SELECT region_id, status, n_granules, has_evidence, evidence FROM (SELECT region_id, count(DISTINCT ts) AS n_granules, 'verified' AS status FROM regioned GROUP BY region_id UNION ALL
-          SELECT 'C', (SELECT count(DISTINCT ts) FROM regioned WHERE region_id = 'A'), 'verified') c LEFT JOIN
+        _sql(f"""SELECT region_id, status, n_granules, has_evidence, evidence,
+          CASE WHEN status IS NULL THEN 'nothing is recorded of this chart' WHEN NOT has_evidence THEN 'no companion band with values was read for this chart' END AS reason
+          FROM (SELECT region_id, count(DISTINCT ts) AS n_granules, 'verified' AS status FROM regioned GROUP BY region_id UNION ALL
+          SELECT k, (SELECT count(DISTINCT ts) FROM regioned WHERE region_id = 'A'), st FROM (VALUES ('C', 'verified'), ('D', NULL)) v(k, st)) c LEFT JOIN
           (SELECT region_id, true AS he, concat('cloud_fraction=', round(sum(c * {W}) / sum({W}) FILTER (c IS NOT NULL), 6), ';value_uncertainty=', round(sum(u * {W}) / sum({W}) FILTER (u IS NOT NULL), 6)) AS ev FROM bands GROUP BY region_id) e USING (region_id),
           LATERAL (SELECT coalesce(he, false) AS has_evidence, coalesce(ev, '') AS evidence)""",
              bands="""SELECT region_id, i, j, lat, avg(CASE WHEN cloud_fraction <> 0 AND cloud_fraction BETWEEN 0 AND 0.09 THEN cloud_fraction END) AS c, avg(value_uncertainty) AS u FROM regioned GROUP BY region_id, i, j, lat"""),

@@ -200,12 +200,8 @@ def counted_extent(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 # --- Labels and coverage --------------------------------------------------------------------------
 
-def aggregation_label(valid: DataFrame, cadence: str, stat: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Granule count, date range and the period word the dates justify."""
-    facts = valid.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_granules"),
-        F.to_date(F.min("ts")).alias("_start"), F.to_date(F.max("ts")).alias("_end"),
-    )
+def label_columns(cadence: str, stat: str) -> tuple[Column, Column]:
+    """The label and the title suffix of a row with `n_granules` and the dates `_start` and `_end`."""
     n, start, end = F.col("n_granules"), F.col("_start").cast("string"), F.col("_end").cast("string")
     span = F.datediff("_end", "_start")
     differs = F.col("_start") != F.col("_end")
@@ -220,10 +216,20 @@ def aggregation_label(valid: DataFrame, cadence: str, stat: str, keys: Sequence[
     period = F.coalesce(period.otherwise(date_range), F.lit("Single Snapshot"))
     year = F.when(F.year("_start") == F.year("_end"), F.year("_start").cast("string")).otherwise(date_range)
     label = stat.capitalize()
+    return (F.concat_ws(", ", F.concat(period, F.lit(f" {label}")), granules, date_range),
+            F.concat(period, F.lit(f" {label} ("), F.concat_ws(", ", year, granules), F.lit(")")))
+
+
+def aggregation_label(valid: DataFrame, cadence: str, stat: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Granule count, date range and the period word the dates justify."""
+    facts = valid.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_granules"),
+        F.to_date(F.min("ts")).alias("_start"), F.to_date(F.max("ts")).alias("_end"),
+    )
+    label, suffix = label_columns(cadence, stat)
     return facts.select(
-        *keys, "n_granules", start.alias("start_date"), end.alias("end_date"),
-        F.concat_ws(", ", F.concat(period, F.lit(f" {label}")), granules, date_range).alias("aggregation_label"),
-        F.concat(period, F.lit(f" {label} ("), F.concat_ws(", ", year, granules), F.lit(")")).alias("title_suffix"),
+        *keys, "n_granules", F.col("_start").cast("string").alias("start_date"), F.col("_end").cast("string").alias("end_date"),
+        label.alias("aggregation_label"), suffix.alias("title_suffix"),
     )
 
 
@@ -272,13 +278,16 @@ def evidence_facts(
     )
 
 
-def evidence_summary(charts: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The evidence each chart can be judged by, with a flag whether there is any.
+def evidence_summary(charts: DataFrame, facts: DataFrame, keys: Sequence[str], known: Column | None = None) -> DataFrame:
+    """The evidence each chart can be judged by, whether there is any, and the `reason` where there is none.
 
-    `charts` holds one row per chart with `keys`; `facts` come from `evidence_facts` over the same keys.
+    `charts` holds one row per chart that was asked for with `keys`; `facts` come from `evidence_facts` over the same keys. `known`
+    tells of a chart's row whether anything is known of how the chart was made; without it that is so for all.
     """
     listed = facts.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.array_sort(F.array_agg(F.struct("name", "role", "value", "units", "coverage", "pct_of_science"))).alias("evidence")
     )
-    joined = charts.join(listed, list(keys), "left")
-    return joined.withColumn("has_evidence", F.coalesce(F.col("_n") > 0, F.lit(False))).drop("_n")
+    joined = charts.withColumn("_known", F.lit(True) if known is None else F.coalesce(known, F.lit(False))).join(listed, list(keys), "left")
+    has = F.coalesce(F.col("_known") & (F.col("_n") > 0), F.lit(False))
+    reason = F.when(~F.col("_known"), "nothing is recorded of this chart").when(~has, "no companion band with values was read for this chart")
+    return joined.withColumns({"evidence": F.when(has, F.col("evidence")), "has_evidence": has, "reason": reason}).drop("_n", "_known")
