@@ -6,6 +6,23 @@ from pyspark.sql import functions as F
 
 from cellwright.catalog.fixtures import ctes, fixture
 from cellwright.operators import inventory as I
+from cellwright.session import fresh_path
+from cellwright.sources import collections as K
+
+
+def _registry_file(s, d):
+    """The registry written as a file, with torn lines, words for numbers, and names that several entries claim, and what is wrong with it."""
+    path = fresh_path(s, "registry")
+    c = fixture(s, d, "fx_collections")
+    key, n = F.col("registry_key"), F.col("key_no")
+    row = F.to_json(F.struct(
+        F.when(n % 61 != 3, key).alias("registry_key"), "collection_id", "short_name", "cadence", "primary_var", "units",
+        F.when(n % 89 == 7, "none").otherwise(F.col("fill_value").cast("string")).alias("fill_value"), F.col("valid_min").cast("string").alias("valid_min"), "valid_max",
+        F.when(n % 71 == 4, F.array(F.lit("shared"))).otherwise(F.array(F.concat(F.lit("alias of "), key))).alias("aliases")))
+    row = F.when(n % 97 == 5, F.concat(F.lit('{"registry_key": '), key)).otherwise(row)
+    lines = c.select(F.explode(F.when(n % 83 == 9, F.array(row, row)).otherwise(F.array(row))).alias("value"))
+    lines.write.text(path)
+    return K.registry_problems(K.read_entries(s, path)).groupBy("failures").agg(F.count("*").alias("n"))
 
 
 def _any(text: str, words, form: str) -> str:
@@ -167,6 +184,17 @@ QUERIES = {
         ctes("fx_collections") + """SELECT registry_key, failures FROM (SELECT registry_key, concat_ws('; ', CASE WHEN units = '' THEN 'units is required' END, CASE WHEN fill_value IS NULL THEN 'fill_value is required' END,
         CASE WHEN valid_min IS NULL THEN 'valid_min is required' END, CASE WHEN valid_max IS NULL THEN 'valid_max is required' END, CASE WHEN valid_min > valid_max THEN 'valid_min must be <= valid_max' END) AS failures FROM fx_collections) WHERE failures <> ''""",
     ),
+    "registry_problems": (
+        _registry_file,
+        ctes("fx_collections", e="""SELECT key_no % 2 = 0 AS twice, key_no, registry_key, concat('C', key_no) AS alias, key_no % 97 = 5 AS torn, key_no % 89 = 7 AS wordy, cadence, units, fill_value, valid_min, valid_max,
+             key_no % 61 = 3 AS keyless, key_no % 83 = 9 AS again, key_no % 71 = 4 AS claimed FROM fx_collections""",
+             f="""SELECT key_no, torn, CASE WHEN torn THEN ['the line is not a JSON object of the registry''s form'] ELSE list_sort(list_filter([
+               CASE WHEN keyless THEN 'registry_key is required' END, CASE WHEN units = '' THEN 'units is required' END, CASE WHEN wordy THEN 'fill_value is not a number' WHEN fill_value IS NULL THEN 'fill_value is required' END,
+               CASE WHEN valid_min IS NULL THEN 'valid_min is required' END, CASE WHEN valid_max IS NULL THEN 'valid_max is required' END, CASE WHEN valid_min > valid_max THEN 'valid_min must be <= valid_max' END,
+               CASE WHEN again AND NOT keyless THEN concat('name ', registry_key, ' is claimed by 2 entries') END, CASE WHEN again AND NOT keyless AND NOT claimed THEN concat('name alias of ', registry_key, ' is claimed by 2 entries') END, CASE WHEN claimed AND NOT keyless THEN concat('name shared is claimed by ', (SELECT count(*) FROM e WHERE claimed AND NOT keyless AND NOT torn) + (SELECT count(*) FROM e WHERE claimed AND again AND NOT keyless AND NOT torn), ' entries') END],
+               lambda x: x IS NOT NULL)) END AS faults, again FROM e""")
+        + """SELECT failures, count(*) AS n FROM (SELECT array_to_string(faults, '; ') AS failures FROM f UNION ALL SELECT array_to_string(faults, '; ') FROM f WHERE again) WHERE failures <> '' GROUP BY failures""",
+    ),
     "registry_qa_audit": (
         lambda s, d: I.registry_qa_audit(fixture(s, d, "fx_collections"), _flagless(s, d)),
         ctes("fx_collections") + """SELECT registry_key, CASE WHEN quality_flag_var IS NULL AND key_no % 3 <> 0 THEN 'unaccounted' ELSE 'contradiction' END AS status FROM fx_collections

@@ -336,9 +336,13 @@ def resolve_variable(inventory: DataFrame) -> DataFrame:
 
 # --- Registry -------------------------------------------------------------------------------------
 
-def registry_failures(registry: DataFrame) -> DataFrame:
-    """Registry rows that break a constraint, with all of their failures together."""
-    missing = lambda c: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.concat(F.lit(c), F.lit(" is required")))
+def registry_failures(registry: DataFrame, reported: Column | None = None) -> DataFrame:
+    """Registry rows that break a constraint, with all of their failures together.
+
+    `reported` lists columns of the row whose fault is known already; those do not count as missing.
+    """
+    told = F.array().cast("array<string>") if reported is None else reported
+    missing = lambda c: F.when((F.coalesce(F.col(c).cast("string"), F.lit("")) == "") & ~F.array_contains(told, F.lit(c)), F.concat(F.lit(c), F.lit(" is required")))
     checks = [missing(c) for c in ("collection_id", "primary_var", "units", "fill_value", "valid_min", "valid_max")]
     checks.append(F.when(~F.coalesce(F.col("cadence").isin("hourly", "daily", "monthly"), F.lit(False)), F.lit("cadence is unknown")))
     checks.append(F.when(F.col("valid_min") > F.col("valid_max"), F.lit("valid_min must be <= valid_max")))
