@@ -24,6 +24,7 @@ from cellwright.llm.words import TOKEN_CLASSES, mixed, slices, tokens, word_hash
 BITS = 18
 SAMPLE = 20_000
 EPOCHS = 4
+FEW = 256
 THRESHOLD = 0.3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 1.0
 _U = np.uint64
@@ -60,25 +61,32 @@ def scores(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
 
 
 def fit_rows(texts: pa.Array, labels: np.ndarray, order: np.ndarray, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights after FTRL-proximal updates, one document at a time in `order`. Features are made as they are needed, a slice at a time."""
-    texts, labels = texts.cast(pa.large_string()).take(pa.array(order)), labels[order]
+    """Weights after FTRL-proximal updates, one document at a time in `order`.
+
+    Features are made as they are needed, for a few documents at a time; the texts are not copied as a whole.
+    """
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
 
     def weight(zs: np.ndarray, ns: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zs) <= L1, 0.0, (np.sign(zs) * L1 - zs) / ((BETA + np.sqrt(ns)) / ALPHA + L2))
 
+    def parts() -> Iterator[tuple[float, np.ndarray]]:
+        for start in range(0, len(order), FEW):
+            some = order[start:start + FEW]
+            own = iter(labels[some])
+            for grams, bounds in features(pa.array([texts[int(k)].as_py() for k in some], pa.large_string()), bits):
+                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                    yield next(own), grams[a:b]
+
     for _ in range(epochs):
-        done = 0
-        for grams, bounds in features(texts, bits):
-            for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True), done):
-                at, count = np.unique(grams[a:b], return_counts=True)
-                x = (count / np.sqrt(max(1, b - a))).astype(np.float32)
-                zs, ns = z[at], n[at]
-                w = weight(zs, ns)
-                g = (logistic(w @ x) - labels[k]) * x
-                z[at] = zs + g - (np.sqrt(ns + g * g) - np.sqrt(ns)) / ALPHA * w
-                n[at] = ns + g * g
-            done += len(bounds) - 1
+        for label, grams in parts():
+            at, count = np.unique(grams, return_counts=True)
+            x = (count / np.sqrt(max(1, len(grams)))).astype(np.float32)
+            zs, ns = z[at], n[at]
+            w = weight(zs, ns)
+            g = (logistic(w @ x) - label) * x
+            z[at] = zs + g - (np.sqrt(ns + g * g) - np.sqrt(ns)) / ALPHA * w
+            n[at] = ns + g * g
     return weight(z, n).astype(np.float32)
 
 
@@ -90,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
 
     def train(batch: pa.Table) -> pa.Table:
         order = np.argsort(mixed(column(batch, "doc_id").to_numpy(zero_copy_only=False).astype(np.int64).view(_U)), kind="stable")
-        found = fit_rows(column(batch, "text"), column(batch, "label").to_numpy(zero_copy_only=False), order, bits)
+        found = fit_rows(batch.column("text"), column(batch, "label").to_numpy(zero_copy_only=False), order, bits)
         return pa.table({"weights": pa.array([found.tobytes()], pa.binary())})
 
     found = rows.groupBy(F.lit(0).alias("all")).applyInArrow(train, "weights binary").first()
