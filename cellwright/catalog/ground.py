@@ -108,6 +108,9 @@ _COVERAGE = """SELECT DISTINCT m.site_id, (SELECT count(DISTINCT ts) FROM fx_hou
   FROM mon m LEFT JOIN (SELECT site_id, count(DISTINCT ts) AS n FROM rows_ WHERE value IS NOT NULL GROUP BY site_id) v ON v.site_id = m.site_id"""
 
 
+_UNITS = "CASE WHEN CAST(split_part(site_id, '-', 3) AS INT) % 3 = 0 THEN 'ppm' ELSE 'ppb' END"
+
+
 def _jsql(body: str, mon: str = _MON, **extra: str) -> str:
     return ctes("fx_hourly", "fx_monitors", "fx_daily", masked=MASKED_HOURLY, mon=mon, near=_NEAR, rows_=_ROWS, ground=_GROUND, pairs=_PAIRS, **extra) + body
 
@@ -129,12 +132,14 @@ def _coverage(s, d):
 
 
 def _pairs(s, d):
-    return J.pair_daily(_rows(s, d), V.daily_means(_numbered(s, d)))
+    return J.pair_daily(_rows(s, d), V.daily_means(_numbered(s, d))).drop("ground_units")
 
 
 def _validate(s, d):
-    return r6(V.validate_against_ground(fixture(s, d, "fx_hourly"), fixture(s, d, "fx_monitors"), _numbered(s, d), _mask, BOX, 3),
-              "r", "coverage_fraction", "series_coverage").withColumns({n: F.col(n).cast("double") for n in ("n_total", "n_valid", "n_excluded")})
+    """Every third site reports in other units."""
+    records = _numbered(s, d).withColumn("units_of_measure", F.when(F.col("site_number").cast("int") % 3 == 0, "ppm").otherwise("ppb"))
+    got = V.validate_against_ground(fixture(s, d, "fx_hourly"), fixture(s, d, "fx_monitors"), records, _mask, BOX, 3, units="mol/m2")
+    return r6(got, "r", "coverage_fraction", "series_coverage").withColumns({n: F.col(n).cast("double") for n in ("n_total", "n_valid", "n_excluded")})
 
 
 def _overlay(s, d):
@@ -142,6 +147,12 @@ def _overlay(s, d):
     return as_text(V.exceedance_overlay(fixture(s, d, "fx_hourly"), fixture(s, d, "fx_monitors"), records, _mask, BOX, 3, hard=100.0, percentile=95.0), "ts")
 
 
+def _indexed(s, d):
+    """Records of one standard with an index as the feed gives it: whole numbers as text, empty for some records."""
+    index = F.when(F.col("first_max_hour") % 4 > 0, F.floor(F.col("first_max_value") / 2).cast("string")).otherwise("")
+    return G.filter_standard(fixture(s, d, "fx_daily"), "click").withColumn("aqi", index)
+
+
 def _reports(s, d):
     """Three parameters, each under its own standard; the third with a limit of its own."""
     named = {"click": "Ozone 8-hour 2015", "view": "PM25 24-hour 2024", "error": "CO 8-hour 1971"}
@@ -153,7 +164,7 @@ def _reports(s, d):
     for code, limit in (("44201", None), ("88101", None), ("42101", 50.0)):
         one = G.exceedance_report(records, code, limit).withColumn("param_code", F.lit(code))
         out = one if out is None else out.unionByName(one)
-    return r6(out, "value").withColumn("triggered", F.array_join("triggered", ","))
+    return r6(out, "value").drop("aqi").withColumn("triggered", F.array_join("triggered", ","))
 
 
 _CUT = """SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY first_max_value) - 1 AS pos, count(*) OVER (PARTITION BY site_id) AS n FROM rec"""
@@ -186,8 +197,8 @@ QUERIES = {
         sample_measurement AS value, units_of_measure AS units, sample_duration, qualifier, method, local_site_name FROM fx_samples""",
     ),
     "site_cap": (
-        lambda s, d: G.site_cap(_periodic(s, d)),
-        ctes("fx_quarterly") + f"SELECT DISTINCT {SID} AS site_id FROM fx_quarterly ORDER BY 1 LIMIT 25",
+        lambda s, d: G.site_cap(_periodic(s, d), 25),
+        ctes("fx_quarterly") + f"SELECT site_id, row_number() OVER (ORDER BY site_id) <= 25 AS within FROM (SELECT DISTINCT {SID} AS site_id FROM fx_quarterly)",
     ),
     "peak_record": (
         lambda s, d: r6(G.peak_record(_numbered(s, d), "daily"), "peak_value"),
@@ -202,20 +213,26 @@ QUERIES = {
     ),
     "summary_totals": (
         lambda s, d: G.summary_totals(_periodic(s, d), "quarterly"),
-        ctes("fx_quarterly") + f"""SELECT count(DISTINCT {SID}) AS total_sites_matched, least(count(DISTINCT {SID}), 25) AS sites_returned, count(DISTINCT [{SID}, concat(year, '-Q', quarter)]) AS total_periods_matched FROM fx_quarterly""",
+        ctes("fx_quarterly") + f"""SELECT count(DISTINCT {SID}) AS total_sites_matched, count(DISTINCT {SID}) AS sites_returned, count(DISTINCT [{SID}, concat(year, '-Q', quarter)]) AS total_periods_matched FROM fx_quarterly""",
     ),
     "percentile_cutoff": (
         lambda s, d: r6(G.percentile_cutoff(fixture(s, d, "fx_daily").withColumn("site_id", J.site_id()), "first_max_value", 90.0, ["site_id"]), "cutoff"),
         ctes("fx_daily", rec=f"SELECT *, {SID} AS site_id FROM fx_daily", c=_CUT) + "SELECT site_id, n, round(first_max_value, 6) AS cutoff FROM c WHERE pos = least(CAST(floor(n * 90.0 / 100) AS BIGINT), n - 1)",
     ),
     "exceedance_days": (
-        lambda s, d: G.exceedance_days(G.filter_standard(fixture(s, d, "fx_daily"), "click"), hard=150.0, percentile=90.0, start="2024-01-02").withColumn("triggered", F.array_join("triggered", ",")),
+        lambda s, d: G.exceedance_days(_indexed(s, d), hard=150.0, percentile=90.0, start="2024-01-02").withColumn("triggered", F.array_join("triggered", ",")),
         ctes("fx_daily", rec=f"SELECT *, {SID} AS site, 'all' AS site_id FROM fx_daily WHERE pollutant_standard = 'click' AND date_local >= '2024-01-02'", c=_CUT,
              cut="SELECT first_max_value AS cutoff FROM c WHERE pos = least(CAST(floor(n * 90.0 / 100) AS BIGINT), n - 1)")
-        + """SELECT date_local AS date, site AS site_id, first_max_value AS value, local_site_name,
+        + """SELECT date_local AS date, site AS site_id, first_max_value AS value, local_site_name, CAST(CASE WHEN first_max_hour % 4 > 0 THEN floor(first_max_value / 2) END AS DOUBLE) AS aqi,
         CASE WHEN first_max_value > 150 AND first_max_value >= cutoff THEN 'hard,percentile' WHEN first_max_value > 150 THEN 'hard' ELSE 'percentile' END AS triggered
         FROM rec, cut WHERE first_max_value > 150 OR first_max_value >= cutoff""",
     ),
+    "exceedance_facts": (
+        lambda s, d: r6(G.exceedance_facts(_indexed(s, d), hard=150.0, percentile=90.0, start="2024-01-02"), "cutoff"),
+        ctes("fx_daily", rec=f"SELECT *, {SID} AS site, 'all' AS site_id FROM fx_daily WHERE pollutant_standard = 'click' AND date_local >= '2024-01-02'", c=_CUT)
+        + """SELECT 'first_max_value' AS field, CAST(150 AS DOUBLE) AS hard, CAST(90 AS DOUBLE) AS percentile, (SELECT round(first_max_value, 6) FROM c WHERE pos = least(CAST(floor(n * 90.0 / 100) AS BIGINT), n - 1)) AS cutoff,
+        count(*) AS records_matched, count(first_max_value) AS records_with_value, count(DISTINCT date_local) AS dates_matched, count(DISTINCT site) AS sites_matched, min(date_local) AS first_date, max(date_local) AS last_date FROM rec""",
+    ),
     "exceedance_report": (
         _reports,
         ctes("fx_daily") + f"""SELECT date_local AS date, {SID} AS site_id, CASE pollutant_standard WHEN 'view' THEN round(arithmetic_mean, 6) ELSE round(first_max_value, 6) END AS value, 'hard' AS triggered, local_site_name,
@@ -278,7 +295,9 @@ QUERIES = {
         _jsql(f""", s AS (SELECT site_id, round({_R}, 6) AS r, count(*) AS n, round(count(*) / (SELECT count(*) FROM ground g WHERE g.site_id = pairs.site_id), 6) AS coverage_fraction
         FROM pairs GROUP BY site_id)
         SELECT site_id, r, coalesce(n, 0) AS n, coalesce(coverage_fraction, 0) AS coverage_fraction, CAST(n_total AS DOUBLE) AS n_total, CAST(n_valid AS DOUBLE) AS n_valid,
-        CAST(n_total - n_valid AS DOUBLE) AS n_excluded, round(n_valid / n_total, 6) AS series_coverage FROM ({_COVERAGE}) LEFT JOIN s USING (site_id) UNION ALL SELECT NULL, round({_R}, 6), count(*), 1, NULL, NULL, NULL, NULL FROM pairs HAVING count(*) > 0""", _MON_BOX),
+        CAST(n_total - n_valid AS DOUBLE) AS n_excluded, round(n_valid / n_total, 6) AS series_coverage, gu.u AS ground_units, 'mol/m2' AS satellite_units FROM ({_COVERAGE}) LEFT JOIN s USING (site_id)
+        LEFT JOIN (SELECT DISTINCT site_id, {_UNITS} AS u FROM ground) gu USING (site_id)
+        UNION ALL SELECT NULL, round({_R}, 6), count(*), 1, NULL, NULL, NULL, NULL, string_agg(DISTINCT {_UNITS}, ', ' ORDER BY {_UNITS}), 'mol/m2' FROM pairs HAVING count(*) > 0""", _MON_BOX),
     ),
     "exceedance_overlay": (
         _overlay,

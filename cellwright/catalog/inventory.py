@@ -105,8 +105,8 @@ _RES = """SELECT f.file_id, (SELECT name FROM cand c WHERE c.file_id = f.file_id
   (SELECT count(*) FROM sc2 c WHERE c.file_id = f.file_id AND NOT plumbing AND NOT hit AND frac <= 0) AS excluded_empty
   FROM (SELECT DISTINCT file_id FROM sc2) f"""
 _RES2 = """SELECT r.*, (SELECT count(*) FROM cand c WHERE c.file_id = r.file_id AND c.strong AND NOT c.plumbing AND c.decile = r.top.decile) AS serious,
-  (SELECT string_agg(label, ', ' ORDER BY rank) FROM (SELECT label, rank, row_number() OVER (ORDER BY rank) AS k FROM cand c WHERE c.file_id = r.file_id AND c.strong AND NOT c.plumbing AND c.decile = r.top.decile AND c.name <> r.top.name) q
-    WHERE k <= 4 AND label <> r.top.label) AS alts FROM res r"""
+  (SELECT string_agg(label, ', ' ORDER BY rank) FROM cand c WHERE c.file_id = r.file_id AND c.strong AND NOT c.plumbing AND c.decile = r.top.decile AND c.name <> r.top.name
+    AND label <> r.top.label) AS alts FROM res r"""
 
 _AXIS = """SELECT file_id, ordinal, name, n_dims, is_dim, is_ref,
   trim(standard_name) IS NOT DISTINCT FROM 'latitude' OR coalesce(units IN ('degrees_north', 'degree_N'), false) AS mlat,
@@ -172,8 +172,8 @@ QUERIES = {
         CASE WHEN asked_name IS NOT NULL OR coalesce(top.strong, false) THEN 'high' WHEN n = 1 THEN 'medium' ELSE 'low' END AS resolution_confidence,
         CASE WHEN asked_name IS NULL AND coalesce(top.strong, false) AND serious >= 2 THEN 'high' ELSE 'low' END AS scientific_ambiguity, excluded_empty,
         CASE WHEN asked_name IS NOT NULL THEN NULL
-             WHEN top.strong AND serious >= 2 AND alts IS NOT NULL THEN concat('Note: this product has several distinct variables; showing ', top.label, ' (highest-ranked populated field). Other products available: ', alts, '.')
-             WHEN (top.strong AND serious >= 2) OR (n = 1 AND NOT top.strong) THEN concat('Note: showing ', top.label, ' (highest-ranked populated field).') END AS disclosure FROM res2""",
+             WHEN top.strong AND serious >= 2 AND alts IS NOT NULL THEN concat(top.label, ' ranks first among the variables with data; the file could as well be about ', alts)
+             WHEN (top.strong AND serious >= 2) OR (n = 1 AND NOT top.strong) THEN concat(top.label, ' ranks first among the variables with data') END AS disclosure FROM res2""",
     ),
     "excluded_empty": (
         lambda s, d: I.excluded_empty(_requested(s, d)),

@@ -129,8 +129,8 @@ QUERIES = {
     "scope_audit": (
         lambda s, d: R.scope_audit(_scopes(s, d)).select("o_orderkey", "time_differs", "place_differs", "note"),
         f"""WITH s AS ({_SCOPES}), f AS (SELECT *, at IS NOT NULL AND at <> dt AS td, n = 3 AS pd FROM s) SELECT o_orderkey, td AS time_differs, pd AS place_differs,
-        CASE WHEN td OR pd THEN concat('Note: ', concat_ws('; ', CASE WHEN td THEN concat('you asked for ', CASE WHEN at = d THEN d ELSE concat(d, ' to ', at) END, ', but the data shown covers ', CASE WHEN dt = d THEN d ELSE concat(d, ' to ', dt) END, CASE WHEN n = 3 THEN ' (this is a monthly product)' ELSE '' END) END,
-        CASE WHEN pd THEN 'you asked about Texas, but the data shown covers California, United States' END), '.') END AS note FROM f""".replace("at IS NOT NULL AND at <> dt", "\"at\" IS NOT NULL AND \"at\" <> dt").replace("WHEN at = d THEN d ELSE concat(d, ' to ', at)", "WHEN \"at\" = d THEN d ELSE concat(d, ' to ', \"at\")").replace("l3 END AS at,", "l3 END AS \"at\","),
+        CASE WHEN td OR pd THEN concat_ws('; ', CASE WHEN td THEN concat(CASE WHEN at = d THEN d ELSE concat(d, ' to ', at) END, ' was wanted, ', CASE WHEN dt = d THEN d ELSE concat(d, ' to ', dt) END, ' is given', CASE WHEN n = 3 THEN ', from monthly data' ELSE '' END) END,
+        CASE WHEN pd THEN 'Texas was wanted, California, United States is given' END) END AS note FROM f""".replace("at IS NOT NULL AND at <> dt", "\"at\" IS NOT NULL AND \"at\" <> dt").replace("WHEN at = d THEN d ELSE concat(d, ' to ', at)", "WHEN \"at\" = d THEN d ELSE concat(d, ' to ', \"at\")").replace("l3 END AS at,", "l3 END AS \"at\","),
     ),
     "granule_totals": (
         lambda s, d: r6(R.granule_totals(_granules(s, d), ["dataset"]), "total_size_mb"),

@@ -19,7 +19,6 @@ PLACEHOLDERS = [
     "", "site", "site_id", "site_number", "station_id", "monitor",
     "monitor_id", "unknown", "n/a", "na", "??",
 ]
-SITE_CAP = 25
 # parameter code: standard, measured field, limit, units
 REGULATORY_LIMITS = {
     "42602": ("NO2 1-hour 2010", "first_max_value", 100.0, "ppb"),
@@ -118,11 +117,17 @@ def peak_value(records: DataFrame, period: str) -> Column:
     return F.coalesce(own, float_or_none(_column(records, "maximum_value")), float_or_none(_column(records, "arithmetic_mean")))
 
 
-def site_cap(records: DataFrame, cap: int = SITE_CAP) -> DataFrame:
+def first_sites(records: DataFrame, cap: int) -> DataFrame:
     """The first `cap` site ids in sort order: each task keeps its own first ones."""
     return records.select(site_id().alias("site_id")).distinct().orderBy("site_id").limit(cap)
 
 
+def site_cap(records: DataFrame, cap: int) -> DataFrame:
+    """Every site id, and whether it is `within` the first `cap` in sort order."""
+    sites = records.select(site_id().alias("site_id")).distinct()
+    return sites.join(first_sites(records, cap).withColumn("within", F.lit(True)), "site_id", "left").withColumn("within", F.coalesce("within", F.lit(False)))
+
+
 def peak_record(records: DataFrame, period: str, keys: Sequence[str] = ("site_id", "period")) -> DataFrame:
     """The record with the highest value per site and period; the first one wins ties."""
     rows = records.withColumns({"site_id": site_id(), "period": period_key(period), "_v": peak_value(records, period)})
@@ -145,7 +150,7 @@ def ground_summary(records: DataFrame, period: str, cap: int | None = None) -> D
     rows = records.withColumns({"site_id": site_id(), "period": period_key(period)})
     if cap is not None:
         # At most `cap` short rows.
-        rows = rows.join(F.broadcast(site_cap(records, cap)), "site_id", "left_semi")
+        rows = rows.join(F.broadcast(first_sites(records, cap)), "site_id", "left_semi")
     number = lambda name: float_or_none(_column(records, name))
     top = F.when(_column(records, "maximum_value").isNotNull(), number("maximum_value")).otherwise(number("first_max_value"))
     rows = rows.withColumns({
@@ -174,13 +179,13 @@ def ground_summary(records: DataFrame, period: str, cap: int | None = None) -> D
     )
 
 
-def summary_totals(records: DataFrame, period: str, cap: int = SITE_CAP) -> DataFrame:
-    """Sites and periods matched before the cap, and sites returned after it."""
+def summary_totals(records: DataFrame, period: str, cap: int | None = None) -> DataFrame:
+    """Sites and periods matched, and sites returned: all of them, but for a `cap` that the caller gives."""
     groups = records.select(site_id().alias("site_id"), period_key(period).alias("period")).distinct()
     per_site = groups.groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
     return per_site.groupBy().agg(
         F.count(F.lit(1)).alias("total_sites_matched"),
-        F.least(F.count(F.lit(1)), F.lit(cap)).alias("sites_returned"),
+        (F.count(F.lit(1)) if cap is None else F.least(F.count(F.lit(1)), F.lit(cap))).alias("sites_returned"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_periods_matched"),
     )
 
@@ -200,19 +205,13 @@ def exceedance_days(
     records: DataFrame, field: str = "first_max_value", hard: float | None = None, percentile: float | None = None,
     start: str | None = None, end: str | None = None,
 ) -> DataFrame:
-    """Records over a fixed limit and/or at or above the cutoff of all matched records, by date.
+    """Records over a fixed limit and/or at or above the cutoff of all matched records, by date, with the feed's own index.
 
-    The date window has the bounds that are given, inclusive.
+    The date window has the bounds that are given, inclusive. `exceedance_facts` tells what was matched and applied.
     """
     if hard is None and percentile is None:
         raise ValueError("Give at least one of: hard, percentile.")
-    rows = records.withColumn("_date", F.to_date("date_local"))
-    if start is not None:
-        first = F.to_date(F.lit(start))
-        rows = rows.where(F.col("_date") >= first)
-    if end is not None:
-        rows = rows.where(F.col("_date") <= F.to_date(F.lit(end)))
-    rows = rows.withColumn("value", float_or_none(field)).where(F.col("value").isNotNull())
+    rows = _matched(records, field, start, end).where(F.col("value").isNotNull())
     over = F.lit(None).cast("string")
     if hard is not None:
         over = F.when(F.col("value") > hard, F.lit("hard"))
@@ -222,10 +221,34 @@ def exceedance_days(
         top = F.when(F.col("value") >= cutoff, F.lit("percentile"))
     rows = rows.withColumn("triggered", F.array_compact(F.array(over, top))).where(F.size("triggered") > 0)
     return rows.select(
-        F.col("date_local").alias("date"), site_id().alias("site_id"), "value", "triggered", "local_site_name"
+        F.col("date_local").alias("date"), site_id().alias("site_id"), "value", float_or_none(_column(records, "aqi")).alias("aqi"), "triggered", "local_site_name"
     ).orderBy("date", "site_id")
 
 
+def exceedance_facts(
+    records: DataFrame, field: str = "first_max_value", hard: float | None = None, percentile: float | None = None,
+    start: str | None = None, end: str | None = None,
+) -> DataFrame:
+    """One row beside `exceedance_days` of the same arguments: the limits applied, the records matched, those with a value, and the dates and sites they span."""
+    rows = _matched(records, field, start, end)
+    facts = rows.groupBy().agg(
+        F.count(F.lit(1)).alias("records_matched"), F.count("value").alias("records_with_value"), F.count_distinct("date_local").alias("dates_matched"),
+        F.count_distinct(site_id()).alias("sites_matched"), F.min("date_local").alias("first_date"), F.max("date_local").alias("last_date"))
+    cutoff = F.lit(None).cast("double") if percentile is None else percentile_cutoff(rows, "value", percentile).select("cutoff").scalar()
+    number = lambda x: F.lit(None if x is None else float(x)).cast("double")
+    return facts.select(F.lit(field).alias("field"), number(hard).alias("hard"), number(percentile).alias("percentile"), cutoff.alias("cutoff"), *facts.columns)
+
+
+def _matched(records: DataFrame, field: str, start: str | None, end: str | None) -> DataFrame:
+    """The records of the date window with the measured field as `value`."""
+    rows = records.withColumn("_date", F.to_date("date_local"))
+    if start is not None:
+        rows = rows.where(F.col("_date") >= F.to_date(F.lit(start)))
+    if end is not None:
+        rows = rows.where(F.col("_date") <= F.to_date(F.lit(end)))
+    return rows.withColumn("value", float_or_none(field))
+
+
 def regulatory_rule(param_code: str, hard: float | None = None, percentile: float | None = None) -> dict:
     """Standard, measured field and limit of a parameter; an explicit limit wins over the regulatory one."""
     standard, field, limit, _ = REGULATORY_LIMITS.get(param_code, (None, "first_max_value", None, None))

@@ -79,7 +79,6 @@ GEOPHYSICAL_ROOTS = [
 SENSOR_RANK = {"terra": 0, "aqua": 1, "snpp": 2, "noaa20": 3, "noaa-20": 3, "viirs": 4}
 ALGORITHM_RANK = {"darktarget": 0, "dark_target": 0, "deepblue": 1, "deep_blue": 1}
 UNRANKED = 99
-MAX_ALTERNATIVES = 4
 
 # Identification of axes
 LAT_NAMES = ["lat", "latitude", "Latitude", "LAT"]
@@ -309,22 +308,16 @@ def resolve_variable(inventory: DataFrame) -> DataFrame:
         F.min("_asked").alias("_asked"), F.min("_top").alias("_top"), F.sum("_n").alias("_n"), F.sum("_empty").alias("excluded_empty"),
         F.max(F.when(F.col("_n") > 0, F.struct("decile", "_serious"))).alias("_best"),
     )
-    # The first few distinct products of a file: every task keeps only its own first ones.
-    place = F.row_number().over(Window.partitionBy("file_id").orderBy(*_rank_key()))
-    rivals = scored.where(serious).withColumn("_place", place).where(F.col("_place") <= MAX_ALTERNATIVES + 1)
-    rivals = rivals.groupBy("file_id").agg(F.array_sort(F.array_agg(F.struct("_place", "decile", "name", "label"))).alias("_rivals"))
+    # All the products a file could be about, in order: bounded by the file's variables.
+    rivals = scored.where(serious).groupBy("file_id").agg(F.array_sort(F.array_agg(F.struct(*_rank_key(), "label"))).alias("_rivals"))
     files = files.join(rivals, "file_id", "left")
     asked, strong_top = F.col("_asked").isNotNull(), F.coalesce("_top.strong", F.lit(False))
     ambiguous = strong_top & (F.col("_best._serious") >= 2) & ~asked
     single = (F.col("_n") == 1) & ~strong_top & ~asked
-    others = F.filter("_rivals", lambda r: (r["name"] != F.col("_top.name")) & (r["decile"] == F.col("_best.decile")))
-    labels = F.filter(F.transform(F.slice(others, 1, MAX_ALTERNATIVES), lambda r: r["label"]), lambda t: t != F.col("_top.label"))
-    start = F.lit("showing ")
-    note = F.when(
-        ambiguous & (F.size(labels) > 0),
-        F.concat(F.lit("Note: this product has several distinct variables; "), start, F.col("_top.label"),
-                 F.lit(" (highest-ranked populated field). Other products available: "), F.array_join(labels, ", "), F.lit(".")),
-    ).when(ambiguous | single, F.concat(F.lit("Note: "), start, F.col("_top.label"), F.lit(" (highest-ranked populated field).")))
+    others = F.filter("_rivals", lambda r: (r["name"] != F.col("_top.name")) & (-r["d"] == F.col("_best.decile")))
+    labels = F.filter(F.transform(others, lambda r: r["label"]), lambda t: t != F.col("_top.label"))
+    first = F.concat(F.col("_top.label"), F.lit(" ranks first among the variables with data"))
+    note = F.when(ambiguous & (F.size(labels) > 0), F.concat(first, F.lit("; the file could as well be about "), F.array_join(labels, ", "))).when(ambiguous | single, first)
     return files.select(
         "file_id",
         F.when(asked, F.col("_asked.name")).when(strong_top | single, F.col("_top.name")).alias("variable"),

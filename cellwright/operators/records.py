@@ -105,14 +105,12 @@ def scope_audit(results: DataFrame) -> DataFrame:
     loc, reg = F.trim(F.coalesce("location", F.lit(""))), F.trim(F.coalesce("region_name", F.lit("")))
     place_differs = (loc != "") & (reg != "") & (place_key(loc) != place_key(reg))
     cadence = F.trim(F.coalesce("cadence", F.lit("")))
-    product = F.when((cadence != "") & (F.lower(cadence) != "unknown"), F.concat(F.lit(" (this is a "), cadence, F.lit(" product)"))).otherwise("")
+    kind = F.when((cadence != "") & (F.lower(cadence) != "unknown"), F.concat(F.lit(", from "), cadence, F.lit(" data"))).otherwise("")
+    unlike = lambda asked, given: F.concat(asked, F.lit(" was wanted, "), given, F.lit(" is given"))
     clauses = F.array_compact(F.array(
-        F.when(time_differs, F.concat(F.lit("you asked for "), span("_af", "_at"), F.lit(", but the data shown covers "), span("_df", "_dt"), product)),
-        F.when(place_differs, F.concat(F.lit("you asked about "), loc, F.lit(", but the data shown covers "), reg)),
-    ))
+        F.when(time_differs, F.concat(unlike(span("_af", "_at"), span("_df", "_dt")), kind)), F.when(place_differs, unlike(loc, reg))))
     return rows.withColumns({
-        "time_differs": time_differs, "place_differs": place_differs,
-        "note": F.when(F.size(clauses) > 0, F.concat(F.lit("Note: "), F.array_join(clauses, "; "), F.lit("."))),
+        "time_differs": time_differs, "place_differs": place_differs, "note": F.when(F.size(clauses) > 0, F.array_join(clauses, "; ")),
     }).drop("_af", "_at", "_df", "_dt")
 
 

@@ -121,9 +121,9 @@ def regional_statistics(cells: DataFrame, cadence: str, keys: Sequence[str] = ()
         F.count(F.when(is_finite("mean"), 1)).alias("n_pixels"),
     )
     return _with_median(stats, fields, keys, "mean").withColumns({
-        "mean_basis": F.lit("cos(latitude) area-weighted spatial mean of the temporal-mean field"),
-        "extreme_basis": F.lit("over every valid observation (all timesteps)"),
-        "spread_basis": F.lit("of the temporal-mean field (per-cell mean over time first)"),
+        "mean_basis": F.lit("mean over time per cell, then over the cells by their area"),
+        "extreme_basis": F.lit("all valid observations"),
+        "spread_basis": F.lit("mean over time per cell, then unweighted over the cells"),
     })
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,17 +26,25 @@ def region_monitors(monitors: DataFrame, box: Box, k: int) -> DataFrame:
 
 
 def daily_means(records: DataFrame) -> DataFrame:
-    """Ground mean per site and date, over all sites."""
+    """Ground mean per site and date with its units, over all sites."""
     return G.ground_summary(records, "daily", cap=None).select(
-        "site_id", F.col("period").alias("date"), F.col("mean").alias("ground")
+        "site_id", F.col("period").alias("date"), F.col("mean").alias("ground"), F.col("units").alias("ground_units")
     )
 
 
+def stated_units(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The units that a group's rows state; several are listed, none is NULL."""
+    told = F.array_join(F.array_sort(F.collect_set(F.nullif(F.trim("ground_units"), F.lit("")))), ", ")
+    return rows.groupBy(*keys).agg(F.nullif(told, F.lit("")).alias("ground_units"))
+
+
 def validate_against_ground(
     cells: DataFrame, monitors: DataFrame, records: DataFrame, mask: Callable[[DataFrame], DataFrame], box: Box, k: int = 10,
-    grid: DataFrame | None = None,
+    grid: DataFrame | None = None, units: str | None = None,
 ) -> DataFrame:
-    """Correlation, pair count and coverage of every site, paired or not, and a pooled row with a NULL site.
+    """Correlation, pair count, coverage and both units of every site, paired or not, and a pooled row with a NULL site.
+
+    `units` are those of the cells. The pooled row is over the sites' pairs, whatever units they state.
 
     The grid's survey, kept or made here in one pass, gives the cells of the sites and the timesteps; the cells themselves
     are read once, within the bounds of those sites.
@@ -48,9 +56,11 @@ def validate_against_ground(
     pairs = settle(J.pair_daily(rows, ground), "pairs")
     coverage = J.series_coverage(rows, sites, timesteps(grid)).withColumnRenamed("coverage_fraction", "series_coverage")
     site = coverage.join(J.correlation_stats(pairs, ground), "site_id", "left").na.fill({"n": 0, "coverage_fraction": 0.0})
-    pooled = J.correlation_stats(pairs, None, ()).where(F.col("n") > 0)
-    columns = ["site_id", "r", "n", "coverage_fraction", "n_total", "n_valid", "n_excluded", "series_coverage"]
-    return site.select(columns).unionByName(pooled, allowMissingColumns=True).select(columns)
+    site = site.join(stated_units(ground, ["site_id"]), "site_id", "left")
+    pooled = J.correlation_stats(pairs, None, ()).where(F.col("n") > 0).withColumn("ground_units", stated_units(pairs, []).scalar())
+    columns = ["site_id", "r", "n", "coverage_fraction", "n_total", "n_valid", "n_excluded", "series_coverage", "ground_units"]
+    both = site.select(columns).unionByName(pooled, allowMissingColumns=True).select(columns)
+    return both.withColumn("satellite_units", F.lit(units).cast("string"))
 
 
 def exceedance_overlay(

@@ -32,7 +32,8 @@ def test_summary_has_all_sites_unless_capped(spark):
     assert G.ground_summary(df, "daily").count() == 40
     assert sorted(r["site_id"] for r in G.ground_summary(df, "daily", cap=25).collect()) == [f"34-019-{s:04d}" for s in range(25)]
     totals = G.summary_totals(df, "daily").collect()[0]
-    assert tuple(totals) == (40, 25, 40)
+    assert tuple(totals) == (40, 40, 40) and tuple(G.summary_totals(df, "daily", cap=25).collect()[0]) == (40, 25, 40)
+    assert sorted(r["site_id"] for r in G.site_cap(df, 25).where("within").collect()) == [f"34-019-{s:04d}" for s in range(25)] and G.site_cap(df, 25).count() == 40
 
 
 @pytest.mark.parametrize("codes, want", [

@@ -38,7 +38,9 @@ def test_variable_of_a_file(spark):
     assert (clear["variable"], clear["resolution_confidence"], clear["scientific_ambiguity"], clear["excluded_empty"]) == ("terra/Mean", "high", "low", 1)
     fork = resolve([("aqua/Mean", None, "1"), ("terra/Mean", None, "1")])
     assert (fork["variable"], fork["scientific_ambiguity"]) == ("terra/Mean", "high")
-    assert fork["disclosure"].endswith("Other products available: aqua/Mean.")
+    assert fork["disclosure"].endswith("the file could as well be about aqua/Mean")
+    many = resolve([(f"g{k}/no2_column_{k}", None, "1") for k in range(9)])  # all of them are named, not the first few
+    assert many["disclosure"] is None or len(many["disclosure"].split("about ")[1].split(", ")) == 8
     weak = resolve([("no2_a",), ("no2_b",)])
     assert (weak["variable"], weak["resolution_confidence"]) == (None, "low")
     single = resolve([("no2_a",)])

@@ -95,8 +95,7 @@ def test_scope_notes(spark):
             ("2024-01-05", "Paris", "2024-01-01", "2024-01-31", "Paris, Texas", "monthly"), (None, "Rome", None, None, "Milan", None)]
     df = spark.createDataFrame(rows, "time_range string, location string, start_date string, end_date string, region_name string, cadence string")
     notes = [r["note"] for r in L.scope_audit(df).collect()]
-    assert notes == [None, "Note: you asked for 2024-01-05, but the data shown covers 2024-01-01 to 2024-01-31 (this is a monthly product).",
-                     "Note: you asked about Rome, but the data shown covers Milan."]
+    assert notes == [None, "2024-01-05 was wanted, 2024-01-01 to 2024-01-31 is given, from monthly data", "Rome was wanted, Milan is given"]
 
 
 def test_size_gate(spark):
