@@ -6,10 +6,36 @@ from pyspark.sql import functions as F
 
 from cellwright.catalog.fixtures import ctes, fixture
 from cellwright.operators import inventory as I
+from cellwright.operators import masking as M
+from cellwright.operators import reductions as D
+from cellwright.operators import resolved as V
 from cellwright.session import fresh_path
 from cellwright.sources import collections as K
 
 
+_BANDS = ["product/vertical_column_troposphere", "column_amount_o3", "Terra_darktarget/Mean", "cloud_fraction"]
+
+
+def _products(s, d):
+    """The daily grid as the files of a year each, of three products: every one with its own science band, and clouds in all."""
+    year = F.year("ts")
+    kind = year % 3
+    cells = fixture(s, d, "fx_cells").select(
+        year.alias("file_id"), F.col("ts").cast("timestamp").alias("ts"), "i", "j", "lat", "lon", F.when(kind == 0, F.col("raw_value")).alias(_BANDS[0]),
+        F.when((kind == 1) | ((kind == 0) & (F.col("i") < 30)), F.col("value_uncertainty")).alias(_BANDS[1]), F.when(kind == 2, F.col("raw_value") * 2).alias(_BANDS[2]), F.col("cloud_fraction"))
+    described = cells.select("file_id").distinct().select("file_id", F.explode(F.array(*[F.struct(F.lit(n).alias("ordinal"), F.lit(b).alias("name"), F.lit("1" if n < 3 else None).alias("units")) for n, b in enumerate(_BANDS)])).alias("v"))
+    empty = F.lit(None).cast("string")
+    return cells, described.select("file_id", "v.*", *[empty.alias(c) for c in ("standard_name", "long_name", "flag_values", "flag_meanings")])
+
+
+def _variable_read(s, d):
+    cells, described = _products(s, d)
+    resolved, own = V.resolve_files(cells, described, _BANDS)
+    masked = M.mask_cells(own, fill=-999.0, vmin=0.5)
+    stats = D.field_statistics(D.temporal_mean(masked, "monthly", ["file_id"]), ["file_id"]).select("file_id", "count", "mean", "max")
+    return resolved.select("file_id", "variable", "resolution_confidence", "disclosure").join(stats, "file_id")
+
+
 def _registry_file(s, d):
     """The registry written as a file, with torn lines, words for numbers, and names that several entries claim, and what is wrong with it."""
     path = fresh_path(s, "registry")
@@ -184,6 +210,15 @@ QUERIES = {
         ctes("fx_collections") + """SELECT registry_key, failures FROM (SELECT registry_key, concat_ws('; ', CASE WHEN units = '' THEN 'units is required' END, CASE WHEN fill_value IS NULL THEN 'fill_value is required' END,
         CASE WHEN valid_min IS NULL THEN 'valid_min is required' END, CASE WHEN valid_max IS NULL THEN 'valid_max is required' END, CASE WHEN valid_min > valid_max THEN 'valid_min must be <= valid_max' END) AS failures FROM fx_collections) WHERE failures <> ''""",
     ),
+    "variable_read": (
+        _variable_read,
+        ctes("fx_cells", p="""SELECT CAST(year(ts) AS INT) AS file_id, ts, i, j, lat, CASE CAST(year(ts) AS INT) % 3 WHEN 0 THEN raw_value WHEN 1 THEN value_uncertainty ELSE raw_value * 2 END AS raw FROM fx_cells""",
+             m="SELECT *, CASE WHEN raw <> -999 AND raw >= 0.5 THEN raw END AS value FROM p",
+             w="SELECT file_id, ts, CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY file_id, date_trunc('month', ts)) AS w FROM (SELECT DISTINCT file_id, ts FROM m WHERE value IS NOT NULL)",
+             f="SELECT file_id, i, j, lat, sum(value * w) / sum(w) AS v FROM m JOIN w USING (file_id, ts) WHERE value IS NOT NULL GROUP BY ALL")
+        + """SELECT file_id, CASE file_id % 3 WHEN 0 THEN 'product/vertical_column_troposphere' WHEN 1 THEN 'column_amount_o3' ELSE 'Terra_darktarget/Mean' END AS variable, 'high' AS resolution_confidence, CAST(NULL AS VARCHAR) AS disclosure,
+        count(*) AS count, CAST(printf('%.6e', sum(v * greatest(cos(radians(lat)), 0)) / sum(greatest(cos(radians(lat)), 0))) AS DOUBLE) AS mean, CAST(printf('%.6e', max(v)) AS DOUBLE) AS max FROM f GROUP BY file_id""",
+    ),
     "registry_problems": (
         _registry_file,
         ctes("fx_collections", e="""SELECT key_no % 2 = 0 AS twice, key_no, registry_key, concat('C', key_no) AS alias, key_no % 97 = 5 AS torn, key_no % 89 = 7 AS wordy, cadence, units, fill_value, valid_min, valid_max,
