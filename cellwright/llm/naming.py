@@ -108,8 +108,9 @@ def _identities(numbered: DataFrame, rows: DataFrame, size: int, bucket: int) ->
 def _judged(numbered: DataFrame, size: int, bucket: int) -> DataFrame:
     keys = F.transform(blocks(_text(), size), lambda b: hashed(b))
     rows = settle(numbered.select("row", "doc_id", F.sha2(_text().cast("binary"), 256).alias("text_sha256"), keys.alias("keys")), "rows")
-    found = rows.select("row", "doc_id", "text_sha256").join(_identities(numbered, rows, size, bucket), "row")
-    classes = found.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("top"))
+    found = settle(rows.select("row", "doc_id", "text_sha256").join(_identities(numbered, rows, size, bucket), "row"), "identities")
+    # written, so that the join with them is one of plain tables, which Spark splits where a group is large
+    classes = settle(found.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("top")), "classes")
     return found.join(classes, ["level", "name"]).select(
         "row", "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("top.row")).alias("kept"), "text_sha256")
 
