@@ -24,11 +24,11 @@ def _in_utc(query: Query) -> Query:
 def registry() -> dict[str, tuple[Query, str | None]]:
     """Every query by name with its reference SQL."""
     from cellwright.catalog import (
-        comparison, ground, inventory, masking, records, reductions, regions, sources, streaming,
+        comparison, ground, inventory, masking, records, reductions, regions, sources, sql, streaming,
     )
 
     found: dict[str, tuple[Query, str | None]] = {}
-    for family in (sources, masking, regions, reductions, comparison, ground, inventory, records, streaming):
+    for family in (sources, masking, regions, reductions, comparison, ground, inventory, records, streaming, sql):
         for name, (query, sql) in family.QUERIES.items():
             if name in found:
                 raise ValueError(f"query registered twice: {name}")
