@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cellwright.catalog._common import BOXES, IN_A, SUBCELL, TRIANGLE, as_text
 from cellwright.catalog.fixtures import ctes, fixture
 from cellwright.operators import regions as R
+from cellwright.session import settle
 
 _ID = ["i", "j", "ts", "raw_value"]
 
@@ -18,15 +19,27 @@ def _shifted(s, d):
 
 
 def _mixed_grids(s, d):
-    """Four grids by quarter of the calendar: regular, uneven, two-dimensional, without latitude."""
-    kind = F.month("ts") % 4
+    """Six grids by month: regular, uneven, two-dimensional, and three without latitude, one in metres, one with a named projection."""
+    kind = F.month("ts") % 6
     return fixture(s, d, "fx_cells").select(
         F.concat(F.lit("G"), kind.cast("string")).alias("grid"), "i", "j",
-        F.when(kind == 1, F.col("lat") + F.col("i") * F.col("i") / 100).when(kind == 3, None).otherwise(F.col("lat")).alias("lat"),
+        F.when(kind == 1, F.col("lat") + F.col("i") * F.col("i") / 100).when(kind >= 3, None).otherwise(F.col("lat")).alias("lat"),
         F.when(kind == 2, F.col("lon") + F.col("i") / 10).otherwise(F.col("lon")).alias("lon"),
     )
 
 
+def _kinds(s, d):
+    told = s.createDataFrame([("G3", None, "degrees", "m"), ("G4", None, " Metres", "m"), ("G5", "lambert_conformal_conic", None, None), ("G0", "wgs84", "m", "m")], "grid string, crs string, x_units string, y_units string")
+    return R.grid_kind(_mixed_grids(s, d), ["grid"], told)
+
+
+def _guarded(s, d):
+    kinds = settle(_kinds(s, d), "kinds")
+    refused = R.grid_refusals(kinds).select("grid", "grid_kind", "reason", F.lit(None).cast("double").alias("cells"))
+    kept = R.supported_cells(_mixed_grids(s, d), kinds, ["grid"]).groupBy("grid").agg(F.count("*").cast("double").alias("cells"))
+    return refused.unionByName(kept.select("grid", F.lit(None).cast("string").alias("grid_kind"), F.lit(None).cast("string").alias("reason"), "cells"))
+
+
 def _edges(s, polygons=TRIANGLE):
     return R.polygon_edges(s, polygons)
 
@@ -63,6 +76,20 @@ def _round_box(df):
 
 _ROUND = "round(south, 6) AS south, round(north, 6) AS north, round(west, 6) AS west, round(east, 6) AS east"
 
+_KINDS = dict(
+    g="""SELECT concat('G', CAST(month(ts) % 6 AS VARCHAR)) AS grid, i, j,
+      CASE month(ts) % 6 WHEN 1 THEN lat + i * i / CAST(100 AS DOUBLE) WHEN 0 THEN lat WHEN 2 THEN lat END AS lat,
+      CASE month(ts) % 6 WHEN 2 THEN lon + i / CAST(10 AS DOUBLE) ELSE lon END AS lon FROM fx_cells""",
+    two="""SELECT grid, bool_or(n > 1) AS curved, bool_or(miss) AS none_ FROM (SELECT grid, count(DISTINCT lat) AS n, count(lat) < count(*) AS miss FROM g GROUP BY grid, i
+      UNION ALL SELECT grid, count(DISTINCT lon), count(lon) < count(*) FROM g GROUP BY grid, j) GROUP BY grid""",
+    ax="SELECT DISTINCT grid, 'y' AS axis, i AS p, lat AS v FROM g UNION SELECT DISTINCT grid, 'x', j, lon FROM g",
+    st="SELECT a.grid, a.axis, b.v - a.v AS step FROM ax a JOIN ax b ON a.grid = b.grid AND a.axis = b.axis AND b.p = a.p + 1",
+    md="SELECT *, median(step) OVER (PARTITION BY grid, axis) AS m FROM st WHERE step IS NOT NULL",
+    reg="SELECT grid, bool_and(abs(step - m) <= CAST(0.001 AS DOUBLE) * abs(m)) AS regular FROM md GROUP BY grid",
+    kinds="""SELECT two.grid, CASE WHEN none_ AND two.grid IN ('G4', 'G5') THEN 'projected' WHEN none_ THEN 'none' WHEN curved THEN 'curvilinear' WHEN regular THEN 'rectilinear' ELSE 'irregular' END AS grid_kind
+      FROM two LEFT JOIN reg USING (grid)""",
+)
+
 QUERIES = {
     "normalize_longitude": (
         lambda s, d: as_text(R.normalize_longitude(_shifted(s, d), ["collection"]).select("i", "j", "ts", F.round("lon", 6).alias("lon"), "raw_value"), "ts"),
@@ -74,17 +101,12 @@ QUERIES = {
         + """SELECT *, lon_min - (lon_max - lon_min) / (n_lon - 1) / 2 AS edge_west, lon_max + (lon_max - lon_min) / (n_lon - 1) / 2 AS edge_east,
         lat_min - (lat_max - lat_min) / (n_lat - 1) / 2 AS edge_south, lat_max + (lat_max - lat_min) / (n_lat - 1) / 2 AS edge_north FROM a""",
     ),
-    "grid_kind": (
-        lambda s, d: R.grid_kind(_mixed_grids(s, d), ["grid"]),
-        ctes("fx_cells", g="""SELECT concat('G', CAST(month(ts) % 4 AS VARCHAR)) AS grid, i, j,
-          CASE month(ts) % 4 WHEN 1 THEN lat + i * i / CAST(100 AS DOUBLE) WHEN 3 THEN NULL ELSE lat END AS lat,
-          CASE month(ts) % 4 WHEN 2 THEN lon + i / CAST(10 AS DOUBLE) ELSE lon END AS lon FROM fx_cells""",
-             two="""SELECT grid, bool_or(n > 1) AS curved, bool_or(miss) AS none_ FROM (SELECT grid, count(DISTINCT lat) AS n, count(lat) < count(*) AS miss FROM g GROUP BY grid, i
-               UNION ALL SELECT grid, count(DISTINCT lon), count(lon) < count(*) FROM g GROUP BY grid, j) GROUP BY grid""",
-             st="""SELECT grid, axis, v - lag(v) OVER (PARTITION BY grid, axis ORDER BY v) AS step FROM (SELECT DISTINCT grid, 'y' AS axis, lat AS v FROM g UNION SELECT DISTINCT grid, 'x', lon FROM g) WHERE v IS NOT NULL""",
-             md="SELECT *, median(step) OVER (PARTITION BY grid, axis) AS m FROM st WHERE step IS NOT NULL",
-             reg="SELECT grid, bool_and(abs(step - m) <= CAST(0.001 AS DOUBLE) * abs(m)) AS regular FROM md GROUP BY grid")
-        + "SELECT two.grid, CASE WHEN none_ THEN 'none' WHEN curved THEN 'curvilinear' WHEN regular THEN 'rectilinear' ELSE 'irregular' END AS grid_kind FROM two JOIN reg USING (grid)",
+    "grid_kind": (_kinds, ctes("fx_cells", **_KINDS) + "SELECT grid, grid_kind FROM kinds"),
+    "grid_refusals": (
+        _guarded,
+        ctes("fx_cells", **_KINDS) + """SELECT grid, grid_kind, CASE grid_kind WHEN 'irregular' THEN 'steps of an axis differ, so cells have no common size' WHEN 'curvilinear' THEN 'rows and columns have no latitude and longitude of their own'
+          ELSE 'positions are in metres of a projection, not degrees' END AS reason, CAST(NULL AS DOUBLE) AS cells FROM kinds WHERE grid_kind IN ('irregular', 'curvilinear', 'projected')
+        UNION ALL SELECT grid, NULL, NULL, CAST(count(*) AS DOUBLE) FROM g JOIN kinds USING (grid) WHERE grid_kind IN ('rectilinear', 'none') GROUP BY grid""",
     ),
     "crop_bounds": (
         lambda s, d: as_text(R.crop_bounds(fixture(s, d, "fx_cells"), BOXES["A"]).select(*_ID), "ts"),

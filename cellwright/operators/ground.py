@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cellwright.functions.scalars import float_or_none, haversine_miles, period_key, site_id
 from cellwright.operators import order_stats
 from cellwright.operators.regions import BOX_LADDER, MIN_BOX_HALF
+from cellwright.session import settle
 
 # --- Fixed values ---------------------------------------------------------------------------------
 PLACEHOLDERS = [
@@ -30,6 +31,8 @@ REGULATORY_LIMITS = {
 # --------------------------------------------------------------------------------------------------
 
 TILE_DEGREES = 1.0
+#: A degree square with more places than DENSE is counted in SPLIT by SPLIT parts.
+DENSE, SPLIT = 256, 16
 
 
 def _column(df: DataFrame, name: str) -> Column:
@@ -315,30 +318,83 @@ def chosen_step(k: int) -> Column:
     )
 
 
+def _spots(monitors: DataFrame) -> DataFrame:
+    """Places with their number of monitors and the tile they are counted in: a degree square, or an eighth of one where places are dense."""
+    places = located(monitors).where(F.col("_lat").isNotNull() & F.col("_lon").isNotNull()).groupBy("_lat", "_lon").agg(F.count(F.lit(1)).alias("_n"))
+    places = places.withColumns({
+        "_ty": F.floor(F.col("_lat") / TILE_DEGREES).cast("int"), "_tx": F.floor(F.col("_lon") / TILE_DEGREES).cast("int"),
+        "_py": F.floor(F.col("_lat") / TILE_DEGREES * SPLIT).cast("int"), "_px": F.floor(F.col("_lon") / TILE_DEGREES * SPLIT).cast("int"),
+    })
+    crowded = places.groupBy("_ty", "_tx").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > DENSE).select("_ty", "_tx", F.lit(True).alias("_dense"))
+    # parts of a tile that is not dense are one tile
+    whole = F.lit(None).cast("int")
+    return settle(places.join(crowded, ["_ty", "_tx"], "left").withColumns(
+        {c: F.coalesce(F.when(F.col("_dense"), F.col(c)).otherwise(whole), F.lit(-(1 << 30))) for c in ("_py", "_px")}).drop("_dense"), "spots")
+
+
+_TILE = ["_ty", "_tx", "_py", "_px"]
+_EDGES = ["south", "north", "west", "east"]
+
+
+def _reached(boxes: DataFrame, tiles: DataFrame, width: Column) -> DataFrame:
+    """Boxes beside the tiles that they touch when widened by `width`; they meet on degree squares."""
+    rows = boxes.withColumn("_ty", _tiles(F.col("south") - width, F.col("north") + width))
+    rows = rows.withColumn("_tx", _tiles(F.col("west") - width, F.col("east") + width))
+    return rows.join(tiles, ["_ty", "_tx"]).where(_touches(width))
+
+
+def _touches(d: Column) -> Column:
+    return ((F.col("_n_lat") >= F.col("south") - d) & (F.col("_s_lat") <= F.col("north") + d) & (F.col("_e_lon") >= F.col("west") - d) & (F.col("_w_lon") <= F.col("east") + d))
+
+
+def _holds(d: Column) -> Column:
+    return ((F.col("_s_lat") >= F.col("south") - d) & (F.col("_n_lat") <= F.col("north") + d) & (F.col("_w_lon") >= F.col("west") - d) & (F.col("_e_lon") <= F.col("east") + d))
+
+
+def search_steps(boxes: DataFrame, spots: DataFrame, k: int) -> DataFrame:
+    """The step of the ladder that each distinct box stops at.
+
+    Steps are settled by counts of tiles: a step surely holds the monitors of the tiles inside its box and no others than those of
+    the tiles that it touches. Only boxes that this leaves open are counted place by place.
+    """
+    tiles = spots.groupBy(*_TILE).agg(
+        F.sum("_n").alias("_m"), F.min("_lat").alias("_s_lat"), F.max("_lat").alias("_n_lat"), F.min("_lon").alias("_w_lon"), F.max("_lon").alias("_e_lon"))
+    ladder = [F.lit(float(d)) for d in BOX_LADDER]
+    sought = boxes.select(*_EDGES).distinct()
+    near = _reached(sought, tiles, ladder[-1])
+    sums = near.groupBy(*_EDGES).agg(
+        *[F.sum(F.when(_holds(d), F.col("_m")).otherwise(0)).alias(f"_low{n}") for n, d in enumerate(ladder)],
+        *[F.sum(F.when(_touches(d), F.col("_m")).otherwise(0)).alias(f"_high{n}") for n, d in enumerate(ladder)])
+    first = lambda side: F.coalesce(*[F.when(F.col(f"_{side}{n}") >= k, F.lit(n)) for n in range(len(ladder))])
+    sums = settle(sums.select(*_EDGES, first("low").alias("_sure"), first("high").alias("_may")), "steps")
+    decided = sums.where(F.col("_sure") == F.col("_may")).select(*_EDGES, F.col("_sure").alias("step"))
+    unsure = sums.where(F.coalesce(F.col("_sure") != F.col("_may"), F.lit(True))).select(*_EDGES)
+    open_tiles = _reached(unsure, tiles, ladder[-1])
+    inner = open_tiles.where(_holds(ladder[0])).select(*_EDGES, F.lit(0).alias("_step"), F.col("_m").alias("_n"))
+    outer = open_tiles.where(~_holds(ladder[0])).select(*_EDGES, *_TILE).join(spots, _TILE)
+    outer = outer.withColumn("_step", first_step(F.col("south"), F.col("north"), F.col("west"), F.col("east"))).select(*_EDGES, "_step", "_n").where(F.col("_step").isNotNull())
+    counted = inner.unionByName(outer).groupBy(*_EDGES).agg(*step_counts(F.col("_n"))).select(*_EDGES, chosen_step(k).alias("step"))
+    return decided.unionByName(counted)
+
+
 def monitor_search(boxes: DataFrame, monitors: DataFrame, k: int = 1) -> DataFrame:
     """Monitors of the first ladder box that holds at least `k`; the fullest box when none does.
 
     `boxes` holds (query_id, south, north, west, east). Equal boxes are searched once and monitors
-    at one place count as one row until the step is known. Boxes and places meet on one-degree
-    tiles. Returns (query_id, step, monitor columns).
+    at one place count as one row until the end. The step comes from counts (`search_steps`); only then do boxes meet
+    places, those of the chosen step, tile by tile, and a crowded tile in parts. Returns (query_id, step, monitor columns).
     """
-    edges = ["south", "north", "west", "east"]
-    widest = BOX_LADDER[-1]
-    sought = boxes.select(*edges).distinct()
-    tiled = sought.withColumn("_ty", _tiles(F.col("south") - widest, F.col("north") + widest))
-    tiled = tiled.withColumn("_tx", _tiles(F.col("west") - widest, F.col("east") + widest))
-    spots = located(monitors).groupBy("_lat", "_lon").agg(F.count(F.lit(1)).alias("_n"))
-    spots = spots.withColumns({
-        "_ty": F.floor(F.col("_lat") / TILE_DEGREES).cast("int"), "_tx": F.floor(F.col("_lon") / TILE_DEGREES).cast("int"),
-    })
-    step = first_step(F.col("south"), F.col("north"), F.col("west"), F.col("east"))
-    pairs = tiled.join(spots, ["_ty", "_tx"]).withColumn("_step", step).where(F.col("_step").isNotNull())
-    steps = pairs.groupBy(*edges).agg(*step_counts(F.col("_n"))).select(*edges, chosen_step(k).alias("step"))
-    found = pairs.join(steps, edges).where(F.col("_step") <= F.col("step")).select(*edges, "step", "_lat", "_lon")
+    spots = _spots(monitors)
+    steps = search_steps(boxes, spots, k)
+    width = F.element_at(F.array(*[F.lit(float(d)) for d in BOX_LADDER]), F.col("step") + 1)
+    tiles = spots.groupBy(*_TILE).agg(F.min("_lat").alias("_s_lat"), F.max("_lat").alias("_n_lat"), F.min("_lon").alias("_w_lon"), F.max("_lon").alias("_e_lon"))
+    near = _reached(steps, tiles, width).select(*_EDGES, "step", *_TILE).join(spots, _TILE)
+    held = F.col("_lat").between(F.col("south") - width, F.col("north") + width) & F.col("_lon").between(F.col("west") - width, F.col("east") + width)
+    found = near.where(held).select(*_EDGES, "step", "_lat", "_lon")
     return (
-        boxes.select("query_id", *edges).join(found, edges)
+        boxes.select("query_id", *_EDGES).join(found, _EDGES)
         .join(located(monitors), ["_lat", "_lon"])
-        .drop(*edges)
+        .drop(*_EDGES)
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwright.functions.scalars import half_cell
+from cellwright.operators import order_stats
 from cellwright.operators.cover import bounded, cover, covered, touched
 from cellwright.schemas import REGION_EDGES
 from cellwright.session import settle
@@ -23,6 +24,7 @@ STEP_TOLERANCE = 1e-3
 MIN_BOX_HALF = 0.25
 POINT_HALF = 0.1
 BOX_LADDER = [0.0, 0.5, 1.5, 3.0, 5.0]
+METRES = ["m", "metre", "metres", "meter", "meters"]
 # --------------------------------------------------------------------------------------------------
 
 Box = tuple[float, float, float, float]  # minx, miny, maxx, maxy
@@ -85,51 +87,63 @@ def pixel_edges(axes: DataFrame) -> DataFrame:
     })
 
 
-def _axis_regular(cells: DataFrame, keys: list[str], axis: str) -> DataFrame:
-    steps = cells.select(*keys, axis).distinct().withColumn(
-        "_step", F.col(axis) - F.lag(axis).over(Window.partitionBy(*keys).orderBy(axis))
-    )
-    # Steps of one axis: a short list per key.
-    median = steps.groupBy(*keys).agg(
-        F.count(axis).alias(f"_n_{axis}"), F.median("_step").alias("_median"), F.array_agg("_step").alias("_steps")
-    )
-    worst = F.array_max(F.transform("_steps", lambda s: F.abs(s - F.col("_median"))))
-    regular = (F.col(f"_n_{axis}") < 3) | (F.col("_median") == 0) | (
-        worst <= F.lit(STEP_TOLERANCE) * F.abs("_median")
-    )
-    return median.select(*keys, regular.alias(f"_regular_{axis}"))
+def _positions(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, axis, position and the least and greatest coordinate there, both axes from one pass."""
+    rows = cells.groupingSets([[*keys, "i"], [*keys, "j"]], *keys, "i", "j").agg(
+        F.grouping("i").alias("_j"), F.min("lat").alias("lat_lo"), F.max("lat").alias("lat_hi"), F.min("lon").alias("lon_lo"), F.max("lon").alias("lon_hi"),
+        F.bool_or(F.col("lat").isNull()).alias("lat_gone"), F.bool_or(F.col("lon").isNull()).alias("lon_gone"))
+    by = lambda c: F.when(F.col("_j") == 0, F.col(f"lat_{c}")).otherwise(F.col(f"lon_{c}")).alias(c)
+    return rows.select(*keys, F.when(F.col("_j") == 0, "lat").otherwise("lon").alias("axis"), F.coalesce("i", "j").alias("position"), by("lo"), by("hi"), by("gone"))
 
 
-def grid_kind(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """rectilinear / irregular / curvilinear / none, one row per key.
+def grid_kind(cells: DataFrame, keys: Sequence[str], described: DataFrame | None = None) -> DataFrame:
+    """rectilinear / irregular / curvilinear / projected / none, one row per key.
 
-    A grid is curvilinear when one array position carries several coordinates on an axis.
+    A grid is curvilinear when one array position carries several coordinates on an axis, and irregular when a step between
+    neighbours departs from the median step. A step joins two positions by number, so an axis is never gathered: what a grid
+    needs are its least, greatest and median steps. A grid without latitudes and longitudes is projected when
+    `described`, one row per key, names its `crs` or gives `x_units` and `y_units` in metres.
     """
     keys = list(keys)
-    # The grid without its timesteps: the one pass over the cells.
-    cells = settle(cells.select(*keys, "i", "j", "lat", "lon").distinct(), "grid")
-    spread = (
-        cells.groupBy(*keys, "i").agg(F.min("lat").alias("lo"), F.max("lat").alias("hi"))
-        .groupBy(*keys).agg(F.bool_or(F.col("lo") != F.col("hi")).alias("_lat2d"), F.bool_or(F.col("lo").isNull()).alias("_nolat"))
-    )
-    spread_lon = (
-        cells.groupBy(*keys, "j").agg(F.min("lon").alias("lo"), F.max("lon").alias("hi"))
-        .groupBy(*keys).agg(F.bool_or(F.col("lo") != F.col("hi")).alias("_lon2d"), F.bool_or(F.col("lo").isNull()).alias("_nolon"))
-    )
-    kinds = (
-        spread.join(spread_lon, keys)
-        .join(_axis_regular(cells, keys, "lat"), keys)
-        .join(_axis_regular(cells, keys, "lon"), keys)
-    )
+    places = settle(_positions(cells, keys), "positions")  # the one pass over the cells
+    facts = places.groupBy(*keys).agg(F.bool_or(F.col("lo") != F.col("hi")).alias("_curved"), F.bool_or("gone").alias("_none"))
+    here = places.select(*keys, "axis", "position", F.col("lo").alias("_here"))
+    after = places.select(*keys, "axis", (F.col("position") - 1).alias("position"), F.col("lo").alias("_after"))
+    steps = here.join(after, [*keys, "axis", "position"]).withColumn("_step", F.col("_after") - F.col("_here"))
+    spread = steps.groupBy(*keys, "axis").agg(F.min("_step").alias("_least"), F.max("_step").alias("_most"), F.count("_step").alias("_steps"))
+    middle = order_stats.quantiles(steps, [*keys, "axis"], "_step", {"_median": 0.5}).drop("n")
+    worst = F.greatest(F.col("_most") - F.col("_median"), F.col("_median") - F.col("_least"))
+    even = (F.col("_steps") < 2) | (F.col("_median") == 0) | (worst <= F.lit(STEP_TOLERANCE) * F.abs("_median"))
+    regular = spread.join(middle, [*keys, "axis"]).groupBy(*keys).agg(F.bool_and(even).alias("_regular"))
+    kinds = facts.join(regular, keys, "left")
+    projected = F.lit(False)
+    if described is not None:
+        metres = lambda c: F.coalesce(F.lower(F.trim(c)).isin(METRES), F.lit(False))
+        marked = described.select(*keys, (F.coalesce(F.trim("crs") != "", F.lit(False)) | (metres("x_units") & metres("y_units"))).alias("_projected"))
+        kinds, projected = kinds.join(marked, keys, "left"), F.coalesce("_projected", F.lit(False))
     kind = (
-        F.when(F.col("_nolat") | F.col("_nolon"), "none")
-        .when(F.col("_lat2d") | F.col("_lon2d"), "curvilinear")
-        .when(F.col("_regular_lat") & F.col("_regular_lon"), "rectilinear")
-        .otherwise("irregular")
+        F.when(F.col("_none") & projected, "projected").when(F.col("_none"), "none").when(F.col("_curved"), "curvilinear")
+        .when(F.coalesce("_regular", F.lit(True)), "rectilinear").otherwise("irregular")
     )
     return kinds.select(*keys, kind.alias("grid_kind"))
 
 
+def grid_refusals(kinds: DataFrame) -> DataFrame:
+    """Grids that boxes, polygons and maps would misplace, with the reason: to be told before anything is masked."""
+    reason = (
+        F.when(F.col("grid_kind") == "irregular", "steps of an axis differ, so cells have no common size")
+        .when(F.col("grid_kind") == "curvilinear", "rows and columns have no latitude and longitude of their own")
+        .when(F.col("grid_kind") == "projected", "positions are in metres of a projection, not degrees")
+    )
+    return kinds.withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
+def supported_cells(cells: DataFrame, kinds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Cells of the grids that are not refused."""
+    refused = settle(grid_refusals(kinds).select(*keys), "refused")
+    return cells.join(refused, list(keys), "left_anti")
+
+
 # --- Polygons -------------------------------------------------------------------------------------
 
 def polygon_edges(spark, polygons: dict[str, Sequence[Sequence[tuple[float, float]]]]) -> DataFrame:

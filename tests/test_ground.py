@@ -165,3 +165,34 @@ def test_a_parameter_without_a_limit_needs_one(spark):
         G.exceedance_report(df, "99999")
     assert G.exceedance_report(df, "99999", hard=5.0).count() == 1
     assert G.exceedance_report(df, "42602", hard=5.0).count() == 0  # another standard
+
+
+@pytest.mark.parametrize("k", [1, 4, 40])
+def test_search_over_a_crowded_tile_and_an_empty_area(spark, monkeypatch, k):
+    """Most places lie in one degree square, which is split; some boxes find nothing near, some nothing at all."""
+    monkeypatch.setattr(G, "DENSE", 20)
+    rng = random.Random(8)
+    places = [(rng.uniform(40, 41), rng.uniform(-75, -74)) for _ in range(400)] + [(rng.uniform(30, 50), rng.uniform(-90, -60)) for _ in range(40)] + [(40.5, -74.5)] * 9
+    centres = [(rng.uniform(39, 42), rng.uniform(-76, -73)) for _ in range(20)] + [(rng.uniform(25, 55), rng.uniform(-95, -55)) for _ in range(20)] + [(0.0, 0.0), (40.5, -74.5)]
+    boxes = spark.createDataFrame([(q, a - 0.25, a + 0.25, o - 0.25, o + 0.25) for q, (a, o) in enumerate(centres)], "query_id int, south double, north double, west double, east double")
+    got = {}
+    for r in G.monitor_search(boxes, _monitors(spark, places), k).collect():
+        got.setdefault(r["query_id"], (r["step"], []))[1].append(int(r["site_number"]))
+    for q, (a, o) in enumerate(centres):
+        held = [[n for n, (x, y) in enumerate(places) if a - 0.25 - d <= x <= a + 0.25 + d and o - 0.25 - d <= y <= o + 0.25 + d] for d in (0.0, 0.5, 1.5, 3.0, 5.0)]
+        step = next((n for n, h in enumerate(held) if len(h) >= k), next(n for n, h in enumerate(held) if len(h) == len(held[-1])))
+        assert (sorted(got[q][1]) if q in got else []) == sorted(held[step])
+        assert q not in got or got[q][0] == step
+
+
+def test_most_boxes_are_settled_by_counts_of_tiles(spark, monkeypatch):
+    """Boxes in a dense area never meet single places to find their step."""
+    monkeypatch.setattr(G, "DENSE", 20)
+    places = [(40 + a / 40, -75 + b / 40) for a in range(40) for b in range(40)]
+    boxes = spark.createDataFrame([(q, 40.2 + q / 100, 40.7 + q / 100, -74.8, -74.3) for q in range(9)], "query_id int, south double, north double, west double, east double")
+    written = []
+    true = G.settle
+    monkeypatch.setattr(G, "settle", lambda df, label: written.append((label, true(df, label))) or written[-1][1])
+    assert {r["step"] for r in G.search_steps(boxes, G._spots(_monitors(spark, places)), 5).collect()} == {0}
+    steps = dict(written)["steps"]
+    assert steps.where("_sure <=> _may").count() == 9

@@ -99,3 +99,22 @@ def test_uneven_axis_is_irregular(spark):
 
     assert kind([0, 1, 2, 3]) == "rectilinear" and kind([0, 5]) == "rectilinear"
     assert kind([0, 1, 2, 3.0005]) == "rectilinear" and kind([0, 1, 2, 3.01]) == "irregular"
+
+
+def test_projected_grids_are_named_and_refused(spark):
+    rows = [(g, i, j, None, None) for g in ("crs", "metres", "half", "bare") for i in range(3) for j in range(3)] + [("fine", i, j, i * 0.5, j * 0.5) for i in range(4) for j in range(4)]
+    rows += [("swath", i, j, i + j * 0.1, j * 1.0) for i in range(3) for j in range(3)] + [("down", i, j, -i * 0.5, j * 0.5) for i in range(4) for j in range(4)]
+    cells = spark.createDataFrame(rows, "g string, i int, j int, lat double, lon double")
+    told = spark.createDataFrame([("crs", "utm", None, None), ("metres", None, "m", "Meters "), ("half", "", "m", "degrees"), ("fine", "utm", "m", "m")], "g string, crs string, x_units string, y_units string")
+    kinds = R.grid_kind(cells, ["g"], told)
+    assert {r["g"]: r["grid_kind"] for r in kinds.collect()} == {"crs": "projected", "metres": "projected", "half": "none", "bare": "none", "fine": "rectilinear", "swath": "curvilinear", "down": "rectilinear"}
+    assert {r["g"] for r in R.grid_refusals(kinds).collect()} == {"crs", "metres", "swath"}
+    assert {r["g"] for r in R.supported_cells(cells, kinds, ["g"]).select("g").distinct().collect()} == {"half", "bare", "fine", "down"}
+    plan = kinds._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("collect_list", "collect_set", "array_agg", "lag("))
+
+
+def test_a_gap_in_the_rows_is_not_an_uneven_axis(spark):
+    """Positions without cells are not read as long steps."""
+    rows = [("g", i, j, i * 0.25, j * 0.25) for i in (0, 1, 2, 7, 8, 9) for j in range(5)]
+    assert R.grid_kind(spark.createDataFrame(rows, "g string, i int, j int, lat double, lon double"), ["g"]).first()["grid_kind"] == "rectilinear"
