@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellwright.llm import bond, vectors, whitening
+from cellwright.llm import bond, itq, vectors, whitening
 
 SCHEMA = "vec_id long, label long, embedding array<double>"
 
@@ -168,3 +168,63 @@ def test_matrices_of_sliced_batches():
 
     lists = pa.array([[9.0], [1.0, 2.0], None, [], [3.0, None], [4.0, 5.0], [6.0]], pa.list_(pa.float32())).slice(1)
     assert {s: (at.tolist(), rows.tolist()) for s, at, rows in vectors.matrices(lists)} == {2: ([0, 4], [[1.0, 2.0], [4.0, 5.0]]), 1: ([5], [[6.0]])}
+
+
+def _linked(vectors_: dict, least: float = 0.95) -> tuple[dict, dict]:
+    """Links and components of brute force, vectors of each length apart."""
+    links, component = {k: 0 for k in vectors_}, {k: k for k in vectors_}
+    by = defaultdict(list)
+    for k, v in vectors_.items():
+        by[len(v)].append(k)
+    for ids in by.values():
+        units = itq.unit(np.array([vectors_[k] for k in ids]))
+        near = units @ units.T >= least
+        np.fill_diagonal(near, False)
+        for a, row in zip(ids, near, strict=True):
+            links[a] = int(row.sum())
+        for start in sorted(ids):
+            if component[start] != start:
+                continue
+            queue = [start]
+            while queue:
+                x = queue.pop()
+                for y in np.flatnonzero(near[ids.index(x)]):
+                    if component[ids[y]] > start:
+                        component[ids[y]] = start
+                        queue.append(ids[y])
+    return links, component
+
+
+@pytest.mark.parametrize("size, mean", [(32, 0.0), (64, 1.5), (128, 3.0)])
+def test_links_are_found_whatever_the_common_mean(spark, size, mean):
+    """Pairs at the very threshold, of vectors that share a mean of up to three standard deviations."""
+    rng = np.random.default_rng(size)
+    rows = rng.normal(mean, 1, (900, size))
+    units = itq.unit(rows[:300])
+    away = rng.normal(size=units.shape)
+    away -= (away * units).sum(axis=1, keepdims=True) * units
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    held = np.concatenate([rows, (0.951 * units + np.sqrt(1 - 0.951**2) * away) * rng.uniform(0.5, 3, (300, 1))])
+    want, component = _linked({k: v for k, v in enumerate(held.tolist())})
+    got = {r["vec_id"]: r for r in itq.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(held)], "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == len(held) and sum(want.values()) >= 600
+    assert all(got[k]["n_links"] <= want[k] for k in want)
+    assert sum(r["n_links"] for r in got.values()) >= 0.95 * sum(want.values())
+    assert np.mean([got[k]["component_id"] == component[k] for k in want]) >= 0.95
+
+
+def test_vectors_of_several_lengths_link_within_their_length(spark):
+    rng = np.random.default_rng(1)
+    held = {k: rng.normal(size=16).tolist() for k in range(40)} | {100: [1.0, 2.0], 101: [2.0, 4.0], 102: [-1.0, 0.0], 103: [5.0], 104: [0.0, 0.0]}
+    held[41] = held[3]
+    rows = [(k, v) for k, v in held.items()] + [(200, None), (201, []), (202, [1.0, None]), (None, [1.0, 2.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got[100] == (1, 100, True) and got[101] == (1, 100, False) and got[102] == (0, 102, True) and got[103] == (0, 103, True)
+    assert got[41] == (1, 3, False) and all(got[k] == (0, k, True) for k in (104, 200, 201, 202)) and got[None][:2] == (0, None) and len(got) == len(rows)
+
+
+def test_the_plan_follows_the_angle():
+    rng = np.random.default_rng(2)
+    few = itq.measure(itq.unit(rng.normal(size=(2000, 48))))
+    many = itq.measure(itq.unit(rng.normal(2.0, 1, size=(2000, 48))))
+    assert (few.width, len(few.projections)) in itq.PLANS and itq.PLANS.index((few.width, len(few.projections))) < itq.PLANS.index((many.width, len(many.projections)))
