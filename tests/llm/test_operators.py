@@ -338,8 +338,7 @@ def test_context_tree_is_a_distribution_and_equals_the_recursion():
     slow = [math.log(math.prod([(k + .5) for k in range(int(a))] + [(k + .5) for k in range(int(b))]) / math.factorial(int(a + b))) for a, b in zip(zeros, ones, strict=True)]
     assert np.allclose(ctw.block(zeros, ones), slow)
     nodes, _, _ = ctw.weigh(keys.astype(np.int64), many, 0)
-    order = np.argsort(nodes["key"])
-    model = {c: nodes[c][order] for c in ("key", "one", "share")}
+    model = ctw.joined(nodes)
     context = int(found[5] >> np.uint64(8)) << 8
     every = np.sort(np.array([context | b for b in range(256)], np.uint64))
     assert (10 ** ctw.run_log10(every, model)).sum() == pytest.approx(1.0)
