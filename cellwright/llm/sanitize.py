@@ -4,8 +4,10 @@ Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers
 words of the neighbouring code points form its context. Over the whole corpus a word's disclosure of a kind of
 entity is the pointwise mutual information of the two, PMI = log2(P(word | context of the kind) / P(word)), as a
 share of the kind's own information, -log2 P(kind): 1 if the word occurs beside such entities only. Words that
-disclose at least GENERALISE of a kind, from SUPPORT different contexts on, are generalised where they stand
-beside an entity of that kind; from REMOVE on they are removed. Everything is built-in expressions.
+disclose at least GENERALISE of a kind are generalised where they stand beside an entity of that kind; from REMOVE on they are
+removed. The evidence must carry that: SUPPORT different contexts, or, for rarer words, such as the name that stands beside one
+person's addresses, a share of the word's uses beside the kind that is above HALF even at the lower end of its 95 % (Wilson) interval, which takes four
+contexts and no other use, or 19 of 26. Everything is built-in expressions.
 
 P(word) is the chance that a context-sized piece of the corpus holds the word, from the counts of all words of
 all texts; contexts that read the same count once, so that copies do not make evidence. Words are runs of three
@@ -25,6 +27,7 @@ ADDED = ["generalised", "removed"]
 AROUND = 48
 CONTEXT_WORDS = 10
 GENERALISE, REMOVE, SUPPORT = 0.5, 0.8, 20
+HALF, Z = 0.5, 1.96
 
 # What counts as personal data.
 _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -86,16 +89,23 @@ def contexts(found: DataFrame) -> DataFrame:
     return words.where(~overlaps(F.col("base"), F.col("start"), F.col("end")))
 
 
+def least_share(together: Column, uses: Column) -> Column:
+    """The lower end of the Wilson interval of together / uses."""
+    n = F.greatest(uses, together)
+    p = together / n
+    return (p + Z * Z / (2 * n) - Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+
+
 def disclosure(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """term, kind and the share of the kind's information that the term discloses, for terms with enough support."""
+    """term, kind and the share of the kind's information that the term discloses, for terms with enough evidence."""
     once = words.select("term", "kind", "context").distinct()
-    beside = once.groupBy("term", "kind").agg(F.count("*").alias("together")).where(F.col("together") >= SUPPORT)
+    beside = once.groupBy("term", "kind").agg(F.count("*").alias("together"))
     kinds = words.select("kind", "context").distinct().groupBy("kind").agg(F.count("*").alias("contexts"))
     corpus = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))).alias("term"))
     counts = settle(corpus.groupBy("term").agg(F.count("*").alias("n")), "words")
-    total = counts.agg(F.sum("n").alias("total"))
-    # `kinds` has one row for each kind, `total` one row: scalar tables
-    table = beside.join(counts, "term").join(F.broadcast(kinds), "kind").join(F.broadcast(total))
+    # `kinds` has one row for each kind
+    table = beside.join(counts, "term").where((F.col("together") >= SUPPORT) | (least_share(F.col("together"), F.col("n")) >= HALF))
+    table = table.join(F.broadcast(kinds), "kind").withColumn("total", counts.agg(F.sum("n")).scalar())
     pieces = F.greatest(F.col("total") / CONTEXT_WORDS, F.col("contexts") + 1)
     p_term = F.least(F.greatest(F.col("n"), F.col("together")) / pieces, F.lit(1.0))
     pmi = F.log2(F.col("together") / F.col("contexts") / p_term)

@@ -1,7 +1,8 @@
 """Spans of a text as built-in expressions: code point positions of pattern matches, digests and redaction.
 
 Patterns are written without backtracking over what they have taken (possessive), so their cost is linear
-and their stack does not grow with the text.
+and their stack does not grow with the text. Running sums and the pieces of a text are made in two levels, of STEP spans and of
+PIECE code points, so that texts with many matches do not copy what they have so far for each of them.
 """
 
 from __future__ import annotations
@@ -17,24 +18,61 @@ HIT = "array<struct<start: int, end: int, value: string, before: string, after:
 SPAN = "array<struct<rank: int, kind: string, start: int, end: int>>"
 
 
+STEP = 64
+PIECE = 1024
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once; inside a lambda an expression would be computed again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each whole number of an array, what the ones before it come to from 0 on, by sums or maxima."""
+    zero = F.lit(0)
+    none = F.array().cast("array<int>")
+
+    def step(state: Column, value: Column) -> Column:
+        return F.struct(join(state["at"], value).alias("at"), F.concat(state["before"], F.array(state["at"])).alias("before"))
+
+    def before(some: Column) -> Column:
+        return F.aggregate(some, F.struct(zero.alias("at"), none.alias("before")), step)
+
+    def parted(held: Column) -> Column:
+        last = F.floor((F.size(held) - 1) / STEP).cast("int")
+        return F.transform(F.sequence(zero, last), lambda k: before(F.slice(held, k * STEP + 1, F.lit(STEP))))
+
+    def whole(parts: Column) -> Column:
+        bases = before(F.transform(parts, lambda p: p["at"]))["before"]
+        return F.flatten(F.zip_with(parts, bases, lambda p, base: F.transform(p["before"], lambda x: join(base, x))))
+
+    return bound(values, lambda held: F.when(F.size(held) > 0, bound(parted(held), whole)).otherwise(none))
+
+
 def located(text: Column, pattern: str, around: int = 0) -> Column:
     """All matches, leftmost and without overlap, with up to `around` code points of text on both sides.
 
     The gaps between the matches come from splitting at the same pattern; positions are running lengths.
     """
-    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rows = F.transform(values, lambda v, i: F.struct(F.get(gaps, i).alias("before"), v.alias("value"), F.get(gaps, i + 1).alias("after")))
+    size = F.char_length
 
-    def step(state: Column, row: Column) -> Column:
-        start = state["at"] + F.char_length(row["before"])
-        end = start + F.char_length(row["value"])
+    def hit(row: Column, at: Column) -> Column:
+        start = at + size(row["before"])
         before = F.when(F.lit(around) > 0, F.right(row["before"], F.lit(around))).otherwise("")
-        hit = F.struct(start.alias("start"), end.alias("end"), row["value"].alias("value"), before.alias("before"),
-                       F.left(row["after"], F.lit(around)).alias("after"))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(hit)).alias("found"))
+        return F.struct(start.alias("start"), (start + size(row["value"])).alias("end"), row["value"].alias("value"), before.alias("before"),
+                        F.left(row["after"], F.lit(around)).alias("after"))
+
+    def rows(gaps: Column) -> Column:
+        befores, afters = F.slice(gaps, F.lit(1), F.size(gaps) - 1), F.slice(gaps, F.lit(2), F.size(gaps) - 1)
+        return F.zip_with(F.arrays_zip(befores.alias("before"), afters.alias("after")), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+                          lambda g, v: F.struct(g["before"].alias("before"), v.alias("value"), g["after"].alias("after")))
+
+    def hits(found: Column) -> Column:
+        starts = running(F.transform(found, lambda r: size(r["before"]) + size(r["value"])), lambda a, b: a + b)
+        return F.zip_with(found, starts, hit)
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(HIT).alias("found"))
-    return F.when(F.size(values) > 0, F.aggregate(rows, first, step, lambda s: s["found"])).otherwise(F.array().cast(HIT))
+    parts = bound(F.split(text, pattern, -1), rows)
+    return bound(parts, lambda found: F.when(F.size(found) > 0, hits(found)).otherwise(F.array())).cast(HIT)
 
 
 def as_spans(hits: Column, rank: int, kind: str) -> Column:
@@ -62,14 +100,24 @@ def overlaps(spans: Column, start: Column, end: Column) -> Column:
 
 def redacted(text: Column, spans: Column, placeholder: Callable[[Column], Column]) -> Column:
     """The text with each span replaced; spans that overlap count as one, of the first one's kind."""
-    def step(state: Column, span: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
-        out = F.when(span["start"] >= state["at"], F.concat(state["out"], gap, placeholder(span["kind"]))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), out.alias("out"))
-
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = F.aggregate(by_start(spans), first, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
+    def between(pieces: Column, start: Column, end: Column) -> Column:
+        """The code points from start to end, from the pieces that they touch."""
+        first, last = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+        piece = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+        inner = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        several = F.concat(F.substring(piece(first), start % PIECE + 1, F.lit(PIECE)), inner, F.substring(piece(last), F.lit(1), end % PIECE))
+        return F.when(end <= start, "").when(first == last, F.substring(piece(first), start % PIECE + 1, end - start)).otherwise(several)
+
+    def whole(held: Column) -> Column:
+        """held: the pieces, and the spans in order."""
+        ends = running(F.transform(held["spans"], lambda s: s["end"]), F.greatest)
+        own = F.zip_with(held["spans"], ends, lambda s, done: F.when(s["start"] >= done, F.concat(between(held["pieces"], done, s["start"]), placeholder(s["kind"]))).otherwise(""))
+        rest = between(held["pieces"], F.array_max(F.transform(held["spans"], lambda s: s["end"])), held["size"])
+        return F.concat(F.array_join(own, ""), rest)
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}+"), F.lit(0))
+    held = F.struct(pieces.alias("pieces"), by_start(spans).alias("spans"), F.char_length(text).alias("size"))
+    return F.when(F.size(spans) > 0, bound(held, whole)).otherwise(text)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
