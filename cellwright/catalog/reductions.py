@@ -11,7 +11,7 @@ from cellwright.catalog.fixtures import ctes
 from cellwright.operators import provenance as P
 from cellwright.operators import reductions as D
 from cellwright.operators import regions as R
-from cellwright.session import settle
+from cellwright.plans import maps
 
 KEY = ["region_id"]
 
@@ -74,11 +74,11 @@ def _provenance(s, d):
     """Panels of both regions and of the hourly grid, then the rows of the two regions together and of all three."""
     stated = {"variable": "price", "units": "usd", "fill_value_source": "registry", "valid_range_source": "registry", "basis": "temporal mean"}
     cells = _regioned(s, d).withColumn("status", F.lit("verified"))
-    two = P.panel_provenance(cells, KEY, "daily", "mean", GOOD, stated={**stated, "qa_status": F.col("status"), "qa_source": "registry", "region_type": "bounding_box"})
     hourly = masked_hourly(s, d).withColumn("region_id", F.lit("H"))
     third = P.panel_provenance(hourly, KEY, "hourly", "mean", bad=[2], stated={**stated, "valid_range_source": "file", "qa_status": "inferred", "qa_source": "flag_meanings"})
-    panels = settle(two.unionByName(third), "panels")
-    pair = P.merge_provenance(panels.where(F.col("panels")[0] != "H"))
+    both = maps.map_provenance(cells, "daily", KEY, "mean", GOOD, stated={**stated, "qa_status": F.col("status"), "qa_source": "registry", "region_type": "bounding_box"})
+    pair = both.where(F.size("panels") > 1)
+    panels = both.where(F.size("panels") == 1).unionByName(third)
     rows = panels.unionByName(pair).unionByName(P.merge_provenance(pair.unionByName(panels.where(F.col("panels")[0] == "H"))))
     return rows.withColumns({"panels": F.array_join("panels", ", "), "pass_rate": F.round("pass_rate", 6),
                             **{n: F.col(n).cast("double") for n in (*P.COUNTED[:3], *P.COUNTED[4:], "n_granules")}})

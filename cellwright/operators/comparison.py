@@ -69,12 +69,17 @@ def period_difference(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("i", "j
     return left.join(right, list(keys)).withColumn("diff", F.col("b") - F.col("a"))
 
 
-def region_stats(field: DataFrame, keys: Sequence[str] = (), basis: str = "period-mean") -> DataFrame:
-    """Area-weighted mean, median, max, min and cell count; a side without values gives no row."""
+def side_stats(field: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The statistics of a side that are combined before the shuffle; a side without values gives no row."""
     v = finite("value")
-    stats = field.groupBy(*keys).agg(
+    return field.groupBy(*keys).agg(
         weighted_mean("value").alias("mean"), F.max(v).alias("max"), F.min(v).alias("min"), F.count(v).alias("n_pixels")
     ).where(F.col("n_pixels") > 0)
+
+
+def region_stats(field: DataFrame, keys: Sequence[str] = (), basis: str = "period-mean") -> DataFrame:
+    """Area-weighted mean, median, max, min and cell count; a side without values gives no row."""
+    stats = side_stats(field, keys)
     median = order_stats.quantiles(field, keys, "value", {"median": 0.5}).drop("n")
     if keys:
         stats = stats.join(median, list(keys))
@@ -88,7 +93,11 @@ def percentile_bounds(field: DataFrame, keys: Sequence[str] = (), value: str = "
 
     Equal bounds widen by one percent (or one); no finite value gives 0 to 1.
     """
-    found = order_stats.quantiles(field, keys, value, {"p2": 0.02, "p98": 0.98})
+    return bounds(order_stats.quantiles(field, keys, value, {"p2": 0.02, "p98": 0.98}), keys)
+
+
+def bounds(found: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Bounds from the percentiles `p2` and `p98`."""
     delta = F.when(F.col("p2") == 0, F.lit(1.0)).otherwise(F.abs("p2") * 0.01)
     same = F.col("p2") == F.col("p98")
     return found.select(

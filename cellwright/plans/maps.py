@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellwright.functions.scalars import sig7
-from cellwright.operators import comparison, display, reductions
+from cellwright.operators import comparison, display, order_stats, provenance, reductions
 from cellwright.session import settle
 
 
@@ -29,11 +29,25 @@ def heatmap(cells: DataFrame, cadence: str, keys: Sequence[str], max_cells: int
 
 
 def region_comparison(cells: DataFrame, cadence: str, side: str = "side") -> DataFrame:
-    """Period-mean statistics of each side with one shared scale; no differencing."""
+    """Period-mean statistics of each side with one shared scale; no differencing.
+
+    The medians of the sides and the scale of both come from one selection, in which both together are a third group.
+    """
     field = settle(reductions.temporal_mean(cells, cadence, [side]), "field")
-    scale = comparison.percentile_bounds(field).select(F.struct("vmin", "vmax")).scalar()
-    stats = comparison.region_stats(field, [side]).withColumn("_s", scale)
-    return stats.withColumns({"vmin": F.col("_s.vmin"), "vmax": F.col("_s.vmax")}).drop("_s")
+    groups = field.select(F.explode(F.array(F.col(side).cast("string"), F.lit(None).cast("string"))).alias("_g"), "value")
+    picked = settle(order_stats.quantiles(groups, ["_g"], "value", {"median": 0.5, "p2": 0.02, "p98": 0.98}), "picked")
+    scale = comparison.bounds(picked.where(F.col("_g").isNull())).select(F.struct("vmin", "vmax")).scalar()
+    stats = comparison.side_stats(field, [side]).join(picked.select(F.col("_g").alias(side), "median"), side)
+    return stats.select(side, "mean", "median", "max", "min", "n_pixels", F.lit("period-mean").alias("basis"), scale.alias("_s")).select("*", "_s.vmin", "_s.vmax").drop("_s")
+
+
+def map_provenance(
+    cells: DataFrame, cadence: str, keys: Sequence[str], stat: str = "mean", good=None, bad=None, stated: dict | None = None
+) -> DataFrame:
+    """What a map, a comparison or a regional statistic of these cells rests on: a row for each panel, and one for all of them if they are several."""
+    panels = settle(provenance.panel_provenance(cells, keys, cadence, stat, good, bad, stated), "provenance")
+    merged = provenance.merge_provenance(panels).where(F.size("panels") > 1)
+    return panels.unionByName(merged)
 
 
 def period_comparison(cells: DataFrame, cadence: str, side: str = "side") -> DataFrame:

@@ -95,9 +95,9 @@ def write_cube(cells: DataFrame, path: str, tile: int = TILE, extra_keys: Sequen
         tiled.repartitionByRange(*order).sortWithinPartitions(*order)
         .write.mode("overwrite").partitionBy("collection", "tile_i", "tile_j").parquet(here)
     )
-    contract = spark.range(1).select(F.lit("schema").alias("kind"), F.lit(cells.schema.json()).alias("stored_schema"), F.lit(tile).alias("tile"))
-    found = facts(spark.read.schema(tiled.schema).parquet(here), tile).unionByName(contract, allowMissingColumns=True)
-    found.select(SURVEY.names).coalesce(1).write.mode("overwrite").parquet(f"{path}/survey/batch={batch}")
+    found = settle(facts(spark.read.schema(tiled.schema).parquet(here), tile), "survey")
+    contract = found.agg(F.lit("schema").alias("kind"), F.min("ts").alias("ts"), F.max("ts").alias("ts_to"), F.lit(cells.schema.json()).alias("stored_schema"), F.lit(tile).alias("tile"))
+    found.unionByName(contract, allowMissingColumns=True).select(SURVEY.names).coalesce(1).write.mode("overwrite").parquet(f"{path}/survey/batch={batch}")
 
 
 def cube_survey(spark: SparkSession, path: str, collections: Sequence[str] | None = None) -> DataFrame:
@@ -114,28 +114,27 @@ def scan_cube(
 ) -> DataFrame:
     """Cells of a written cube. Box, times and collections choose batches and tiles by the cube's survey.
 
-    One row per batch is read from the survey. Only the folders of those tiles are listed and read, with a known schema.
+    Of the survey, one row per batch is read, and one for each tile of a batch that the box touches. Only the folders of those
+    batches are listed, and only those of the tiles are read, with a known schema.
     """
-    stored = cube_survey(spark, path)
     first, last = (F.to_timestamp(F.lit(t)) for t in (start, end))
-    wanted = F.lit(True) if collections is None else F.col("collection").isin(list(collections))
-    inside = F.col("kind") == "tile"
-    if box is not None:
-        inside = inside & (F.col("lon_hi") >= float(box[0])) & (F.col("lon_lo") <= float(box[2])) & (F.col("lat_hi") >= float(box[1])) & (F.col("lat_lo") <= float(box[3]))
-    during = (F.col("kind") == "granule")
-    during = during if start is None else during & (F.col("ts") >= first)
+    during = F.lit(True) if start is None else F.col("ts_to") >= first
     during = during if end is None else during & (F.col("ts") < last)
-    bounds = {f"{side}_{c}": f(F.when(inside & wanted, F.col(c))) for c in ("tile_i", "tile_j") for side, f in (("lo", F.min), ("hi", F.max))}
-    rows = stored.groupBy("batch").agg(
-        F.max("stored_schema").alias("schema"), F.count_if(during & wanted).alias("granules"), *[c.alias(n) for n, c in bounds.items()]).collect()
-    schema = joined_schema(*[T.StructType.fromJson(json.loads(r["schema"])) for r in sorted(rows, key=lambda r: r["batch"])])
-    rows = [r for r in rows if r["lo_tile_i"] is not None and r["granules"]]
+    inside = F.lit(False)
+    if box is not None:
+        inside = (F.col("kind") == "tile") & (F.col("lon_hi") >= float(box[0])) & (F.col("lon_lo") <= float(box[2])) & (F.col("lat_hi") >= float(box[1])) & (F.col("lat_lo") <= float(box[3]))
+        inside = inside if collections is None else inside & F.col("collection").isin(list(collections))
+    rows = cube_survey(spark, path).where((F.col("kind") == "schema") | inside).select("batch", "kind", "tile_i", "tile_j", F.coalesce(during, F.lit(False)).alias("during"), "stored_schema").collect()
+    batches = {r["batch"]: r for r in sorted(rows, key=lambda r: r["batch"]) if r["kind"] == "schema"}
+    schema = joined_schema(*[T.StructType.fromJson(json.loads(x)) for x in dict.fromkeys(r["stored_schema"] for r in batches.values())])
+    tiles = [r for r in rows if r["kind"] == "tile" and batches[r["batch"]]["during"]]
+    wanted = [b for b, r in batches.items() if r["during"]] if box is None else sorted({r["batch"] for r in tiles})
     whole = T.StructType([*schema.fields, *[T.StructField(n, T.IntegerType()) for n in ("tile_i", "tile_j")]])
-    if not rows:
+    if not wanted:
         return spark.createDataFrame([], schema)
-    cells = spark.read.schema(whole).option("basePath", f"{path}/cells").parquet(*[f"{path}/cells/batch={r['batch']}" for r in rows])
-    for c in ("tile_i", "tile_j"):
-        cells = cells.where(F.col(c).between(min(r[f"lo_{c}"] for r in rows), max(r[f"hi_{c}"] for r in rows)))
+    cells = spark.read.schema(whole).option("basePath", f"{path}/cells").parquet(*[f"{path}/cells/batch={b}" for b in wanted])
+    for c in ("tile_i", "tile_j") if tiles else ():
+        cells = cells.where(F.col(c).between(min(r[c] for r in tiles), max(r[c] for r in tiles)))
     if collections is not None:
         cells = cells.where(F.col("collection").isin(list(collections)))
     if start is not None:

@@ -19,7 +19,7 @@ _BOUNDS = ["lat_lo", "lat_hi", "lon_lo", "lon_hi"]
 SURVEY = T.StructType(
     [T.StructField("collection", T.StringType()), T.StructField("kind", T.StringType())]
     + [T.StructField(n, T.IntegerType()) for n in ("position", "tile_i", "tile_j")]
-    + [T.StructField("granule_id", T.StringType()), T.StructField("ts", T.TimestampType())]
+    + [T.StructField("granule_id", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("ts_to", T.TimestampType())]
     + [T.StructField(n, T.DoubleType()) for n in _BOUNDS]
     + [T.StructField("cells", T.LongType()), T.StructField("tile", T.IntegerType()), T.StructField("stored_schema", T.StringType())]
 )
@@ -48,7 +48,7 @@ def facts(cells: DataFrame, tile: int = TILE) -> DataFrame:
     )
     kind = F.coalesce(*[F.when(F.col(f"_{k}") == 0, k) for k in sets])
     return grouped.select(
-        "collection", kind.alias("kind"), F.coalesce("i", "j").alias("position"), "tile_i", "tile_j", "granule_id", "ts", *_BOUNDS, "cells",
+        "collection", kind.alias("kind"), F.coalesce("i", "j").alias("position"), "tile_i", "tile_j", "granule_id", "ts", F.col("ts").alias("ts_to"), *_BOUNDS, "cells",
         F.lit(tile).alias("tile"), F.lit(None).cast("string").alias("stored_schema"),
     )
 
