@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 19
-#: Powers up to this length are kept by a worker; longer ones, for a single long text, are made each time and dropped.
-KEPT = 1 << 20
+#: Powers up to this length, enough for a chunk, are kept by a worker; longer ones, for a single long text, are made each time and dropped.
+KEPT = 5 << 18
 
 # The six ASCII space characters that part words.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
