@@ -101,7 +101,9 @@ def nearest(points: DataFrame, places: DataFrame, space: Space, sought: Sequence
     for c in coordinates:
         places = places.where(F.col(c).isNotNull() & ~F.isnan(c))
     names = [f"_p{n}" for n in range(len(dims))]
-    front = wanted.withColumns({**dict(zip(names, dims, strict=True)), "_at": F.lit(0).cast("long")})
+    # the root is above every tile, that of the point as well; below it are 2**(bits * dims) tiles at most, and each may hold the answer
+    root = F.shiftright(_key(space, dims), space.bits * len(dims) * space.levels)
+    front = wanted.withColumns({**dict(zip(names, dims, strict=True)), "_at": root})
     held, levels = _indexed(places.select(*dict.fromkeys([*coordinates, *keep])), space, coordinates)
     each = Window.partitionBy(*sought)
     for tiles in levels:
