@@ -49,8 +49,8 @@ def point_buffer(lon: float, lat: float) -> Box:
 def normalize_longitude(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Bring 0..360 longitudes to -180..180 and renumber `j` by the new order.
 
-    Only the distinct axis values are windowed: one short row list per collection. Cells without
-    a longitude stay as they are.
+    Only the distinct axis values are windowed: one short row list per collection. The new axis is written, so that
+    Spark knows how small it is and does not shuffle the cells to meet it. Cells without a longitude stay as they are.
     """
     keys = list(keys)
     axis = cells.select(*keys, "lon").where(F.col("lon").isNotNull()).distinct()
@@ -59,7 +59,7 @@ def normalize_longitude(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame
     axis = axis.withColumn("_wraps", wraps).withColumn(
         "_lon", F.when(F.col("_wraps"), F.pmod(F.col("lon") + 180, F.lit(360.0)) - 180).otherwise(F.col("lon"))
     )
-    axis = axis.withColumn("_j", F.dense_rank().over(whole.orderBy("_lon")) - 1)
+    axis = settle(axis.withColumn("_j", F.dense_rank().over(whole.orderBy("_lon")) - 1), "longitudes")
     return (
         cells.join(axis, [*keys, "lon"], "left")
         .withColumns({
