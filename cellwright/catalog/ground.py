@@ -10,6 +10,7 @@ from cellwright.operators import ground as G
 from cellwright.operators import joint as J
 from cellwright.operators import masking as M
 from cellwright.plans import validation as V
+from cellwright.session import settle
 from cellwright.sources.survey import survey, timesteps
 
 SID = "concat_ws('-', state_code, county_code, site_number)"
@@ -143,14 +144,14 @@ def _validate(s, d):
 
 
 def _overlay(s, d):
-    records = G.filter_standard(fixture(s, d, "fx_daily"), "click")
+    records = settle(G.filter_standard(fixture(s, d, "fx_daily"), "click"), "records")
     return as_text(V.exceedance_overlay(fixture(s, d, "fx_hourly"), fixture(s, d, "fx_monitors"), records, _mask, BOX, 3, hard=100.0, percentile=95.0), "ts")
 
 
 def _indexed(s, d):
     """Records of one standard with an index as the feed gives it: whole numbers as text, empty for some records."""
     index = F.when(F.col("first_max_hour") % 4 > 0, F.floor(F.col("first_max_value") / 2).cast("string")).otherwise("")
-    return G.filter_standard(fixture(s, d, "fx_daily"), "click").withColumn("aqi", index)
+    return settle(G.filter_standard(fixture(s, d, "fx_daily"), "click").withColumn("aqi", index), "records")  # read once per round of the cutoff
 
 
 def _reports(s, d):
@@ -240,7 +241,7 @@ QUERIES = {
         WHERE (pollutant_standard = 'click' AND first_max_value > 70) OR (pollutant_standard = 'view' AND arithmetic_mean > 35) OR (pollutant_standard = 'error' AND first_max_value > 50)""",
     ),
     "exceedance_dates": (
-        lambda s, d: G.exceedance_dates(fixture(s, d, "fx_daily"), hard=250.0, percentile=95.0),
+        lambda s, d: G.exceedance_dates(settle(fixture(s, d, "fx_daily"), "records"), hard=250.0, percentile=95.0),
         ctes("fx_daily", rec=f"SELECT *, {SID} AS site_id FROM fx_daily", c=_CUT,
              cut="SELECT site_id, first_max_value AS cutoff FROM c WHERE pos = least(CAST(floor(n * 95.0 / 100) AS BIGINT), n - 1)")
         + "SELECT DISTINCT site_id, date_local AS date FROM rec JOIN cut USING (site_id) WHERE first_max_value > 250 OR first_max_value >= cutoff",

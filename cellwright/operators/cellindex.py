@@ -48,8 +48,8 @@ def _sphere(lat: Column, lon: Column) -> list[Column]:
     return [F.cos(F.radians(lat)) * c for c in _circle(lon)] + [F.sin(F.radians(lat))]
 
 
-LINE = Space(_line, -400.0, 800.0, 4, 3)
-CIRCLE = Space(_circle, -1.0, 2.0, 3, 4)
+LINE = Space(_line, -400.0, 800.0, 6, 2)
+CIRCLE = Space(_circle, -1.0, 2.0, 6, 2)
 SPHERE = Space(_sphere, -1.0, 2.0, 2, 5)
 
 

@@ -24,19 +24,36 @@ DIGITS = (22, 21, 21)
 _MANTISSA, _LEAST = 52, -1022
 
 
-def ordered(value: Column) -> Column:
-    """An integer of the same order as a finite double, one for each double; both zeros are 0."""
-    size = F.abs(value)
-    guess = F.floor(F.log2(size))
+def _guess(size: Column) -> Column:
+    return F.floor(F.log2(size))
+
+
+def _power(size: Column, guess: Column) -> Column:
     # the logarithm may be off by one next to a power of two
     exact = guess + F.when(size >= F.pow(F.lit(2.0), guess + 1), 1).when(size < F.pow(F.lit(2.0), guess), -1).otherwise(0)
-    power = F.greatest(F.lit(_LEAST), F.least(F.lit(-_LEAST + 1), exact))
+    return F.greatest(F.lit(_LEAST), F.least(F.lit(-_LEAST + 1), exact))
+
+
+def _bits(value: Column, size: Column, power: Column) -> Column:
     normal = (power - _LEAST + 1) * F.lit(1 << _MANTISSA) + ((size / F.pow(F.lit(2.0), power) - 1) * float(1 << _MANTISSA)).cast("long")
     tiny = (size * 2.0 ** 537 * 2.0 ** 537).cast("long")
     bits = F.when(size < 2.0 ** _LEAST, tiny).otherwise(normal)
     return F.when(value < 0, -bits).otherwise(bits)
 
 
+def ordered(value: Column) -> Column:
+    """An integer of the same order as a finite double, one for each double; both zeros are 0."""
+    size = F.abs(value)
+    return _bits(value, size, _power(size, _guess(size)))
+
+
+def _with_order(rows: DataFrame) -> DataFrame:
+    """`_x`, the integer of `_v`, step by step, so that no step is written into the next one more than once."""
+    rows = rows.withColumn("_size", F.abs("_v")).withColumn("_guess", _guess(F.col("_size")))
+    rows = rows.withColumn("_power", _power(F.col("_size"), F.col("_guess")))
+    return rows.withColumn("_x", _bits(F.col("_v"), F.col("_size"), F.col("_power"))).drop("_size", "_guess", "_power")
+
+
 def unordered(bits: Column) -> Column:
     """The double of an integer made by `ordered`."""
     size = F.abs(bits)
@@ -61,7 +78,8 @@ def values_at(
     finite values.
     """
     names, group = list(positions), [f"_k{n}" for n in range(len(keys))]
-    coded = df.select(*[F.col(k).alias(g) for k, g in zip(keys, group, strict=True)], ordered(finite(value)).alias("_x"))
+    rows = df.select(*[F.col(k).alias(g) for k, g in zip(keys, group, strict=True)], finite(value).alias("_v"))
+    coded = _with_order(rows)
     counted = lambda rows, *by: rows.groupBy(*group, *by, "_digit").agg(F.count(F.lit(1)).alias("_c"))
 
     # The first digits hold the sign, so they are in order as well. Values that do not count have none.
@@ -77,6 +95,8 @@ def values_at(
     found = counts.withColumn("_s", F.explode(each)).select(
         *group, "_n", F.col("_s.name").alias("_name"), F.col("_digit").alias("_prefix"), (F.col("_s.at") - F.col("_end") + F.col("_c")).alias("_at"))
     groups = found = settle(found, "digits")
+    # known to be there, so that no join asks for it once more
+    coded = _with_order(rows.where(F.col("_v").isNotNull())).withColumn("_x", F.coalesce("_x", F.lit(0).cast("long")))
     for bits in DIGITS[1:]:
         left -= bits
         reach = coded.withColumns({"_p": F.shiftright("_x", left + bits), "_digit": F.shiftright("_x", left).bitwiseAND(F.lit((1 << bits) - 1))})
