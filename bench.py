@@ -76,7 +76,8 @@ def crop(spark) -> dict:
 
 
 def main() -> None:
-    spark = build_session(f"local[{CPUS}]", shuffle_partitions=int(CPUS))
+    # without vectored reads Spark counts all bytes that Parquet reads
+    spark = build_session(f"local[{CPUS}]", shuffle_partitions=int(CPUS), spark__hadoop__parquet__hadoop__vectored__io__enabled="false")
     spark.sparkContext.setLogLevel("OFF")
     queries = registry()
     seconds = {}
