@@ -12,6 +12,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -361,6 +362,40 @@ def test_pieces_equal_the_library_and_come_back(spark, docs, texts, empty):
     assert lattice.decode(lattice.encode(docs)).count() == len(texts) and lattice.summary(empty).count() == 0
 
 
+def test_distinct_words_are_folded_together(monkeypatch):
+    import sentencepiece
+
+    rng = random.Random(6)
+    model = sentencepiece.SentencePieceProcessor(model_file=lattice.model_path())
+    p = lattice.pieces(lattice.model_path())
+    words = ["".join(rng.choice("aeinorst,.é你") for _ in range(rng.randrange(1, 20))) for _ in range(2000)]
+    several = [None, "", " ", *(" ".join(rng.choices(words, k=50)) for _ in range(40)), "tion" * 100, "  a▁ b  "]
+    expected = [model.encode(t or "") for t in several]
+    monkeypatch.setattr(lattice, "BYTES", 300)
+    assert sum(n for _, n in lattice.bounded(pa.array(several))) == len(several) and len(list(lattice.bounded(pa.array(several)))) > 10
+    ids = p.encode_all(pa.array(several))
+    assert ids.to_pylist() == expected and p.encode_all(pa.array([], pa.string())).to_pylist() == []
+    assert p.decode_all(ids) == [model.decode(x) for x in expected]
+    raw = [[p.byte_ids[b] for b in rng.choices(b"\xe4\xbd\xa0\xe2\x96\x81a", k=8)] for _ in range(200)]
+    assert p.decode_all(pa.array(raw, pa.list_(pa.int32()))) == [p.decode(x) for x in raw]
+
+    def alone(*_):
+        raise AssertionError("a word was folded by itself")
+
+    monkeypatch.setattr(lattice, "merged", alone)
+    assert p.encode(" ".join(words)) == model.encode(" ".join(words))
+
+
+def test_folding_together_equals_folding_alone():
+    rng = random.Random(7)
+    for _ in range(100):
+        names = [rng.choice("▁ab") + "".join(rng.choices("abc", k=rng.randrange(5))) for _ in range(rng.randrange(15))]
+        scores = {x: float(-rng.randrange(6)) for x in names}
+        p = lattice.table({k: i for i, k in enumerate(scores)}, scores, list(range(100, 356)), [])
+        words = ["".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 90))) for _ in range(20)]
+        assert p.encode(" ".join(words)) == [i for w in words for i in lattice.joined("▁" + w, p)]
+
+
 def test_unigram_path_is_the_best_of_all():
     scores = {"▁": -2.5, "a": -1.5, "b": -1.7, "ab": -2.1, "▁a": -2.2, "ba": -2.0, "aba": -5.5, "▁ab": -3.9}
     p = lattice.table({k: i for i, k in enumerate(scores)}, scores, list(range(100, 356)), [])
