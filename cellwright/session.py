@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark removes the shuffle files of a statement at its end, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benchmarks. A cluster brings its own session and settings."""
@@ -55,3 +60,39 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def _released(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+class Steps:
+    """Settled frames of one operator whose input is large: the shuffles behind a frame go once it is written, the frame once no later step reads it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def settle(self, df: DataFrame, label: str) -> DataFrame:
+        path = fresh_path(self.spark, label)
+        with _released(self.spark):
+            df.write.parquet(path)
+        frame = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(frame)] = frame, path
+        return frame
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Remove the files of settled frames; nothing that is still to be computed may read them."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for frame in frames:
+            at = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(frame))[1])
+            at.getFileSystem(conf).delete(at, True)
