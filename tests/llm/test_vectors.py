@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import os
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cellwright import session
 from cellwright.llm import bond, itq, vectors, whitening
 
 SCHEMA = "vec_id long, label long, embedding array<double>"
@@ -85,6 +87,57 @@ def test_the_scan_drops_candidates_early_and_loses_none():
     assert (score == full[at]).all() and set(inside[np.argsort(-full[inside], kind="stable")[:3]]) <= set(at.tolist()) and len(at) < len(inside)
 
 
+def test_each_block_is_sent_to_one_task_whatever_the_number_of_anchors(spark, tmp_path, monkeypatch):
+    """Blocks were sent once for each part of the anchors: with more rows there are more of both, and their product was moved."""
+    moved, real = [], bond._scanned
+
+    def watched(blocks, anchors, *rest):
+        found = real(blocks, anchors, *rest)
+        moved.append((blocks.count(), found._jdf.queryExecution().optimizedPlan().toString()))
+        return found
+
+    folder = str(tmp_path / "kept")
+    monkeypatch.setattr(bond, "_scanned", watched)
+    monkeypatch.setattr(session, "shared_folder", lambda _: folder)
+    rows = _rows(6, 300, 5)
+    got = bond.mine(frame(spark, rows), F.col("vec_id") % 4 == 0, block=30, per=5).collect()
+    assert {tuple(r) for r in got} == brute_negatives(rows, 4)
+    assert len(moved) == 2 and all(blocks > 5 and "Join" not in plan and plan.count("explode") == 1 for blocks, plan in moved)
+    assert {x.rpartition("-")[0] for x in os.listdir(folder)} <= {"blocks", "positives", "sought"}
+
+
+@pytest.mark.parametrize("early", [False, True])
+def test_many_scans_at_once_equal_full_products(early):
+    rng = np.random.default_rng(2)
+    for fall in (0.0, 1.5):  # vectors without structure, and such whose dimensions fall off
+        x = np.floor(rng.normal(0, 60, (300, 32)) / np.arange(1, 33) ** fall).astype(np.float32)
+        block = bond.Block(np.arange(300), np.zeros(300, int), np.ascontiguousarray(x.T), x.min(axis=0), x.max(axis=0))
+        queries = x[:40]
+        full = queries.astype(np.int64) @ x.T.astype(np.int64)
+        alive = rng.random(full.shape) < 0.8
+        lows, highs = (np.quantile(full, q, axis=1).round().astype(np.float32) for q in (0.9, 0.99))
+        wanted = alive & (full >= lows[:, None]) & (full <= highs[:, None])
+        own, at, score, _ = bond.scan_many(block, x, queries, alive.copy(), lows, highs, early)
+        assert sorted(zip(own.tolist(), at.tolist(), strict=True)) == list(map(tuple, np.argwhere(wanted).tolist()))
+        assert (score == full[own, at]).all()
+
+
+def test_the_best_rows_of_windows_over_several_blocks():
+    rng = np.random.default_rng(4)
+    lows, highs = np.array([-(1 << 63), 3, 5]), np.array([(1 << 63) - 1, 9, 4])
+    best, told = bond.Best(lows, highs, 3), []
+    for _ in range(5):
+        w, score = rng.integers(0, 2, 20), rng.integers(3, 9, 20)
+        ids = rng.permutation(1000)[:20] + 1000 * len(told)
+        best.add(w, score, ids)
+        told += [*zip(w.tolist(), score.tolist(), ids.tolist(), strict=True)]
+    for w in range(2):
+        first = sorted((-s, i) for v, s, i in told if v == w)[:3]
+        assert [(-s, i) for s, i in zip(best.score[w].tolist(), best.ids[w].tolist(), strict=True)] == first
+        assert best.floors()[w] == -first[-1][0]
+    assert best.held.tolist() == [3, 3, 0] and best.floors()[2] == 5
+
+
 def brute_whitening(rows, most=16):
     held = defaultdict(list)
     for i, _, v in rows:
